@@ -1,0 +1 @@
+"""No operator of this library is stateful over a stream, so nothing lives here."""
