@@ -196,7 +196,7 @@ class LiteratureRule(Finder):
 
     def fit(self, df, features, rank_on=None):
         check_training(df, features, self.label)
-        model = fit_logistic(rank_on or df, features, self.label, c=1.0, max_iter=self.max_iter)
+        model = fit_logistic(df if rank_on is None else rank_on, features, self.label, c=1.0, max_iter=self.max_iter)
         allowed = list(features)
         if self.only_with_limit:
             allowed = [f for f in features if resolve_threshold(self.limits, f, HIGH) is not None]
@@ -236,7 +236,7 @@ class YoudenRule(Finder):
 
     def fit(self, df, features, rank_on=None):
         check_training(df, features, self.label)
-        model = fit_logistic(rank_on or df, features, self.label, c=None, max_iter=self.max_iter)
+        model = fit_logistic(df if rank_on is None else rank_on, features, self.label, c=None, max_iter=self.max_iter)
         feature = model.strongest(features)
         weight = model.weights[feature]
         direction = HIGH if weight > 0 else LOW
@@ -282,7 +282,7 @@ class AttributionLiteratureRule(_AttributionFinder):
         self.only_with_limit = only_with_limit
 
     def fit(self, df, features, rank_on=None):
-        summary = self._rank(rank_on or df, features)
+        summary = self._rank(df if rank_on is None else rank_on, features)
         allowed = [
             f for f in features
             if not self.only_with_limit or resolve_threshold(self.limits, f, HIGH) is not None
@@ -314,7 +314,7 @@ class AttributionYoudenRule(_AttributionFinder):
         self.direction_aware = direction_aware
 
     def fit(self, df, features, rank_on=None):
-        summary = self._rank(rank_on or df, features)
+        summary = self._rank(df if rank_on is None else rank_on, features)
         feature = top_features(summary, 1)[0]
         direction = direction_of(summary, feature, self.direction_by)
         cut = find_cut(
