@@ -88,7 +88,7 @@ def node_table(model: Fitted, spark) -> DataFrame:
         "nodeData.leftChild AS left",
         "nodeData.rightChild AS right",
         "nodeData.split.featureIndex AS feature",
-        "nodeData.split.leftCategoriesOrThreshold[0] AS cut",
+        "get(nodeData.split.leftCategoriesOrThreshold, 0) AS cut",
     )
 
 
