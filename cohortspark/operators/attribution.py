@@ -292,7 +292,9 @@ def importance(phi: DataFrame) -> DataFrame:
     return phi.groupBy("feature").agg(
         F.expr("avg(abs(phi)) AS mean_abs"),
         F.expr("avg(phi) AS mean_phi"),
-        F.expr("corr(value, phi) AS corr"),
+        F.expr(
+            "try_divide(covar_pop(value, phi), stddev_pop(value) * stddev_pop(phi)) AS corr"
+        ),
         F.expr("count(1) AS n"),
     )
 

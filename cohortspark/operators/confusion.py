@@ -119,6 +119,6 @@ def class_rates(df: DataFrame, label: str = "label", by: Sequence[str] = ()) ->
             "positives",
             "negatives",
             "try_divide(CAST(positives AS DOUBLE), n) AS positive_rate",
-            "CAST(coalesce(positives / n, 0) < 0.01 AS INT) AS low_rate",
+            "CAST(coalesce(try_divide(CAST(positives AS DOUBLE), n), 0) < 0.01 AS INT) AS low_rate",
         )
     )

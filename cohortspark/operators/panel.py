@@ -46,9 +46,10 @@ def lookback(
     """Observations at most ``days`` before the subject's latest one.
 
     ``anchor`` (subject, anchor_time) replaces the latest observation as the end.
-    The latest time is aggregated map-side and joined back, so a subject with very
-    many rows is a skewed join key that adaptive execution can split, which a
-    window over the subject would not be.
+    The latest time is aggregated map-side and joined back. The join's null-safe
+    keys keep its partitioning apart from the grouping that follows, so adaptive
+    execution may split a subject that holds a large part of the rows; a window over
+    the subject could not be split. Rows without a subject are left out.
     """
     if days is None or cols.time not in obs.columns:
         return obs
@@ -60,8 +61,8 @@ def lookback(
         end = as_timestamp(anchor, "anchor_time").selectExpr(
             q(cols.subject), "anchor_time AS __end"
         )
-    # Rows with a null subject form a group of their own, as in the grouping.
-    joined = null_safe(obs, end, [cols.subject])
+    present = f"{q(cols.subject)} IS NOT NULL"
+    joined = null_safe(obs.where(present), end.where(present), [cols.subject])
     floor = f"__end - make_dt_interval({int(days)})"
     keep = f"{q(cols.time)} >= {floor}"
     if anchor is not None:
@@ -131,9 +132,13 @@ def feature_frame(
 def add_hours(
     obs: DataFrame, anchors: DataFrame, key: str | Sequence[str], time: str, anchor_time: str
 ) -> DataFrame:
-    """Left join the anchor time and add ``hours`` since it."""
+    """Left join the anchor time and add ``hours`` since it; an encounter with very
+    many rows may be split as in ``lookback``."""
     keys = [key] if isinstance(key, str) else list(key)
-    joined = obs.join(anchors.select(*keys, anchor_time), keys, "left")
+    named = anchors.select(*keys, anchor_time).where(
+        " AND ".join(f"{q(k)} IS NOT NULL" for k in keys)
+    )
+    joined = null_safe(obs, named, keys, "left")
     joined = as_timestamp(as_timestamp(joined, time), anchor_time)
     return joined.withColumn("hours", hours_between(joined, anchor_time, time))
 

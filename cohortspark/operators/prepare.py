@@ -42,7 +42,8 @@ class Imputer:
 
     ``median`` and ``mean`` are learned in ``fit`` for all columns together;
     ``zero`` needs no fit; ``drop`` removes rows with a missing feature. A column
-    without any value stays missing. The median is exact unless ``approx``.
+    without any value stays missing. Filled features are doubles. The median is exact
+    unless ``approx``.
     """
 
     def __init__(
@@ -81,9 +82,11 @@ class Imputer:
             return df.where(complete) if complete else df
         return df.selectExpr(
             *[
-                f"coalesce({_value(c)}, {_literal(self.fill[c])}) AS {q(c)}"
-                if c in self.fill and c in features
-                else q(c)
+                q(c)
+                if c not in features
+                else f"coalesce({_value(c)}, {_literal(self.fill[c])}) AS {q(c)}"
+                if c in self.fill
+                else f"{_value(c)} AS {q(c)}"
                 for c in df.columns
             ]
         )
@@ -132,10 +135,12 @@ class Scaler:
             return df
         return df.selectExpr(
             *[
-                f"({_value(c)} - {_literal(self.params[c][0])})"
+                q(c)
+                if c not in features
+                else f"({_value(c)} - {_literal(self.params[c][0])})"
                 f" / {_literal(self.params[c][1])} AS {q(c)}"
-                if c in features and c in self.params
-                else q(c)
+                if c in self.params
+                else f"{_value(c)} AS {q(c)}"
                 for c in df.columns
             ]
         )

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import local_table, null_safe, settle_if_small, stage
+from ..session import local_table, null_safe, settle, stage
 from ..sources.config import CodeRule
 from .cohort import match_codes
 from .panel import add_hours
@@ -80,7 +80,7 @@ def demographics(
     """
     members = stage(members.select("cohort", subject, encounter).distinct())
     people_of = members.select("cohort", subject).distinct()
-    joined = people_of.join(people.select(subject, age, group), subject, "left")
+    joined = stage(people_of.join(people.select(subject, age, group), subject, "left"))
     per_cohort = joined.groupBy("cohort").agg(
         F.expr("count(1) AS subjects"),
         F.expr(f"avg({q(age)}) AS mean_age"),
@@ -281,7 +281,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     falls into bin 1."""
     by = list(by)
     rows = df.where(_known(value)).selectExpr(*qs(by), f"CAST({q(value)} AS DOUBLE) AS __v")
-    spans, _ = settle_if_small(
+    spans, _ = settle(
         rows.groupBy(*by).agg(F.expr("min(__v) AS __lo"), F.expr("max(__v) AS __hi"))
     )
     if by:
@@ -332,7 +332,10 @@ def timeline(
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum.
+
+    Scans ``df`` four times; ``stage`` an input that is costly to compute.
+    """
     by = list(by)
     rows = df.where(_known(value))
     v = q(value)
@@ -404,7 +407,7 @@ def outliers(
 
     The bounds of each feature are found first; the second pass only counts.
     """
-    stats, _ = settle_if_small(describe(df.select(feature, value), value, [feature]))
+    stats, _ = settle(describe(df.select(feature, value), value, [feature]))
     s, k = f"{float(sigmas)!r}D", f"{float(iqr_factor)!r}D"
     limits = stats.selectExpr(
         q(feature),
@@ -486,11 +489,12 @@ def group_difference(
             for fn, name in (("count", "n"), ("avg", "mean"), ("stddev_samp", "std"))
         ]
     )
-    e1, e0 = "std1 * std1 / n1", "std0 * std0 / n0"
-    return stats.selectExpr(
-        "*",
-        f"try_divide(mean1 - mean0, sqrt({e1} + {e0})) AS t",
-        f"try_divide(power({e1} + {e0}, 2), power({e1}, 2) / (n1 - 1) + power({e0}, 2) / (n0 - 1)) AS dof",
+    e1, e0 = "try_divide(std1 * std1, n1)", "try_divide(std0 * std0, n0)"
+    return stats.selectExpr("*", f"{e1} AS e1", f"{e0} AS e0").selectExpr(
+        *qs(stats.columns),
+        "try_divide(mean1 - mean0, sqrt(e1 + e0)) AS t",
+        "try_divide(power(e1 + e0, 2),"
+        " try_divide(power(e1, 2), n1 - 1) + try_divide(power(e0, 2), n0 - 1)) AS dof",
     )
 
 

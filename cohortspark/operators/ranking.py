@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import null_safe, settle_if_small
+from ..session import null_safe, settle
 
 # Rows a single in-bucket sort may hold before another narrowing pass is made.
 BUCKET_ROWS = 2_000_000
@@ -57,7 +57,7 @@ def range_edges(df: DataFrame, value: str, buckets: int) -> list[float]:
         f"percentile_approx(CAST({q(value)} AS DOUBLE), array({probs}), {accuracy}) AS e"
     ).first()["e"]
     inner = sorted({float(e) for e in found or [] if math.isfinite(e)})
-    return [-math.inf, *inner, math.inf]
+    return [-math.inf, *(inner or [0.0]), math.inf]
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -203,7 +203,7 @@ def cut_rows(
                 .agg(F.expr("count(1) AS __rows"))
                 .selectExpr("*", f"sum(__rows) {_over(group, level, 'upto')} AS __upto")
             )
-        ranges, small = settle_if_small(
+        ranges, small = settle(
             counted.where("__left > __upto - __rows AND __left <= __upto").selectExpr(
                 *qs([*by, "__cut", level, "__rows"]),
                 "__left - (__upto - __rows) AS __left",
@@ -227,7 +227,7 @@ def cut_rows(
             for k, t in enumerate(tail)
         ]
     )
-    return settle_if_small(wide)[0], names
+    return settle(wide)[0], names
 
 
 def cuts_passed(
@@ -315,7 +315,7 @@ def quantiles(
         .agg(F.expr(f"percentile_approx(__v, array({at}), {accuracy}) AS __e"))
         .selectExpr(*qs(by), *[f"__e[{i}] AS __e{i}" for i in range(len(around))])
     )
-    sketch, _ = settle_if_small(sketch)
+    sketch, _ = settle(sketch)
     if by:
         placed = null_safe(rows, sketch, by)
     else:
@@ -333,22 +333,26 @@ def quantiles(
         for p in names
         for x in (low[p], high[p])
     )
-    wanted, _ = settle_if_small(
+    wanted, _ = settle(
         placed.groupBy(*by, "__slot")
-        .agg(F.expr("count(1) AS __rows"))
+        .agg(*_span())
         .selectExpr(
             "*",
             f"sum(__rows) {_over(by)} AS __n",
             f"coalesce(sum(__rows) {_over(by, '__slot', 'before')}, 0) AS __off",
         )
         .where(needed)
-        .selectExpr(*qs(by), "__slot", "__off", "__n")
     )
+    most = wanted.selectExpr("max(__rows)").first()[0] or 0
+    if most <= BUCKET_ROWS:
+        members = null_safe(placed, wanted.select(*by, "__slot", "__off", "__n"), [*by, "__slot"])
+    else:
+        wanted = _refine(rows, by, wanted.drop("__slot"), needed, most)
+        members = _inside(rows, by, wanted)
     distinct = (
-        null_safe(placed, wanted, [*by, "__slot"])
-        .groupBy(*by, "__slot", "__off", "__n", "__v")
+        members.groupBy(*by, "__off", "__n", "__v")
         .agg(F.expr("count(1) AS __rows"))
-        .selectExpr("*", f"__off + sum(__rows) {_over([*by, '__slot'], '__v', 'upto')} AS __upto")
+        .selectExpr("*", f"__off + sum(__rows) {_over([*by, '__off'], '__v', 'upto')} AS __upto")
     )
     picked = distinct.groupBy(*by).agg(
         F.expr("max(__n) AS __n"),
@@ -361,14 +365,56 @@ def quantiles(
     return picked.selectExpr(
         *qs(by),
         *[
-            f"`__lo_{p}` + (`__hi_{p}` - `__lo_{p}`)"
-            f" * ((__n - 1) * {float(probs[p])!r}D - {low[p]}) AS {q(p)}"
+            f"CASE WHEN `__lo_{p}` = `__hi_{p}` THEN `__lo_{p}`"
+            f" ELSE `__lo_{p}` + (`__hi_{p}` - `__lo_{p}`)"
+            f" * ((__n - 1) * {float(probs[p])!r}D - {low[p]}) END AS {q(p)}"
             for p in names
         ],
         "__n AS n",
     )
 
 
+def _span() -> list:
+    return [F.expr(e) for e in ("count(1) AS __rows", "min(__v) AS __lo", "max(__v) AS __hi")]
+
+
+def _inside(rows: DataFrame, by: list[str], ranges: DataFrame) -> DataFrame:
+    """The rows lying in the value ranges of their group."""
+    slim = ranges.selectExpr(*qs(by), "__lo", "__hi", "__off", "__n", "1 AS __one")
+    keyed = rows.selectExpr(*qs(by), "__v", "1 AS __one")
+    return null_safe(keyed, slim, [*by, "__one"]).where("__v BETWEEN __lo AND __hi").drop(
+        "__one", "__lo", "__hi"
+    )
+
+
+def _refine(rows: DataFrame, by: list[str], ranges: DataFrame, needed: str, most: int) -> DataFrame:
+    """Cut the ranges at 255 more points each until they hold few rows, or until
+    cutting no longer helps because one value fills a range."""
+    grid = ", ".join(f"{i / 256}D" for i in range(1, 256))
+    group = [*by, "__off", "__n"]
+    while True:
+        inside = _inside(rows, by, ranges)
+        edges, _ = settle(
+            inside.groupBy(*group).agg(F.expr(f"percentile_approx(__v, array({grid}), 10000) AS __e"))
+        )
+        parts, _ = settle(
+            null_safe(inside, edges, group)
+            .selectExpr(*qs(group), "__v", "size(filter(__e, x -> x <= __v)) AS __slot")
+            .groupBy(*group, "__slot")
+            .agg(*_span())
+            .selectExpr(
+                *qs([*by, "__n", "__lo", "__hi", "__rows"]),
+                f"__off + coalesce(sum(__rows) {_over(group, '__slot', 'before')}, 0) AS __off",
+            )
+            .where(needed)
+        )
+        left = parts.selectExpr("max(__rows)").first()[0] or 0
+        ranges = parts
+        if left <= BUCKET_ROWS or left > most / 2:
+            return ranges
+        most = left
+
+
 def unpivot(
     df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name: str = "feature",
     value: str = "value", kind: str = "double",

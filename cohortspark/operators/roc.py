@@ -204,7 +204,7 @@ def pr_area(
         .groupBy(*by)
         .agg(
             F.expr(
-                f"sum(CAST(pos AS DOUBLE) / p_total * (CAST(tp AS DOUBLE) / (tp + fp) + {before}) / 2)"
+                f"sum(try_divide(CAST(pos AS DOUBLE), p_total) * (CAST(tp AS DOUBLE) / (tp + fp) + {before}) / 2)"
                 " AS pr_auc"
             ),
             F.expr("CAST(max(p_total) AS DOUBLE) / (max(p_total) + max(n_total)) AS baseline"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import local_table
+from ..session import local_table, stage
 from .models import fit_logistic
 from .prepare import column_quantiles
 from .ranking import q, running_sums, text, unpivot
@@ -37,7 +37,7 @@ def f_scores(df: DataFrame, features: Sequence[str], label: str = "label") -> Da
     )
     return summed.selectExpr(
         "feature",
-        "try_divide((nmm - nm * nm / n) / (g - 1), within / (n - g)) AS score",
+        "try_divide(try_divide(nmm - nm * nm / n, g - 1), try_divide(within, n - g)) AS score",
     )
 
 
@@ -149,16 +149,20 @@ def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.selectExpr(f"CAST({q(a)} AS DOUBLE) AS a", f"CAST({q(b)} AS DOUBLE) AS b").where(
         "a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)"
     )
-    cells = rows.groupBy("a", "b").agg(F.expr("count(1) AS n"))
+    cells = stage(rows.groupBy("a", "b").agg(F.expr("count(1) AS n")))
 
-    ra = running_sums(cells, "a", {"n": "n"}).selectExpr(
-        "a", "n AS na", "n_before + (n + 1) / 2D AS ra"
+    ra = stage(
+        running_sums(cells, "a", {"n": "n"}).selectExpr(
+            "a", "n AS na", "n_before + (n + 1) / 2D AS ra"
+        )
     )
     per_b = cells.groupBy("b").agg(F.expr("sum(n) AS n"))
-    rb = running_sums(per_b, "b", {"n": "n", "d": "1L"}).selectExpr(
-        "b", "n AS nb", "n_before + (n + 1) / 2D AS rb", "d_before AS dense", "d_total"
+    rb = stage(
+        running_sums(per_b, "b", {"n": "n", "d": "1L"}).selectExpr(
+            "b", "n AS nb", "n_before + (n + 1) / 2D AS rb", "d_before AS dense", "d_total"
+        )
     )
-    joined = cells.join(ra, "a").join(rb, "b")
+    joined = stage(cells.join(ra, "a").join(rb, "b"))
     bits = "sequence(0, greatest(0, CAST(ceil(log2(greatest(d_total, 2))) AS INT) - 1))"
     levels = joined.selectExpr("a", "n", "dense", f"explode({bits}) AS lvl").selectExpr(
         "a",
@@ -211,5 +215,7 @@ def importance_agreement(
         spark, [(f, float(first[f]), float(second[f])) for f in common], "feature string, a double, b double"
     )
     row = rank_agreement(table, "a", "b").first()
-    pearson = table.selectExpr("corr(a, b) AS r").first()["r"]
+    pearson = table.selectExpr(
+        "try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b)) AS r"
+    ).first()["r"]
     return {"spearman": row["spearman"], "kendall": row["kendall"], "pearson": pearson}

@@ -294,10 +294,11 @@ AUC_SQL = (
 )
 
 
-def metrics_select(by: str = "", auc: bool = True) -> str:
-    cells = [r(f"coalesce({e}, 0)", n) for n, e in METRICS_SQL.items()]
+def metrics_select(by: str = "", auc: bool = True, rounding: bool = True) -> str:
+    cells = {n: f"coalesce({e}, 0)" for n, e in METRICS_SQL.items()}
     if auc:
-        cells.append(r(AUC_SQL, "auc"))
+        cells["auc"] = AUC_SQL
+    cells = [r(e, n) if rounding else f"{e} AS {n}" for n, e in cells.items()]
     return f"{by}{', ' if by else ''}tn, fp, fn, tp, {', '.join(cells)}"
 
 

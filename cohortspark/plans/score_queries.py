@@ -349,11 +349,11 @@ def _metric_rows(spark, sf) -> DataFrame:
 _METHODS = (
     f"WITH {_RULED}, c AS (SELECT 'high_price' AS method, * FROM ({confusion_sql('ruled', 'high_price', 'cohort')})"
     f" UNION ALL SELECT 'low_price', * FROM ({confusion_sql('ruled', 'low_price', 'cohort')})),"
-    f" m AS (SELECT method, {metrics_select('cohort')} FROM c)"
+    f" m AS (SELECT method, {metrics_select('cohort', rounding=False)} FROM c)"
 )
 
 
-@query("method_compare", f"{_METHODS} SELECT * FROM m")
+@query("method_compare", f"{_METHODS} SELECT method, {metrics_select('cohort')} FROM c")
 def method_compare(spark, sf):
     return _metric_rows(spark, sf)
 
@@ -368,7 +368,7 @@ _LONG = " UNION ALL ".join(
     "method_winners",
     f"{_METHODS}, long AS ({_LONG}), w AS (SELECT cohort, metric, max(value) FILTER (WHERE method = 'high_price') AS a,"
     " max(value) FILTER (WHERE method = 'low_price') AS b FROM long GROUP BY cohort, metric)"
-    " SELECT cohort, metric, a AS first_value, b AS second_value,"
+    f" SELECT cohort, metric, {r('a', 'first_value')}, {r('b', 'second_value')},"
     " CASE WHEN a > b THEN 'high_price' WHEN b > a THEN 'low_price' ELSE 'tie' END AS winner FROM w",
 )
 def method_winners(spark, sf):

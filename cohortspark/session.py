@@ -83,15 +83,16 @@ def local_table(
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
-def settle_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Replace ``df`` by a local relation when it has at most ``limit`` rows.
+def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Compute ``df`` once: a local relation when it has at most ``limit`` rows, else
+    a table in the shared folder.
 
-    Returns the frame and whether it was small. A larger frame comes back as it
-    was, distributed, and joins with it are left to the optimizer.
+    Returns the frame and whether it was small. Only the small form can be broadcast
+    without further checks; joins with the large form are left to the optimizer.
     """
     table = df.limit(limit + 1).toArrow()
     if table.num_rows > limit:
-        return df, False
+        return stage(df), False
     return df.sparkSession.createDataFrame(table, df.schema), True
 
 

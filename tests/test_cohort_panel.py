@@ -307,3 +307,31 @@ def test_dataset(spark, star):
 def test_report_file(spark, tmp_path):
     path = write_report(table(spark, [("a", 1)], "k string, n int"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(path).first()["k"] == "a"
+
+
+def test_hot_subject_is_split_in_the_lookback_join(spark):
+    """With broadcasts off, a subject holding most rows becomes a skewed join."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        obs = spark.range(0, 60_000, 1, 8).selectExpr(
+            "CASE WHEN id % 3 > 0 THEN 7L ELSE id % 500 END AS subject_id",
+            "CAST(id % 5 AS INT) AS itemid",
+            "timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS charttime",
+            "CAST(id AS DOUBLE) AS valuenum",
+        )
+        recent = lookback(obs, 1).groupBy("subject_id", "itemid").agg(F.expr("avg(valuenum) AS m"))
+        assert recent.count() == 504
+        recent.collect()
+        assert "skew=true" in recent._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

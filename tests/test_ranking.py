@@ -39,6 +39,18 @@ def test_quantiles_null_group_is_a_group(spark):
     assert found == {None: 1.5, "a": 5.0}
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_refine_ranges(spark, monkeypatch, by):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 3)
+    rows = [("a", v) for v in lcg(3000, 3)] + [("b", 0.25)] * 2000 + [("b", v) for v in lcg(1000, 4)]
+    df = table(spark, rows, "g string, v double")
+    found = quantiles(df, "v", {"a": 0.07, "m": 0.5}, by).collect()
+    for r in found:
+        values = [v for k, v in rows if not by or k == r["g"]]
+        assert r["m"] == pytest.approx(np.quantile(values, 0.5), abs=1e-12)
+        assert r["a"] == pytest.approx(np.quantile(values, 0.07), abs=1e-12)
+
+
 def test_quantiles_approx(spark):
     df = table(spark, [(float(i),) for i in range(101)], "v double")
     assert quantiles(df, "v", {"m": 0.5}, approx=True).first()["m"] == 50.0
@@ -103,7 +115,7 @@ def test_cut_table_beyond_the_small_limit_stays_distributed(spark, monkeypatch):
     import cohortspark.session as session
 
     monkeypatch.setattr(session, "SMALL_ROWS", 2)
-    monkeypatch.setattr(session.settle_if_small, "__defaults__", (2,))
+    monkeypatch.setattr(session.settle, "__defaults__", (2,))
     df = table(spark, [(i, i % 50) for i in range(500)], "id bigint, c int")
     out = cuts_passed(df, hash_order(["id"], 1), ["floor(n * 0.3D + 1e-9D)"], by=["c"])
     assert out.where("passed = 0").count() == 150
