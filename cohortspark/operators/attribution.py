@@ -7,11 +7,13 @@ linear models ``phi`` explains the log-odds, for forests the probability of clas
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from ..session import local_table, require_columns, shared_folder
 from .models import VECTOR, Fitted
 from .ranking import hash_key, q, qs, text
 
+# The batch function travels with the job: executors need numpy and pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A model beyond this many nodes is not turned into a leaf table.
 MAX_NODES = 4_000_000
 # Doubles held at once while explaining a batch.
@@ -37,7 +42,7 @@ def attribute(
     if chosen == "linear":
         return linear_attribution(df, model.features, model.weights, keys)
     if chosen == "tree":
-        return tree_attribution(model, df, keys)
+        return tree_attribution(model, df, keys, **options)
     if chosen == "sampled":
         return sampled_attribution(model, df, keys, **options)
     raise ValueError(f"method must be 'linear', 'tree' or 'sampled', not {method!r}")
@@ -172,16 +177,21 @@ def explain_batch(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
     return phi
 
 
-def tree_attribution(model: Fitted, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def tree_attribution(
+    model: Fitted, df: DataFrame, keys: Sequence[str], partitions: int | None = None
+) -> DataFrame:
     """Exact path-dependent tree attribution, row batches on the executors.
 
     Only the leaf table is broadcast; its size is set by the model's trees and
-    depth and checked, never by the data.
+    depth and checked, never by the data. Rows stay in their partitions unless
+    ``partitions`` spreads a frame of few files over more cores.
     """
     spark = df.sparkSession
     features = list(model.features)
     shared = spark.sparkContext.broadcast(leaf_table(model, spark))
     kept = df.selectExpr(*qs(keys), *[f"CAST({q(f)} AS DOUBLE) AS {q(f)}" for f in features])
+    if partitions:
+        kept = kept.repartition(partitions)
     schema = T.StructType([*kept.schema.fields, T.StructField("__phi", T.ArrayType(T.DoubleType()))])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -516,7 +516,8 @@ def tree_attribution_forest(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
     frame = stage(frame)
     model = fit_model(frame, names, kind="random_forest", settings={"trees": 50, "depth": 8})
-    return importance(attribute(model, frame, ["vec_id"]))
+    cores = spark.sparkContext.defaultParallelism
+    return importance(attribute(model, frame, ["vec_id"], partitions=cores))
 
 
 @query("tree_attribution_boosted")
@@ -524,7 +525,8 @@ def tree_attribution_boosted(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
     frame = stage(frame)
     model = fit_model(frame, names, kind="boosted_trees", settings={"trees": 10, "depth": 4})
-    return importance(attribute(model, frame, ["vec_id"]))
+    cores = spark.sparkContext.defaultParallelism
+    return importance(attribute(model, frame, ["vec_id"], partitions=cores))
 
 
 @query("sampled_attribution")

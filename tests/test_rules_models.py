@@ -225,6 +225,18 @@ def test_tree_attribution_is_exact_and_adds_up(spark, low, kind):
     assert model_info(model, low)["base_value"] == pytest.approx(tree_base(leaves))
 
 
+def test_batch_function_needs_no_package_on_the_executor(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(explain_batch))
+    code = "import pickle, numpy; f = pickle.load(open('f.pkl', 'rb')); print(f(numpy.ones((2, 3)), []).shape)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "(2, 3)", done.stderr
+
+
 def test_tree_ranking_and_direction(low):
     model = fit_model(low, FEATURES, settings={"trees": 10, "depth": 4})
     summary = summarise(attribute(model, low, ["subject_id"]), FEATURES)
