@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import as_timestamp
 from ..session import require_columns
-from .ranking import cuts_passed, hash_order, q, qs, time_order
+from .ranking import cuts_passed, hash_order, q, qs, text, time_order
 
 PARTS = ("train", "val", "test")
 _EPS = "1e-9D"
@@ -115,9 +115,9 @@ def folds(
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """(class, n, pct) with the percentage rounded to two decimals."""
-    return df.groupBy(F.col(column).alias("class")).agg(F.expr("count(1) AS n")).selectExpr(
-        "class", "n", "round(100.0D * n / sum(n) OVER (), 2) AS pct"
-    )
+    counts = df.groupBy(F.col(column).alias("class")).agg(F.expr("count(1) AS n"))
+    total = counts.select(F.sum("n")).scalar()
+    return counts.select("class", "n", F.round(F.lit(100.0) * F.col("n") / total, 2).alias("pct"))
 
 
 def split_stats(
@@ -141,16 +141,18 @@ def split_stats(
         if time
         else []
     )
-    return grouped.selectExpr(
-        f"'{strategy}' AS strategy",
+    total = grouped.select(F.sum("class_n")).scalar()
+    shares = grouped.selectExpr(
+        f"{text(strategy)} AS strategy",
         "split",
         "sum(class_n) OVER (PARTITION BY split) AS n",
-        "round(sum(class_n) OVER (PARTITION BY split) / sum(class_n) OVER (), 6) AS proportion",
+        "sum(class_n) OVER (PARTITION BY split) AS __n",
         "class",
         "class_n",
         "round(100.0D * class_n / sum(class_n) OVER (PARTITION BY split), 2) AS class_pct",
         *extra,
     )
+    return shares.withColumn("proportion", F.round(F.col("__n") / total, 6)).drop("__n")
 
 
 def split_summary(stats: DataFrame) -> str:

@@ -530,7 +530,8 @@ def prefix_counts(spark, sf):
 # --- whole chain -------------------------------------------------------------
 
 
-_DATASET_FEATURES = b.BRANDS[:6]
+# the configured items of this data set
+_DATASET_FEATURES = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"]
 
 
 def _dataset_sql() -> str:

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import score_mean
 from ..operators.compare import cohort_summary, compare_methods, method_averages, winners
-from ..operators.confusion import binary_metrics, class_rates
+from ..operators.confusion import binary_metrics, class_rates, cut_probability
+from ..operators.models import Fitted
 from ..operators.prepare import Scaler
-from ..operators.roc import auc, optimal_threshold
+from ..operators.ranking import q, qs, text
+from ..operators.roc import auc, optimal_threshold, pr_area
 from ..operators.split import folds, train_test
 from ..operators.thresholds import Finder, LiteratureRule, RangeFlags, Rule, YoudenRule
+from ..session import stage
 from ..sources.sinks import write_result
 
 
@@ -28,6 +31,41 @@ def evaluate_rule(
     return metrics.select(F.lit(rule.method).alias("method"), *metrics.columns)
 
 
+def evaluate_rules(
+    rules: Sequence[Rule], df: DataFrame, label: str = "label", by: Sequence[str] = ()
+) -> DataFrame:
+    """Metrics of several rules from one pass: one row per rule and ``by`` group."""
+    if not rules:
+        raise ValueError("no rules to evaluate")
+    names = [f"__p{i}" for i in range(len(rules))]
+    scored = df.select(*by, label, *[r.column().alias(n) for r, n in zip(rules, names)])
+    pairs = ", ".join(
+        f"struct({text(r.method)} AS method, {n} AS prediction)" for r, n in zip(rules, names)
+    )
+    long = scored.selectExpr(*qs([*by, label]), f"inline(array({pairs}))")
+    return binary_metrics(long, "prediction", label, ["method", *by])
+
+
+def evaluate_model(
+    model: Fitted, df: DataFrame, label: str = "label", threshold: float = 0.5
+) -> DataFrame:
+    """Metrics of a classifier: confusion metrics of the probability cut at
+    ``threshold``, exact AUC and precision-recall area of the probability."""
+    scored = stage(model.predict(df, [label]).where(f"probability IS NOT NULL AND {q(label)} IS NOT NULL"))
+    metrics = binary_metrics(
+        cut_probability(scored.drop("prediction"), "probability", threshold),
+        "prediction", label, extended=True,
+    ).drop("auc")
+    area = auc(scored, "probability", label).first()
+    pr = pr_area(scored, "probability", label).first()
+    return metrics.select(
+        F.lit(model.kind).alias("method"),
+        *metrics.columns,
+        F.lit(area["auc"] if area else None).cast("double").alias("auc"),
+        F.lit(pr["pr_auc"] if pr else None).cast("double").alias("pr_auc"),
+    )
+
+
 def evaluate_finder(
     finder: Finder,
     train: DataFrame,
@@ -142,12 +180,9 @@ def run_experiment(
     if rank_scaled:
         others = [c for c in train.columns if c not in features]
         rank_on = Scaler("standard", others).fit_transform(train)
-    rules, rows = {}, []
-    for method, finder in finders.items():
-        rule, metrics = evaluate_finder(finder, train, test, features, label, rank_on)
-        rules[method] = rule
-        rows.append(metrics)
-    metrics = compare_methods(rows).withColumn("cohort", F.lit(cohort))
+    rules = {method: finder.fit(train, features, rank_on) for method, finder in finders.items()}
+    metrics = compare_methods(evaluate_rules(list(rules.values()), test, label))
+    metrics = metrics.withColumn("cohort", F.lit(cohort))
     info = {"seed": seed, **class_rates(frame, label).first().asDict()}
     predictions = test.select(
         *keys, label, *[r.column().alias(m) for m, r in rules.items()]

@@ -26,7 +26,15 @@ from ..operators.thresholds import (
 from ..session import local_table, shared_folder, stage
 from ..sources.sinks import load_splits, save_splits
 from . import bindings as b
-from .experiment import cross_validate, evaluate_rule, run_cohorts, run_experiment, summarise_cohorts
+from .experiment import (
+    cross_validate,
+    evaluate_model,
+    evaluate_rule,
+    evaluate_rules,
+    run_cohorts,
+    run_experiment,
+    summarise_cohorts,
+)
 from .panel_queries import METRICS_SQL, confusion_sql, metrics_select
 from .registry import query, r
 
@@ -342,8 +350,7 @@ def class_rates_query(spark, sf):
 
 
 def _metric_rows(spark, sf) -> DataFrame:
-    orders = stage(_labelled_orders(spark, sf))
-    return compare_methods([evaluate_rule(rule, orders, by=["cohort"]) for rule in RULES])
+    return compare_methods(evaluate_rules(RULES, _labelled_orders(spark, sf), by=["cohort"]))
 
 
 _METHODS = (
@@ -402,16 +409,16 @@ def method_averages_query(spark, sf):
 @query(
     "optimal_flags",
     f"WITH {_DIMS}, {roc_sql('dimension', 'dim')}, {_best('dim')}, f AS (SELECT vec_id, "
-    + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(4))
+    + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(b.DIMENSIONS))
     + " FROM embeddings) SELECT vec_id, "
     + ", ".join(
-        f"CAST(e{i} >= (SELECT score FROM best WHERE dim = {i}) AS INT) AS e{i}_high" for i in range(4)
+        f"CAST(e{i} >= (SELECT score FROM best WHERE dim = {i}) AS INT) AS e{i}_high" for i in range(b.DIMENSIONS)
     )
     + " FROM f",
 )
 def optimal_flags(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
-    return QuantileFlags(method="optimal").fit(frame, names[:4]).transform(frame, ["vec_id"])
+    return QuantileFlags(method="optimal").fit(frame, names).transform(frame, ["vec_id"])
 
 
 # --- attribution and ranking -------------------------------------------------
@@ -558,6 +565,13 @@ def model_probabilities(spark, sf):
     )
 
 
+@query("model_metrics")
+def model_metrics(spark, sf):
+    frame, names = b.embedding_frame(spark, sf)
+    frame = stage(frame)
+    return evaluate_model(fit_model(frame, names, kind="logistic_regression"), frame)
+
+
 @query("rule_cross_validation")
 def rule_cross_validation(spark, sf):
     frame, names = b.user_frame(spark, sf)

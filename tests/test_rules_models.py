@@ -39,7 +39,9 @@ from cohortspark.operators.thresholds import (
 from cohortspark.plans.experiment import (
     cross_validate,
     evaluate_flags,
+    evaluate_model,
     evaluate_rule,
+    evaluate_rules,
     run_cohorts,
     run_experiment,
     summarise_cohorts,
@@ -350,6 +352,26 @@ def test_experiment(spark, low, tmp_path):
         summarise_cohorts({})
 
 
+def test_model_evaluation(low):
+    model = fit_model(low, FEATURES, kind="logistic_regression")
+    row = evaluate_model(model, low).first()
+    scored = [(r["label"], r["probability"]) for r in model.predict(low).collect()]
+    pos = [p for y, p in scored if y == 1]
+    neg = [p for y, p in scored if y == 0]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert row["auc"] == pytest.approx(want) and 0 < row["pr_auc"] <= 1
+    assert row["tp"] == sum(p >= 0.5 for p in pos)
+
+
+def test_rules_are_scored_in_one_pass(low):
+    rules = [Rule("wbc", 8.0, "high", "a"), Rule("wbc", 8.0, "low", "b")]
+    got = {r["method"]: r for r in evaluate_rules(rules, low).collect()}
+    alone = evaluate_rule(rules[0], low).first()
+    assert got["a"].asDict() == alone.asDict() and set(got) == {"a", "b"}
+    with pytest.raises(ValueError):
+        evaluate_rules([], low)
+
+
 def test_cross_validation(low):
     rows = cross_validate(YoudenRule, low, FEATURES, ["subject_id"], 3).collect()
     assert sorted(r["fold"] for r in rows) == [0, 1, 2]
