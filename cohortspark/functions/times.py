@@ -31,21 +31,28 @@ def as_timestamp(df: DataFrame, name: str) -> DataFrame:
     raise ValueError(f"column {name} of type {kind.simpleString()} is not a time")
 
 
-def epoch_micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since 1970 as a long, in the order of the column."""
+def epoch_micros(df: DataFrame, name: str) -> str:
+    """SQL text: microseconds since 1970 as a long, in the order of the column.
+
+    A timestamp without zone is read as wall-clock time, whatever the session zone.
+    """
     kind = df.schema[name].dataType
+    c = f"`{name}`"
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name))
+        return f"unix_micros({c})"
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(
-            f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)"
+        return (
+            f"(CAST(datediff(CAST({c} AS DATE), DATE'1970-01-01') AS BIGINT) * 86400000000"
+            f" + hour({c}) * 3600000000L + minute({c}) * 60000000L"
+            f" + CAST(extract(SECOND FROM {c}) * 1000000 AS BIGINT))"
         )
     raise ValueError(f"column {name} of type {kind.simpleString()} is not a timestamp")
 
 
 def hours_between(df: DataFrame, start: str, end: str) -> Column:
     """Hours from ``start`` to ``end`` as a double."""
-    return (epoch_micros(df, end) - epoch_micros(df, start)) / F.lit(float(MICROS_PER_HOUR))
+    span = f"({epoch_micros(df, end)} - {epoch_micros(df, start)})"
+    return F.expr(f"{span} / {float(MICROS_PER_HOUR)!r}D")
 
 
 def within_hours(hours: Column, low: float, high: float) -> Column:

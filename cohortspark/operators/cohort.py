@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalise_code
-from ..session import local_table, null_safe, require_columns
+from ..session import local_table, require_columns
 from ..sources.config import CodeRule
 from .ranking import q, qs, text
 
@@ -100,7 +100,7 @@ def members_of(
     if cohort not in known:
         raise ValueError(f"unknown cohort {cohort!r}; known: {known}")
     own = [r for r in rules if r.cohort == cohort]
-    found = cohort_members(facts, own, subject, **match).select(subject)
+    found = match_codes(facts, own, **match).select(subject).distinct()
     return found.orderBy(subject) if ordered else found
 
 
@@ -116,7 +116,8 @@ def cohort_labels(
     subject matches the cohort."""
     positives = members_of(facts, rules, cohort, subject, ordered=False, **match)
     everyone = population.select(subject).distinct()
-    marked = null_safe(everyone, positives.withColumn("__hit", F.lit(1)), [subject], "left")
+    # both sides are grouped by subject already, so the join moves nothing
+    marked = everyone.join(positives.withColumn("__hit", F.lit(1)), subject, "left")
     return marked.selectExpr(q(subject), "coalesce(__hit, 0) AS label")
 
 
@@ -140,7 +141,9 @@ def all_labels(
     )
     listed = ", ".join(text(n) for n in names)
     return (
-        null_safe(population.select(subject).distinct(), sets, [subject], "left")
+        population.select(subject)
+        .distinct()
+        .join(sets, subject, "left")
         .selectExpr(q(subject), "__set", f"explode(array({listed})) AS cohort")
         .selectExpr(
             q(subject),

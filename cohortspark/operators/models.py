@@ -10,8 +10,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +74,18 @@ class Fitted:
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` plus the feature vector; a missing feature value fails the job."""
     require_columns(df, features, "model frame")
-    doubles = df.withColumns({f"__x{i}": F.col(f).cast("double") for i, f in enumerate(features)})
-    return VectorAssembler(
-        inputCols=[f"__x{i}" for i in range(len(features))], outputCol=VECTOR, handleInvalid="error"
-    ).transform(doubles).drop(*[f"__x{i}" for i in range(len(features))])
+    values = ", ".join(f"CAST({q(f)} AS DOUBLE)" for f in features)
+    complete = (
+        "if(exists(__values, x -> x IS NULL OR isnan(x)),"
+        " raise_error('a feature value is missing; impute first'), __values)"
+    )
+    return (
+        df.selectExpr("*", f"array({values}) AS __values")
+        .withColumn(VECTOR, array_to_vector(F.expr(complete)))
+        .drop("__values")
+    )
 
 
 def _columns() -> dict:

@@ -17,9 +17,35 @@ from .cohort import match_codes
 from .panel import add_hours
 from .ranking import q, qs, quantiles, text, unpivot
 
+# Advice by upper limit of the subject prevalence and of the mean
+# missing share (percent), the last entry having no limit; report limits.
+PREVALENCE_ADVICE = [
+    (1, "SMOTE + class weights + stratified sampling"),
+    (5, "Class weights + stratified sampling"),
+    (15, "Stratified sampling (minimal intervention)"),
+    (None, "Standard sampling (well-balanced)"),
+]
+MISSING_ADVICE = [
+    (20, "Use as-is with simple imputation (median/mean)"),
+    (40, "Multiple imputation or create missing indicator"),
+    (60, "Optional feature with missingness indicator"),
+    (None, "May need to exclude from primary analysis"),
+]
+SUITABLE_SUBJECTS = 1000
+LOW_COVERAGE = 80
+SUFFICIENT = (1000, 70)
+MARGINAL_SUBJECTS = 500
+MOSTLY_MISSING = 50
+
 _PCT = "CASE WHEN {b} > 0 THEN 100D * ({a}) / ({b}) ELSE 0D END"
 
 
+def _advice(value: str, table: Sequence[tuple]) -> str:
+    """SQL: the text of the first limit above ``value``."""
+    cases = " ".join(f"WHEN {value} < {limit} THEN {text(t)}" for limit, t in table if limit is not None)
+    return f"CASE {cases} ELSE {text(table[-1][1])} END"
+
+
 def _known(value: str) -> str:
     return f"{q(value)} IS NOT NULL AND NOT isnan(CAST({q(value)} AS DOUBLE))"
 
@@ -128,11 +154,8 @@ def imbalance_strategy(balance: DataFrame, prevalence: str = "subject_prevalence
     return balance.selectExpr(
         "cohort",
         f"{p} AS prevalence",
-        f"CASE WHEN {p} < 1 THEN 'SMOTE + class weights + stratified sampling'"
-        f" WHEN {p} < 5 THEN 'Class weights + stratified sampling'"
-        f" WHEN {p} < 15 THEN 'Stratified sampling (minimal intervention)'"
-        " ELSE 'Standard sampling (well-balanced)' END AS strategy",
-        "subject_pos >= 1000 AS suitable",
+        f"{_advice(p, PREVALENCE_ADVICE)} AS strategy",
+        f"subject_pos >= {SUITABLE_SUBJECTS} AS suitable",
     )
 
 
@@ -248,9 +271,9 @@ def coverage_assessment(available: DataFrame) -> DataFrame:
         "cohort",
         "with_tests",
         "pct_with_tests",
-        "pct_with_tests < 80 AS low_coverage",
-        "CASE WHEN with_tests >= 1000 AND pct_with_tests >= 70 THEN 'sufficient'"
-        " WHEN with_tests >= 500 THEN 'marginal' ELSE 'insufficient' END AS sufficiency",
+        f"pct_with_tests < {LOW_COVERAGE} AS low_coverage",
+        f"CASE WHEN with_tests >= {SUFFICIENT[0]} AND pct_with_tests >= {SUFFICIENT[1]} THEN 'sufficient'"
+        f" WHEN with_tests >= {MARGINAL_SUBJECTS} THEN 'marginal' ELSE 'insufficient' END AS sufficiency",
     )
 
 
@@ -263,11 +286,8 @@ def feature_completeness(missing: DataFrame) -> DataFrame:
             "feature",
             "pct_with",
             "pct_missing",
-            "pct_missing > 50 AS mostly_missing",
-            "CASE WHEN pct_missing < 20 THEN 'Use as-is with simple imputation (median/mean)'"
-            " WHEN pct_missing < 40 THEN 'Multiple imputation or create missing indicator'"
-            " WHEN pct_missing < 60 THEN 'Optional feature with missingness indicator'"
-            " ELSE 'May need to exclude from primary analysis' END AS strategy",
+            f"pct_missing > {MOSTLY_MISSING} AS mostly_missing",
+            f"{_advice('pct_missing', MISSING_ADVICE)} AS strategy",
         )
     )
 

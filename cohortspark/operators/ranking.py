@@ -77,33 +77,39 @@ def running_sums(
 
     ``measures`` maps names to SQL expressions. Equal values are combined before
     any shuffle, so a value held by a third of the rows is one row by the time it
-    moves. Null and NaN values are left out.
+    moves. The sums per bucket come from one narrow scan and are added to the sums
+    inside each bucket. Null and NaN values are left out.
     """
     by, names = list(by), list(measures)
     v = q(value)
     rows = df.where(f"{v} IS NOT NULL AND NOT isnan(CAST({v} AS DOUBLE))")
     edges = range_edges(rows, value, buckets or default_buckets(df))
-    summed = rows.groupBy(*by, value).agg(
-        *[F.expr(f"sum({e}) AS {q(m)}") for m, e in measures.items()]
-    )
-    placed = (
-        Bucketizer(splits=edges, inputCol="__v", outputCol="__b")
-        .transform(summed.selectExpr("*", f"CAST({v} AS DOUBLE) AS __v"))
-        .selectExpr(*qs([*by, value, *names]), "CAST(__b AS INT) AS __bucket")
-    )
+    bucketizer = Bucketizer(splits=edges, inputCol="__v", outputCol="__b")
+
+    def placed(df: DataFrame, *columns: str) -> DataFrame:
+        with_value = df.selectExpr("*", f"CAST({v} AS DOUBLE) AS __v")
+        return bucketizer.transform(with_value).selectExpr(*columns, "CAST(__b AS INT) AS __bucket")
+
     way = "DESC" if descending else "ASC"
-    per_bucket = placed.groupBy(*by, "__bucket").agg(
-        *[F.expr(f"sum({q(m)}) AS {q('__' + m)}") for m in names]
-    )
     ahead = _over(by, f"__bucket {way}", "before")
-    offsets = per_bucket.selectExpr(
-        *qs(by),
-        "__bucket",
-        *[f"coalesce(sum(`__{m}`) {ahead}, 0) AS `__{m}_off`" for m in names],
-        *[f"sum(`__{m}`) {_over(by)} AS `{m}_total`" for m in names],
+    per_bucket = (
+        placed(rows, *qs(by), *[f"{e} AS {q('__' + m)}" for m, e in measures.items()])
+        .groupBy(*by, "__bucket")
+        .agg(*[F.expr(f"sum({q('__' + m)}) AS {q('__' + m)}") for m in names])
+    )
+    offsets, _ = settle(
+        per_bucket.selectExpr(
+            *qs(by),
+            "__bucket",
+            *[f"coalesce(sum(`__{m}`) {ahead}, 0) AS `__{m}_off`" for m in names],
+            *[f"sum(`__{m}`) {_over(by)} AS `{m}_total`" for m in names],
+        )
+    )
+    summed = rows.groupBy(*by, value).agg(
+        *[F.expr(f"sum({e}) AS {q(m)}") for m, e in measures.items()]
     )
     inside = _over([*by, "__bucket"], f"{v} {way}", "before")
-    ranked = placed.selectExpr(
+    ranked = placed(summed, *qs([*by, value, *names])).selectExpr(
         *qs([*by, value, "__bucket", *names]),
         *[f"coalesce(sum({q(m)}) {inside}, 0) AS `__{m}_in`" for m in names],
     )

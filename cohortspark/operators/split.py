@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import as_timestamp
+from ..functions.times import as_timestamp, epoch_micros
 from ..session import require_columns
 from .ranking import cuts_passed, hash_order, q, qs, text, time_order
 
@@ -60,7 +60,7 @@ class Splitter:
         require_columns(df, [time, *keys])
         timed = as_timestamp(df, time)
         passed = cuts_passed(
-            timed, time_order(_micros(timed, time), keys), self._ranks(), out="__passed"
+            timed, time_order(epoch_micros(timed, time), keys), self._ranks(), out="__passed"
         )
         return self._named(passed, df.columns)
 
@@ -76,13 +76,6 @@ class Splitter:
         return self._named(passed, df.columns)
 
 
-def _micros(df: DataFrame, time: str) -> str:
-    """SQL text of the instant in microseconds."""
-    if df.schema[time].dataType.simpleString() == "timestamp":
-        return f"unix_micros({q(time)})"
-    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {q(time)})"
-
-
 def parts(split: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, val, test) without the ``split`` column."""
     return tuple(split.where(F.col("split") == p).drop("split") for p in PARTS)

@@ -147,6 +147,24 @@ def test_labels_cover_every_subject(spark, diagnoses):
     assert set(column(non_members(people, diagnoses, rules, "ra"), "subject_id")) == {1002, 1004, 1005}
 
 
+def test_label_join_reuses_the_grouping(spark, diagnoses):
+    people = spark.range(0, 5_000_000).selectExpr("id AS subject_id")
+    text = plan(cohort_labels(people, diagnoses, SETTINGS.code_rules(), "ra"))
+    assert text.count("Exchange hashpartitioning") + text.count(") Exchange") <= 4
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    rows = [(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30, 0, 5))]
+    df = table(spark, rows, "a timestamp_ntz, b timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = df.select(hours_between(df, "a", "b").alias("h")).first()["h"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == pytest.approx(2 + 5 / 3.6e9, abs=1e-12)
+
+
 def test_empty_rules_and_facts(spark, diagnoses):
     assert match_codes(diagnoses, []).count() == 0
     assert cohort_members(diagnoses.where("false"), SETTINGS.code_rules()).count() == 0

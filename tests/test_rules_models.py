@@ -287,6 +287,12 @@ def test_models(low):
     assert set(column(model.predict(low), "prediction")) == {0, 1}
 
 
+def test_missing_feature_fails_the_fit(spark):
+    df = table(spark, [(1.0, 0), (None, 1)], "wbc double, label int")
+    with pytest.raises(Exception, match="impute first"):
+        fit_logistic(df, ["wbc"])
+
+
 # --- ranking -----------------------------------------------------------------
 
 
