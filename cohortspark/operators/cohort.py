@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import normalise_code
-from ..session import local_table, require_columns
+from ..session import SMALL_ROWS, local_table, require_columns
 from ..sources.config import CodeRule
 from .ranking import q, qs, text
 
@@ -66,17 +66,17 @@ def match_codes(
         facts = facts.where(any_start)
     cuts = ", ".join(f"struct({n} AS __len, substr(__code, 1, {n}) AS __prefix)" for n in lengths)
     keyed = facts.withColumn("__code", text).selectExpr("*", f"inline(array({cuts}))")
-    lookup = local_table(
-        facts.sparkSession,
-        [(c, s, len(p), p) for c, s, p in prepared],
-        "cohort string, __system string, __len int, __prefix string",
-    )
+    rows = [(c, s, len(p), p) for c, s, p in prepared]
+    schema = "cohort string, __system string, __len int, __prefix string"
+    lookup = local_table(facts.sparkSession, rows, schema)
+    if not match_system:
+        lookup = lookup.drop("__system")
+    if len(prepared) <= SMALL_ROWS:
+        lookup = F.broadcast(lookup)
     keys = ["__len", "__prefix"]
     if match_system:
         keyed = keyed.withColumn("__system", F.col(system).cast("string"))
         keys.append("__system")
-    else:
-        lookup = lookup.drop("__system")
     return keyed.join(lookup, keys).select(*facts.columns, "cohort")
 
 
