@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_fold
+from .langid import predict_languages, train_language_model
 from .packing import pack_documents
 from .secrets import find_secrets
+from .simhash import near_duplicates
 
 QUERIES = {}
 ORACLES = {}
@@ -18,6 +21,23 @@ def query(plan):
     return plan
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = in_fold("doc_id", 3, 1)
+    model = train_language_model(docs.filter(~held_out))
+    return predict_languages(docs, model, ("doc_id",)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
