@@ -102,14 +102,12 @@ def hub_links(crowded: DataFrame) -> DataFrame:
     ).selectExpr("bits", "j", "32 * (1 - segment) AS own", "32 * segment AS other")
     one = shaped.filter("j < 32").select(
         "bits", (F.col("j") + F.col("own")).alias("p"),
-        (F.explode(F.sequence(F.lit(0), F.lit(31))) + F.col("other")).alias("q"),
+        F.explode(F.sequence(F.col("other"), F.col("other") + 31)).alias("q"),
     )
     two = (
-        shaped.filter("j = 32").select("bits", "other", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("i"))
-        .select(
-            "bits", (F.col("i") + F.col("other")).alias("p"),
-            (F.explode(F.sequence(F.col("i") + 1, F.lit(31))) + F.col("other")).alias("q"),
-        )
+        shaped.filter("j = 32")
+        .select("bits", "other", F.explode(F.sequence(F.col("other"), F.col("other") + 30)).alias("p"))
+        .select("bits", "p", F.explode(F.sequence(F.col("p") + 1, F.col("other") + 31)).alias("q"))
     )
     return (
         one.unionByName(two)
