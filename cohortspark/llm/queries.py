@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, in_fold
 from .langid import predict_languages, train_language_model
+from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash import near_duplicates
@@ -31,6 +32,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op4_mix_sources"] = mixing_sql()
+
+
 @query
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(
