@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, in_fold
 from .langid import predict_languages, train_language_model
+from .lm import held_out_scores
 from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
@@ -32,6 +33,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(documents(spark, sf_dir))
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
