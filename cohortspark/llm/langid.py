@@ -194,14 +194,18 @@ def train_language_model(
     letters = letter_bits()
     total, frequency = document_frequencies(train, bits, longest, letters)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    languages = sorted(r[0] for r in train.select("lang").distinct().collect())
+    rows_of = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    languages = sorted(rows_of)
     empty = LanguageModel([], idf, np.zeros((1 << bits, 0)), np.zeros(0), 1.0, bits, longest)
     if not languages:
         return empty
     share = max(10, sample_rows // len(languages))
+    # A hash below a language's rate keeps about twice its share, so few rows are ranked.
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    rates = F.create_map(*[F.lit(x) for lang in languages for x in (lang, 2.0 * share / rows_of[lang])])
     chosen = (
-        train.select("doc_id", "lang").distinct().withColumn("place", order)
+        train.select("doc_id", "lang").withColumn("place", order)
+        .filter(F.col("place") / 2.0**64 + 0.5 < rates[F.col("lang")]).distinct()
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
         .filter(F.col("rank") <= share).select("doc_id", "lang", "place").toArrow().to_pylist()
     )

@@ -13,6 +13,7 @@ from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .vptree import nearest_by_product
 
 QUERIES = {}
 ORACLES = {}
@@ -53,6 +54,13 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_product(
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % 20 == 0
+    )
+
+
 @query
 def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
