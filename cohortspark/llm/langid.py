@@ -132,14 +132,20 @@ def follow_the_leader(rows, labels, size, classes, alpha, beta, l1, l2, epochs,
 
 
 def best_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss, by golden-section search on its logarithm.
+
+    One row's worth of doubt is spread over the labels, so that a faultless sample does not make all
+    certain.
+    """
     if not len(scores):
         return 1.0
+    doubt = 1 / (len(scores) + 1)
 
     def loss(t):
         shifted = scores / np.exp(t)
         shifted = shifted - shifted.max(axis=1, keepdims=True)
-        return (np.log(np.exp(shifted).sum(axis=1)) - shifted[np.arange(len(labels)), labels]).sum()
+        aimed = (1 - doubt) * shifted[np.arange(len(labels)), labels] + doubt * shifted.mean(axis=1)
+        return (np.log(np.exp(shifted).sum(axis=1)) - aimed).sum()
 
     low, high, ratio = np.log(0.02), np.log(50.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):

@@ -13,6 +13,7 @@ from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 from .vptree import nearest_by_product
 
 QUERIES = {}
@@ -54,6 +55,11 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op8_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_product(
