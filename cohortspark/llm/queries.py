@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, in_fold
+from .fingerprints import fingerprint_documents
 from .langid import predict_languages, train_language_model
 from .lm import held_out_scores
 from .mixing import mix_sources, mixing_sql
@@ -35,6 +36,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 @query
 def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(documents(spark, sf_dir))
