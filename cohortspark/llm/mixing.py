@@ -155,18 +155,25 @@ def take_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
     A row taken ``k`` times whole comes ``k`` times; a remainder comes as one more row
     of the first words of its text, with ``n_chars`` (if there) following. Rows that the mix does not
-    take go. Rows with one id share the words that the mix takes of that id and source.
+    take go. Rows alike in id, source and size share
+    the words that the mix takes of them.
     """
     names = docs.columns
     mixed = mix_sources(docs, doc_id=doc_id, text=text, source=source, **options)
-    taken = mixed.groupBy("doc_id", "source").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows")).filter("__taken > 0")
-    taken = taken.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
-    rows = docs.join(taken, docs[doc_id].eqNullSafe(taken["__id"]) & docs[source].eqNullSafe(taken["__source"]))
-    size = word_count(text)
+    taken = (
+        mixed.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+        .filter("__taken > 0").withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__words"})
+    )
+    size = F.col("__size")
+    sized = docs.withColumn("__size", word_count(text)).filter(size > 0)
+    rows = sized.join(
+        taken,
+        sized[doc_id].eqNullSafe(taken["__id"]) & sized[source].eqNullSafe(taken["__source"]) & (size == taken["__words"]),
+    )
     share = F.ceil(F.col("__taken") / F.col("__rows"))
     whole = F.floor(share / size).cast("int")
     rest = (share % size).cast("int")
-    copies = rows.withColumn("__size", size).filter("__size > 0").withColumn("__whole", whole).withColumn("__rest", rest)
+    copies = rows.withColumn("__whole", whole).withColumn("__rest", rest)
     copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + (F.col("__rest") > 0).cast("int"))))
     part = F.col("__copy") > F.col("__whole")
     begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1)), F.lit(1), F.col("__rest")), "")
@@ -196,7 +203,8 @@ def mixing_sql(weights=(5.0, 2.0, 1.0), most=3.0, block=64, shard_words=1 << 22,
     weight = "list_value(" + ", ".join(f"{float(w)}::DOUBLE" for w in weights) + f")[CAST((place % {len(weights)}) + 1 AS BIGINT)]"
     return rf"""
 WITH measured AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
     md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
   FROM documents),
 everything AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS words FROM measured),
