@@ -14,6 +14,7 @@ from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .vptree import nearest_by_product
 
@@ -61,6 +62,13 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
