@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import require_columns, stage
 
-__all__ = ["WORD", "by_value", "documents", "in_fold", "inputs", "partitions_for", "stage"]
+__all__ = ["WORD", "by_value", "documents", "in_fold", "inputs", "spare", "stage"]
 
 # A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,19 +40,12 @@ def inputs(df: DataFrame, what: str, **columns: str) -> DataFrame:
     return df.select(*[df[name].alias(role) for role, name in columns.items()])
 
 
-def partitions_for(df: DataFrame, rows: int, per_partition: int) -> int:
-    """Partitions for ``rows`` rows, and no fewer than the session's shuffle setting."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // per_partition))
-
-
-def once_per_batch(function: Callable, *state: Callable) -> Callable:
-    """A batch iterator that builds ``state`` once a task, then maps each batch."""
-
-    def run(batches):
-        made = [make() for make in state]
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch, *made)
-
-    return run
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep clear of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from .common import by_value, inputs
+from .common import by_value, inputs, spare
 
 by_value(__name__)
 
@@ -301,9 +301,9 @@ def predict_languages(
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of at least ``least``."""
     names = docs.columns
-    clash = [c for c in ("lang_pred", "score") if c in names]
-    plain = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
-    back = {f"__{c}": c for c in clash}
-    out = predict_languages(plain, model, tuple(plain.columns), text)
+    clash = dict(zip(names, spare(docs, *[f"kept_{c}" for c in names])))
+    plain = docs.withColumnsRenamed({c: clash[c] for c in names if c.lower() in ("lang_pred", "score", "__text")})
+    back = {clash[c]: c for c in names}
+    out = predict_languages(plain, model, tuple(plain.columns), clash[text] if clash[text] in plain.columns else text)
     sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
     return out.filter(sure).drop("lang_pred", "score").withColumnsRenamed(back).select(*names)

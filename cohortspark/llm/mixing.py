@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, inputs, stage
+from .common import WORD, inputs, spare, stage
 
 SEED = "mix"
+SPACE = r"[\x20\x09-\x0D]*"
 
 
 def word_count(text: str):
@@ -159,27 +160,27 @@ def take_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     the words that the mix takes of them.
     """
     names = docs.columns
-    mixed = mix_sources(docs, doc_id=doc_id, text=text, source=source, **options)
-    taken = (
-        mixed.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
-        .filter("__taken > 0").withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__words"})
+    size, whole, rest, copy, id_, from_, words, taken, rows = spare(
+        docs, "size_", "whole_", "rest_", "copy_", "id_", "from_", "words_", "taken_", "rows_"
     )
-    size = F.col("__size")
-    sized = docs.withColumn("__size", word_count(text)).filter(size > 0)
-    rows = sized.join(
-        taken,
-        sized[doc_id].eqNullSafe(taken["__id"]) & sized[source].eqNullSafe(taken["__source"]) & (size == taken["__words"]),
+    col = F.col
+    mixed = (
+        mix_sources(docs, doc_id=doc_id, text=text, source=source, **options).groupBy("doc_id", "source", "size")
+        .agg(F.sum("taken").alias(taken), F.count("*").alias(rows)).filter(col(taken) > 0)
+        .withColumnsRenamed({"doc_id": id_, "source": from_, "size": words})
     )
-    share = F.ceil(F.col("__taken") / F.col("__rows"))
-    whole = F.floor(share / size).cast("int")
-    rest = (share % size).cast("int")
-    copies = rows.withColumn("__whole", whole).withColumn("__rest", rest)
-    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + (F.col("__rest") > 0).cast("int"))))
-    part = F.col("__copy") > F.col("__whole")
-    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1)), F.lit(1), F.col("__rest")), "")
-    out = copies.withColumn(text, F.when(part, begun).otherwise(F.col(text)))
+    sized = docs.withColumn(size, word_count(text)).filter(col(size) > 0)
+    met = sized.join(
+        mixed, sized[doc_id].eqNullSafe(mixed[id_]) & sized[source].eqNullSafe(mixed[from_]) & (sized[size] == mixed[words])
+    )
+    share = F.ceil(col(taken) / col(rows))
+    copies = met.withColumn(whole, F.floor(share / col(size)).cast("int")).withColumn(rest, (share % col(size)).cast("int"))
+    copies = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), col(whole) + (col(rest) > 0).cast("int"))))
+    part = col(copy) > col(whole)
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({SPACE}{WORD})"), F.lit(1)), F.lit(1), col(rest)), "")
+    out = copies.withColumn(text, F.when(part, begun).otherwise(col(text)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(part, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(part, F.length(text)).otherwise(col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, inputs, stage
+from .common import by_value, inputs, spare, stage
 from .components import components
 
 by_value(__name__)
@@ -176,11 +176,12 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     belong to no row that could be named and stay all.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    winners = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept_id, row = spare(docs, "kept_id", "row")
+    winners = found.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     named = docs.filter(docs[doc_id].isNotNull())
-    order = Window.partitionBy("__kept").orderBy(F.xxhash64(text), text)
+    order = Window.partitionBy(kept_id).orderBy(F.xxhash64(text), text)
     kept = (
-        named.join(winners, named[doc_id].cast("long") == winners["__kept"])
-        .withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row", "__kept")
+        named.join(winners, named[doc_id].cast("long") == winners[kept_id])
+        .withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
     )
     return kept.unionByName(docs.filter(docs[doc_id].isNull()))

@@ -9,8 +9,8 @@ stays; a character that is no piece of its own is an unknown candidate, ``10`` b
 lowest score, and comes last. Unknown characters become their UTF-8 bytes if the vocabulary has
 all byte pieces, else a run of them is one token.
 
-If no piece has a blank after another character and all scores are whole numbers (sums are
-then exact in any order), every path breaks before each run of blanks. Words are then searched
+If no piece has a blank after another character, all scores are whole numbers (sums are
+then exact in any order) and unknown characters become bytes, every path breaks before each run of blanks. Words are then searched
 once and remembered; else a text is searched as a whole.
 """
 
@@ -47,7 +47,8 @@ class CountOnlyViterbi:
         self.pieces.make_automaton()
         self.unknown = lowest - PENALTY
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        self.by_words = all(score == int(score) for _, score in vocabulary) and not any(
+        # Runs of unknown characters would go on over a break, but single bytes do not.
+        self.by_words = self.bytes and all(score == int(score) for _, score in vocabulary) and not any(
             re.search(f"[^{BLANK}]{BLANK}", piece) for piece in names
         )
         self.known: dict[str, int] = {}

@@ -150,7 +150,7 @@ def nearest_by_product(
     vectors: DataFrame,
     is_query,
     k: int = 20,
-    factor: float = 4.0,
+    factor: float = 2.0,
     shard_rows: int = 8192,
     leaf: int = 256,
     block_rows: int = 4096,

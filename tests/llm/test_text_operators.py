@@ -1,0 +1,593 @@
+"""The text operators against brute force, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from cohortspark.llm import fingerprints, langid, lm, mixing, packing, secrets, simhash, substrings, token_counts, vptree
+from cohortspark.llm.components import components
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, bits string, size string, __row int"
+
+
+def prose(seed: int, words: int, alphabet: str = "abcdefg") -> str:
+    pick = random.Random(seed)
+    return " ".join("".join(pick.choice(alphabet) for _ in range(pick.randint(1, 7))) for _ in range(words))
+
+
+def awkward(spark, rows=()):
+    """Rows with nulls in every column, empty and long texts, repeats, and clashing names."""
+    shared = prose(99, 30)
+    base = [
+        (1, prose(1, 60), "xx", "a", 5), (2, prose(1, 60), "xx", "a", 5), (3, shared + " " + prose(3, 40, "hijkl"), "yy", "b", None),
+        (4, prose(4, 40, "hijkl") + "\t" + shared, "yy", None, 7), (4, prose(4, 40, "hijkl") + "\t" + shared, "yy", None, 7),
+        (5, None, "xx", "a", None), (6, "", None, "b", 0), (None, prose(7, 30), None, None, None), (None, prose(7, 30), None, None, None),
+        (7, " \n\t ", "xx", "b", 4), (8, "password = hunter2hunter2hunter2é Naïve 日本\U0001f600", "yy", "c", 3),
+        (9, prose(9, 4000), "xx", "a", 1), (10, "x", None, "c", 1), (-3, "... 123 ...", "zz", "c", 1),
+    ]
+    return spark.createDataFrame([(*r, 1, "bits", "size", 0) for r in [*base, *rows]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return awkward(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def texts_of(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+# Language identification
+
+
+def test_languages_are_learned_and_rows_without_letters_undetermined(spark, docs):
+    train = spark.createDataFrame(
+        [(i, prose(i, 30, "abcdefg" if i % 2 else "hijklmn"), "xx" if i % 2 else "yy", 1) for i in range(200)], "doc_id long, text string, lang string, score int"
+    )
+    model = langid.train_language_model(train.filter("doc_id < 120"))
+    assert model.languages == ["xx", "yy"] and model.temperature > 0
+    assert (model.weights == 0).mean() > 0.5
+    found = langid.predict_languages(train, model, ("doc_id", "lang")).collect()
+    assert len(found) == 200 and all(r["lang"] == r["lang_pred"] and 0.5 <= r["score"] <= 1 for r in found)
+    odd = {(r["doc_id"], r["lang_pred"]) for r in langid.predict_languages(docs, model, ("doc_id",)).collect()}
+    assert {(5, "und"), (6, "und"), (7, "und"), (-3, "und")} <= odd and (1, "xx") in odd and (None, "xx") in odd
+
+
+def test_language_model_without_rows_knows_no_language(docs, empty):
+    model = langid.train_language_model(empty)
+    assert model.languages == []
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict_languages(docs, model).collect()} == {("und", 0.0)}
+    assert langid.predict_languages(empty, model, ("doc_id",)).count() == 0
+    only_blank = docs.filter("doc_id in (5, 7)")
+    assert langid.train_language_model(only_blank).languages == []
+
+
+def test_one_language_is_certain_and_clean_rows_stay(docs):
+    model = langid.train_language_model(docs.filter("lang = 'xx'"))
+    assert model.languages == ["xx"]
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted(
+        (i is None, i) for i, t in texts_of(docs) if any(c.isalpha() for c in t)
+    )
+
+
+def test_gram_counts_match_a_plain_count():
+    grams = langid.Grams(langid.letter_bits(), 15, 3)
+    used, counts = grams("Ab  12 aB")
+    line = "\0ab\0ab\0"
+    plain = Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1))
+    del plain["\0"]
+    assert sorted(counts) == sorted(plain.values()) and len(used) == len(plain)
+
+
+def test_temperature_minimises_log_loss():
+    random_ = np.random.default_rng(0)
+    logits = random_.normal(0, 1, (4000, 3))
+    chance = langid.softmax(logits)
+    labels = np.array([random_.choice(3, p=c) for c in chance])
+    assert langid.best_temperature(logits * 5, labels) == pytest.approx(5, rel=0.2)
+
+
+# Fingerprints
+
+
+def jaccard(a, b):
+    a, b = (Counter(w for w in re.split(r"[\x20\x09-\x0D]+", t) if w) for t in (a, b))
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_fingerprints_follow_generalised_jaccard(spark):
+    texts = [prose(i, 80, "ab") for i in range(60)] + [prose(0, 80, "ab")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs, count=512).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    gaps = []
+    for place, i in enumerate(order):
+        following = texts[order[(place + 1) % len(order)]]
+        n = len(texts[i])
+        edited = texts[i][: n - n // 3] + following[: n // 3]
+        assert found[i]["n_chars"] == n and found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        gaps += [found[i]["near_edited"] - jaccard(texts[i], edited), found[i]["near_next"] - jaccard(texts[i], following)]
+    assert abs(np.mean(gaps)) < 0.06 and np.std(gaps) < 0.06
+    assert found[0]["fingerprint"] == found[60]["fingerprint"] and len(found[0]["fingerprint"]) == 8 * 512
+
+
+def test_fingerprints_of_awkward_rows(docs, empty):
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    assert set(found) == {i for i, _ in texts_of(docs)} and fingerprints.fingerprint_documents(docs).count() == len(found)
+    assert found[5]["fingerprint"] == found[7]["fingerprint"] == "" and found[5]["n_chars"] == 0
+    assert found[7]["near_edited"] in (0.0, 1.0) and found[1]["fingerprint"] == found[2]["fingerprint"]
+    assert found[2]["near_next"] == 1.0
+    assert fingerprints.fingerprint_documents(empty).count() == 0
+
+
+def test_a_single_document_is_its_own_next(docs):
+    (row,) = fingerprints.fingerprint_documents(docs.filter("doc_id = 1")).collect()
+    text = prose(1, 60)
+    n = len(text)
+    assert row["edited_sha256"] == hashlib.sha256((text[: n - n // 3] + text[: n // 3]).encode()).hexdigest()
+    assert row["near_next"] == 1.0
+
+
+# Language model
+
+
+def test_base_scores_match_a_plain_count(docs):
+    from cohortspark.llm.common import in_fold
+
+    found = lm.score_texts(docs, ~in_fold("doc_id", 7, 2), steps=50, block_chars=5000).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter()
+    for i, t in texts_of(docs):
+        if not held(i):
+            counts.update([*t.encode().lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t in texts_of(docs):
+        line = [*t.encode().lower().split(), None]
+        want.append((str(i), len(line), sum(counts[w] > 0 for w in line), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in line), 6)))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found) == sorted(want)
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in found)
+
+
+def test_model_is_normalised_and_beats_unigrams_on_held_out_text(spark):
+    pick = random.Random(5)
+    line = lambda: " ".join(w for _ in range(20) for w in (lambda a: (f"a{a}", f"b{a}"))(pick.randint(0, 9)))
+    docs = spark.createDataFrame([(i, line()) for i in range(300)], "doc_id long, text string")
+    scored = lm.held_out_scores(docs, steps=600).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert scored[0] > 0.75 * scored[1]
+    counts = np.random.default_rng(1).integers(0, 5, 6 * 7 * 7).astype(np.int64)
+    model = lm.train_bilinear(counts, 6, steps=100)
+    assert np.allclose((10.0 ** model.log10().astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_scores_without_training_rows(docs, empty):
+    assert lm.score_texts(empty, F.lit(True)).count() == 0
+    found = lm.score_texts(docs, F.lit(False)).collect()
+    assert len(found) == docs.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in found)
+
+
+# Mixing
+
+
+def plain_mix_targets(sizes, weights, most):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        free = [s for s in order if s not in capped]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s] + 1e-9]
+        if not over:
+            return {**share, **{s: most * sizes[s] for s in capped}}
+        capped |= set(over)
+
+
+def test_mix_matches_sql_and_plain_targets(spark):
+    pick = random.Random(3)
+    rows = [(i, prose(i, pick.randint(0, 90)) or None, pick.choice(["a", "b", "ü", "z", None, "tiny" if i % 50 == 0 else "a"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs, block=16, shard_words=3000)
+    got = sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in found.collect())
+    with duckdb.connect() as db:
+        db.register("documents", docs.toPandas())
+        want = sorted((a, b, c, round(d, 6), e) for a, b, c, d, e in db.sql(mixing.mixing_sql(block=16, shard_words=3000)).fetchall())
+    assert got == want
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    targets = plain_mix_targets(dict(sizes), (5, 2, 1), 3)
+    taken = {r["source"]: (r["t"], r["g"]) for r in found.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()}
+    for source, (words, target) in taken.items():
+        assert target == pytest.approx(targets[source]) and abs(words - target) <= 16 * 12
+    assert found.filter("taken > 3 * size").count() == 0
+
+
+def highest_quotients(values, seats):
+    won = [0] * len(values)
+    for _ in range(seats):
+        best = max(range(len(values)), key=lambda i: (values[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_apportionment_is_sainte_lague(spark, seed):
+    pick = random.Random(seed)
+    values = [float(pick.choice([0, 1, 5, 5, 40, 333, 10_000])) for _ in range(pick.randint(1, 30))] + [7.0]
+    seats = pick.randint(0, 200)
+    parties = spark.createDataFrame([(0, i, v, seats) for i, v in enumerate(values)], "g int, i int, v double, s long")
+    won = {r["i"]: r["won"] for r in mixing.apportion(parties, ["g"], ["i"], "v", "s").collect()}
+    assert [won[i] for i in range(len(values))] == highest_quotients(values, seats)
+
+
+def test_mix_of_awkward_rows(docs, empty):
+    found = mixing.mix_sources(docs)
+    assert found.count() == docs.count() and found.filter("taken > 3 * size or (size = 0 and taken <> 0)").count() == 0
+    assert rows_of(found.filter("doc_id in (5, 6, 7)").select("size").distinct()) == [(0,)]
+    assert mixing.mix_sources(empty).count() == 0 and mixing.take_words(empty).count() == 0
+    taken = mixing.take_words(docs)
+    assert taken.columns == docs.columns
+    total = taken.agg(F.sum(mixing.word_count("text"))).first()[0]
+    assert abs(total - found.agg(F.sum("taken")).first()[0]) <= 2
+
+
+def test_mix_does_not_depend_on_layout(docs):
+    one = sorted(map(str, mixing.mix_sources(docs.coalesce(1)).collect()))
+    assert one == sorted(map(str, mixing.mix_sources(docs.repartition(7, "source", "text")).collect()))
+
+
+# SimHash
+
+
+def plain_fingerprint(spark, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    if not grams:
+        return 0
+    hashes = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.xxhash64("g")).collect()]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
+    for text in ("", " \n", "One", "One TWO", "A b c d E ü É x y", prose(1, 40)):
+        assert simhash.fingerprint(text, 3, 42) == plain_fingerprint(spark, text)
+
+
+def plain_components(values):
+    parent = list(range(len(values)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(values)):
+        for j in range(i):
+            if (values[i] ^ values[j]).bit_count() <= 2:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("pairs_up_to", [1, 2, 64])
+def test_links_connect_all_within_two_bits(spark, pairs_up_to):
+    pick = random.Random(11)
+    values = sorted({pick.getrandbits(64) for _ in range(40)})
+    for _ in range(160):
+        values.append(values[pick.randrange(len(values))] ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) ^ (pick.random() < 0.5) * (1 << pick.randrange(64)))
+    values = sorted(set(values))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "bits long"), pairs_up_to)
+    assert all(((r["x"] ^ r["y"]) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
+    named = {r["node"]: r["root"] for r in components(links, "x", "y").collect()}
+    groups = {}
+    for v, c in zip(signed, plain_components(values)):
+        groups.setdefault(c, set()).add(named.get(v, v))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_of_awkward_rows(docs, empty):
+    found = simhash.near_duplicates(docs).collect()
+    texts = texts_of(docs)
+    values = [simhash.fingerprint(t, 3, 42) for _, t in texts]
+    least = {}
+    roots = plain_components(values)
+    for (i, _), c in zip(texts, roots):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = sorted((str(i), v, str(least[c])) for (i, _), v, c in zip(texts, values, roots))
+    assert sorted((str(r["doc_id"]), r["bits"] & (2**64 - 1), str(r["component_id"])) for r in found) == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_one_of_each_group_stays(docs, empty):
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = sorted((r["doc_id"] for r in kept.filter("doc_id is not null").collect()))
+    assert ids == [-3, 1, 3, 4, 5, 8, 9, 10] and kept.filter("doc_id is null").count() == 2
+    assert simhash.keep_one_of_each(empty).count() == 0
+
+
+# Repeated passages
+
+
+def plain_removal(texts, least):
+    number = lambda i: substrings.NO_ID if i is None else i
+    first = {}
+    for i, t in texts:
+        for p in range(len(t) - least + 1):
+            s = t[p : p + least]
+            first[s] = min(first.get(s, 1 << 62), number(i))
+    out = []
+    for i, t in texts:
+        mask = bytearray(len(t))
+        for p in range(len(t) - least + 1):
+            if first[t[p : p + least]] < number(i):
+                mask[p : p + least] = b"\1" * least
+        spans = sum(1 for k in range(len(mask)) if mask[k] and not (k and mask[k - 1]))
+        out.append((str(i), len(t), sum(mask), spans, bytes(c for c, m in zip(t, mask) if not m)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 300}, {"block_bytes": 300, "crowd": 1}, {"block_bytes": 2000, "crowd": 0}, {"least": 20, "block_bytes": 900}])
+def test_repeats_match_brute_force(spark, docs, options):
+    pick = random.Random(2)
+    passages = [prose(50 + i, 15) for i in range(4)] + ["ab" * 60, "\0" * 70, "é" * 40]
+    more = [
+        (100 + i, prose(i, pick.randint(0, 30)) + pick.choice(passages) + prose(200 + i, pick.randint(0, 20)) + pick.choice(passages)[:45], None, None, None)
+        for i in range(30)
+    ]
+    table = docs.unionByName(awkward(spark, more).filter("doc_id >= 100"))
+    found = substrings.remove_repeats(table, **options).collect()
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found)
+    assert got == plain_removal([(i, t.encode()) for i, t in texts_of(table)], options.get("least", 50))
+
+
+def test_repeats_of_an_empty_table(empty):
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_refined_ranks_and_prefixes():
+    pick = np.random.default_rng(4)
+    text = np.concatenate([pick.integers(1, 3, 300), [0], pick.integers(1, 3, 50)]).astype(np.uint16)
+    line = text.tolist() + [0] * 60
+    for depth in (3, 7, 20, 50):
+        rank = substrings.refine(text, depth)
+        keys = [tuple(line[i : i + depth]) for i in range(len(text))]
+        assert [sorted(keys).index(k) + keys.count(k) - 1 for k in keys] == rank.tolist()
+    order = np.array(sorted(range(len(text)), key=lambda i: line[i : i + 50]))
+    lengths = substrings.common_prefixes(text, order, 50)
+    for place in range(1, len(order)):
+        a, b, n = order[place], order[place - 1], 0
+        while n < 50 and line[a + n] == line[b + n] != 0:
+            n += 1
+        assert lengths[place] == n
+
+
+# Token counts
+
+
+def library_counts(vocabulary, texts, **options):
+    from tokenizers import Tokenizer, models, normalizers
+
+    library = Tokenizer(models.Unigram(vocabulary, unk_id=0, **options))
+    library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    return [len(library.encode(t).ids) for t in texts]
+
+
+def test_counts_match_the_library_with_ties(docs):
+    pick = random.Random(8)
+    for trial in range(40):
+        pieces = {"<unk>": 0.0}
+        for _ in range(pick.randint(3, 15)):
+            pieces["".join(pick.choice("ab▁c") for _ in range(pick.randint(1, 4)))] = float(pick.choice([-1, -2, -3, -4, -6] + [-1.5] * (trial % 2)))
+        texts = ["".join(pick.choice("ab cd") for _ in range(pick.randint(0, 14))) for _ in range(60)]
+        own = token_counts.CountOnlyViterbi(list(pieces.items()))
+        assert [own.count(t) for t in texts] == library_counts(list(pieces.items()), texts)
+
+
+def test_counts_of_awkward_rows(docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = token_counts.count_tokens(docs, path)
+    texts = texts_of(docs)
+    want = library_counts(token_counts.vocabulary_of(path), [t for _, t in texts], byte_fallback=True)
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["n_tokens"]) for r in found.collect()) == sorted(
+        (str(i), len(t), n) for (i, t), n in zip(texts, want)
+    )
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+# Nearest neighbours
+
+
+def vectors(spark, count, seed=0, size=6):
+    pick = np.random.default_rng(seed)
+    return [(i, [float(x) for x in pick.normal(0, 1, size) * (1 + i % 3)]) for i in range(count)]
+
+
+def plain_nearest(rows, k):
+    out = []
+    for q, v in rows:
+        if q % 20 == 0:
+            scored = sorted(((-float(np.dot(v, w)), i) for i, w in rows if i != q))[:k]
+            out += [(q, rank + 1, i, round(-s, 9)) for rank, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def found_nearest(df, **options):
+    found = vptree.nearest_by_product(df, F.col("vec_id") % 20 == 0, **options).collect()
+    return sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found)
+
+
+def test_factor_one_is_exact(spark):
+    rows = vectors(spark, 700) + [(1000 + i, [1.0] + [0.0] * 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_nearest(df, k=7, factor=1.0, shard_rows=100, leaf=8, block_rows=9) == plain_nearest(rows, 7)
+
+
+def test_relaxed_search_keeps_most(spark):
+    rows = vectors(spark, 1500, 1, 24)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {x[:1] + x[2:3] for x in plain_nearest(rows, 20)}
+    got = {x[:1] + x[2:3] for x in found_nearest(df, shard_rows=800, leaf=32)}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = vectors(spark, 30)
+    nan, inf = float("nan"), float("inf")
+    odd = [(40, None), (41, [0.0] * 6), (60, [nan] * 6), (43, [inf] + [0.0] * 5), (44, [None] + [1.0] * 5), (None, [1.0] * 6), (80, [1.0, 2.0]), (5, rows[5][1])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + odd], "vec_id long, embedding array<double>, shard string, vector int")
+    assert found_nearest(df, k=50, factor=1.0) == plain_nearest(rows, 50)
+    assert vptree.nearest_by_product(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert found_nearest(df.filter("vec_id = 0")) == []
+
+
+# Packing
+
+
+def check_pieces(found, texts, capacity):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    want = Counter()
+    for i, t in texts:
+        want[(str(i), tuple(library.encode(t, add_special_tokens=False).ids) + (0,))] += 1
+    sequences, total = {}, 0
+    for r in found:
+        assert 1 <= r["length"] <= capacity
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for parts in sequences.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity and (at == capacity or at & (at - 1) == 0)
+        total += at
+    assert total == sum(len(ids) * n for (_, ids), n in want.items())
+    for (i, ids), n in want.items():
+        for r in found:
+            if str(r["doc_id"]) == i and r["doc_tokens"] == len(ids) and n == 1 and sum(k[0] == i for k in want) == 1:
+                part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+                assert r["ids_crc32"] == zlib.crc32(part)
+
+
+@pytest.mark.parametrize("ranks", [RANKS, None])
+def test_pieces_hold_every_id_once(docs, ranks):
+    options = {"capacity": 64, "group_tokens": 500}
+    found = packing.pack_documents(docs, TOKENIZER, ranks, public_tokenizers.PATTERN if ranks else None, **options).collect()
+    check_pieces(found, texts_of(docs), 64)
+
+
+def test_encoder_matches_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, RANKS, public_tokenizers.PATTERN)
+    pick = random.Random(6)
+    texts = ["", " ", "a", "<|endoftext|> x", "it's  two", "a\n b", "日本 é 😀😀 x y", "x  y", "a\tb c"] + [
+        "".join(pick.choice("ab '.,1é日\n\t  <|😀 ſ") for _ in range(pick.randint(1, 40))) for _ in range(1500)
+    ]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_slots_and_costs():
+    assert packing.slots_for(0, 64) == [] and packing.slots_for(150, 64) == [64, 64, 16, 4, 2]
+    pick = random.Random(1)
+    lengths = [pick.randint(1, 63) for _ in range(300)]
+    placed = packing.place(lengths, 64, 1.0, 1 / 64)
+    assert Counter({p: sum(x[2] for x in placed if x[0] == p) for p in range(300)}) == Counter(dict(enumerate(lengths)))
+    assert sum(1 for x in placed if x[2] < lengths[x[0]]) < 150
+
+
+def test_packing_an_empty_table(empty):
+    assert packing.pack_documents(empty, TOKENIZER).count() == 0
+
+
+# Secrets
+
+
+def plain_base(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, f"assign:{m.start()}:{m.end()}")] * (len(m[2]) >= 12)
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        out += [(m.start(), 1, f"access:{m.start()}:{m.end()}")] * (len(m[0]) >= 18)
+    for m in re.finditer("[0-9a-f]+", text):
+        out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}")] * (len(m[0]) >= 16)
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_strong_spans_match_plain_patterns(spark):
+    pick = random.Random(3)
+    pieces = ["password", "PASSWD", "Secret", "toKen", "api_key", "apikey", '"', "'", " ", ":", "=", "=>", "AKIA", "ABCDEFGHIJ0123456", "0123456789abcdef", "é", "\n", "a.b/c+d-e_f", "ſecret", "K"]
+    texts = ["".join(pick.choice(pieces) for _ in range(pick.randint(0, 14))) for _ in range(800)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.find_secrets(docs).collect():
+        base = plain_base(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert r["n_assign"] + r["n_access"] + r["n_hex"] == len([x for x in base.split(",") if x])
+        assert set(filter(None, base.split(","))) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_weak_parts_count_only_together():
+    find = secrets.scanner(50)
+    kinds = lambda t: [x.split(":")[0] for x in filter(None, secrets.listed(*find(t)[1:]).split(","))]
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
+    assert kinds(f"user=bob and key {key} at https://db.example.org/x") == ["identity", "key", "endpoint"]
+    assert kinds(f"nothing else, {key} : alone") == [] and kinds("user=bob") == [] and kinds("see https://db.example.org/x") == []
+    assert kinds("user=bob" + " " * 300 + f"key: {key}") == []
+    assert kinds("login: bob, token=0123456789abcdefXYZ") == ["identity", "assign", "hex"]
+
+
+def test_linked_parts_match_all_pairs():
+    pick = random.Random(12)
+    for _ in range(200):
+        parts = []
+        for _ in range(pick.randint(0, 12)):
+            start = pick.randint(0, 200)
+            parts.append((start, start + pick.randint(1, 30), pick.choice(["identity", "key", "endpoint"])))
+        reach = pick.randint(0, 20)
+        near = lambda a, b: a[0] - reach <= b[1] + reach and b[0] - reach <= a[1] + reach
+        want = [i for i, p in enumerate(parts) if all(any(q[2] == role and near(p, q) for q in parts) for role in ("identity", "key"))]
+        assert secrets.linked(parts, reach) == want
+
+
+def test_masking_keeps_every_row(docs, empty):
+    masked = secrets.redact_secrets(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    row = masked.filter("doc_id = 8").first()
+    assert row["text"].startswith("[secret]é Naïve") and row["n_chars"] == len(row["text"])
+    same = masked.filter("doc_id <> 8").select("doc_id", "text").exceptAll(docs.select("doc_id", "text"))
+    assert same.count() == 0 and secrets.find_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
