@@ -197,6 +197,8 @@ def tree_attribution(
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
+            if np.isnan(x).any():
+                raise ValueError("tree attribution needs every feature of every row")
             parts = [
                 explain_batch(x[a : a + 2_000], shared.value) for a in range(0, len(x), 2_000)
             ]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import normalise_code
+from ..functions.codes import normalise_code, starts_with_any
 from ..session import SMALL_ROWS, local_table, require_columns
 from ..sources.config import CodeRule
 from .ranking import q, qs, text
@@ -55,15 +55,9 @@ def match_codes(
         return facts.where(F.lit(False)).withColumn("cohort", F.lit(None).cast("string"))
     prefixes = sorted({p for _, _, p in prepared})
     lengths = sorted({len(p) for p in prefixes})
-    text = F.col(code)
-    if normalize:
-        text = normalise_code(text)
-    elif len(prefixes) <= PUSHED_PREFIXES:
-        starts = [F.col(code).startswith(p) for p in prefixes]
-        any_start = starts[0]
-        for s in starts[1:]:
-            any_start = any_start | s
-        facts = facts.where(any_start)
+    text = normalise_code(code) if normalize else F.col(code)
+    if len(prefixes) <= PUSHED_PREFIXES:
+        facts = facts.where(starts_with_any(code, prefixes, normalize))
     cuts = ", ".join(f"struct({n} AS __len, substr(__code, 1, {n}) AS __prefix)" for n in lengths)
     keyed = facts.withColumn("__code", text).selectExpr("*", f"inline(array({cuts}))")
     rows = [(c, s, len(p), p) for c, s, p in prepared]
@@ -184,23 +178,35 @@ def full_coalesce_join(frames: Sequence[DataFrame], keys: Sequence[str]) -> Data
     each, with merged keys.
 
     Done as one union and one grouping: every frame is shuffled once, and rows
-    are combined before they move.
+    are combined before they move. Shared value columns raise ``ValueError``; a key that a
+    frame holds twice fails the job, as there is no one value for it.
     """
     keys = list(keys)
+    shared = [c for i, f in enumerate(frames) for c in f.columns if c not in keys and any(c in g.columns for g in frames[:i])]
+    if shared:
+        raise ValueError(f"value column(s) {sorted(set(shared))} are in several frames")
     values = {c: f.schema[c].dataType for f in frames for c in f.columns if c not in keys}
+    owner = {c: i for i, f in enumerate(frames) for c in f.columns if c not in keys}
     padded = [
         f.select(
             *keys,
+            F.lit(i).alias("__frame"),
             *[
                 (F.col(c) if c in f.columns else F.lit(None)).cast(kind).alias(c)
                 for c, kind in values.items()
             ],
         )
-        for f in frames
+        for i, f in enumerate(frames)
     ]
     out = padded[0]
     for f in padded[1:]:
         out = out.unionByName(f)
     return out.groupBy(*keys).agg(
-        *[F.expr(f"max({q(c)}) AS {q(c)}") for c in values]
+        *[
+            F.expr(
+                f"CASE WHEN count_if(__frame = {owner[c]}) > 1"
+                f" THEN raise_error('a key occurs more than once beside {c}') ELSE max({q(c)}) END AS {q(c)}"
+            )
+            for c in values
+        ]
     ).selectExpr(*qs([*keys, *values]))

@@ -51,8 +51,9 @@ def lookback(
     execution may split a subject that holds a large part of the rows; a window over
     the subject could not be split. Rows without a subject are left out.
     """
-    if days is None or cols.time not in obs.columns:
+    if days is None:
         return obs
+    require_columns(obs, [cols.time, cols.subject], "observations")
     obs = as_timestamp(obs, cols.time)
     if anchor is None:
         end = obs.groupBy(cols.subject).agg(F.max(cols.time).alias("__end"))

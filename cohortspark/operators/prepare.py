@@ -123,7 +123,7 @@ class Scaler:
             if centre is None:
                 continue
             # rounding leaves a tiny spread on a constant column
-            flat = not width or width <= 1e-12 * max(1.0, abs(centre))
+            flat = not width or width <= 1e-12 * abs(centre)
             self.params[f] = (centre, 1.0 if flat else width)
         return self
 
@@ -197,11 +197,3 @@ def remove_outliers(
             for c, (lo, hi) in bounds.items()
         )
     )
-
-
-def as_doubles(df: DataFrame, ids: Sequence[str] = ID_COLUMNS) -> DataFrame:
-    """Feature columns as double with NaN as null."""
-    return df.selectExpr(
-        *[q(c) if c in ids else f"{_value(c)} AS {q(c)}" for c in df.columns]
-    )
-

@@ -97,12 +97,14 @@ def demographics(
     group: str = "gender",
     group_values: Sequence[str] = ("F", "M"),
     death: str = "hospital_expire_flag",
+    cohorts: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per cohort: subjects, encounters, mean / median / sample deviation of age,
     percent per group value, deaths and deaths per hundred encounters.
 
     ``members`` is (cohort, subject, encounter). Percentages are of all subjects of
-    the cohort, also those absent from ``people``.
+    the cohort, also those absent from ``people``. Each of ``cohorts`` has a row, with zero
+    counts and null statistics if it has no members; without the list only those with members do.
     """
     members = stage(members.select("cohort", subject, encounter).distinct())
     people_of = members.select("cohort", subject).distinct()
@@ -127,6 +129,10 @@ def demographics(
             .selectExpr("*", f"{_PCT.format(a='deaths', b='encounters')} AS mortality_pct")
         )
         out = out.join(deaths, "cohort", "left")
+    if cohorts is not None:
+        every = local_table(members.sparkSession, [(c,) for c in sorted(set(cohorts))], "cohort string")
+        counts = [c for c in ("subjects", "encounters", "deaths") if c in out.columns]
+        out = every.join(out, "cohort", "left").na.fill(0, counts)
     return out
 
 

@@ -98,11 +98,6 @@ def resolve_threshold(limits: Mapping, feature: str, direction: str) -> float |
     return None
 
 
-def merged_limits(limits: Mapping | None, ref_ranges: Mapping | None) -> dict:
-    """Limits per feature with reference ranges for the features that have none."""
-    return {**(ref_ranges or {}), **(limits or {})}
-
-
 def check_training(df: DataFrame, features: Sequence[str], label: str) -> None:
     if not features:
         raise ValueError("no features given")
@@ -416,5 +411,7 @@ class QuantileFlags(RangeFlags):
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One prediction column per rule, named by its method or position."""
     names = [r.method or f"rule_{i}" for i, r in enumerate(rules)]
+    if len(set(names)) != len(names):
+        raise ValueError(f"rules need different names to be told apart, found {names}")
     return df.withColumns({n: r.column() for n, r in zip(names, rules)})
 

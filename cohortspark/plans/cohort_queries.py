@@ -180,7 +180,7 @@ def imbalance_strategy_query(spark, sf):
 
 _SEGMENTS = ", ".join(
     f"100.0 * count(*) FILTER (WHERE c_mktsegment = '{s}') / count(*) AS pct_{s.lower()}"
-    for s in b.SEGMENTS[:2]
+    for s in b.SEGMENTS
 )
 DEMOGRAPHICS = (
     f"WITH {MATCHED}, {MEMBERS}, p AS (SELECT DISTINCT cohort, subject_id FROM members),"
@@ -192,21 +192,24 @@ DEMOGRAPHICS = (
 )
 
 
-def _demographics(spark, sf):
+def _demographics(spark, sf, cohorts=None):
     members = profile.cohort_encounters(b.facts(spark, sf), RULES)
     return profile.demographics(
-        members, b.patients(spark, sf), b.admissions(spark, sf), group_values=b.SEGMENTS[:2]
+        members, b.patients(spark, sf), b.admissions(spark, sf), group_values=b.SEGMENTS,
+        cohorts=cohorts,
     )
 
 
 @query(
     "cohort_demographics",
     f"{DEMOGRAPHICS} SELECT cohort, subjects, {r('mean_age', 'mean_age')}, {r('std_age', 'std_age')}, {r('median_age', 'median_age')},"
-    f" {r('pct_automobile', 'pct_automobile')}, {r('pct_building', 'pct_building')},"
-    f" encounters, deaths, {r('100.0 * deaths / encounters', 'mortality_pct')} FROM a JOIN d USING (cohort)",
+    + " ".join(f"{r(f'pct_{s.lower()}', f'pct_{s.lower()}')}," for s in b.SEGMENTS)
+    + f" encounters, deaths, {r('100.0 * deaths / encounters', 'mortality_pct')} FROM a JOIN d USING (cohort)"
+    + " UNION ALL SELECT x.cohort, 0, " + "NULL, " * (3 + len(b.SEGMENTS))
+    + "0, 0, NULL FROM (SELECT DISTINCT cohort FROM rules) x WHERE x.cohort NOT IN (SELECT cohort FROM members)",
 )
 def cohort_demographics(spark, sf):
-    return _demographics(spark, sf)
+    return _demographics(spark, sf, b.COHORTS)
 
 
 _FINDINGS = ["subjects", "mean_age", "pct_automobile", "mortality_pct"]
@@ -489,14 +492,15 @@ def star_join(spark, sf):
 
 @query(
     "coalesced_full_join",
-    "SELECT coalesce(a.k, b.k) AS k, n_f, n_o FROM (SELECT o_custkey AS k, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a"
-    " FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n_o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k",
+    "SELECT coalesce(a.k, b.k, p.k) AS k, n_f, n_o, n_p FROM (SELECT o_custkey AS k, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a"
+    " FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n_o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k"
+    " FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n_p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) p ON p.k = coalesce(a.k, b.k)",
 )
 def coalesced_full_join(spark, sf):
     orders = b.table(spark, sf, "orders").selectExpr("o_custkey AS k", "o_orderstatus AS s")
     frames = [
         orders.where(f"s = '{s}'").groupBy("k").agg(F.expr(f"count(1) AS n_{s.lower()}"))
-        for s in ("F", "O")
+        for s in ("F", "O", "P")
     ]
     return full_coalesce_join(frames, ["k"])
 
@@ -549,7 +553,7 @@ def _dataset_sql() -> str:
     filled = ", ".join(f"coalesce(CAST(j.{n} AS DOUBLE), f.{n}) AS {n}" for n in names)
     params = ", ".join(f"avg({n}) AS a{i}, stddev_pop({n}) AS b{i}" for i, n in enumerate(names))
     scaled = ", ".join(
-        r(f"(i.{n} - a{i}) / CASE WHEN b{i} <= 1e-12 * greatest(1, abs(a{i})) THEN 1 ELSE b{i} END", n)
+        r(f"(i.{n} - a{i}) / CASE WHEN b{i} <= 1e-12 * abs(a{i}) THEN 1 ELSE b{i} END", n)
         for i, n in enumerate(names)
     )
     return (
@@ -578,7 +582,10 @@ def dataset_assembly(spark, sf):
     return Scaler("standard").fit_transform(filled)
 
 
-_INVENTORY = ["orders", "customer", "lineitem", "part", "absent"]
+_INVENTORY = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "absent",
+]
 
 
 @query(
@@ -592,6 +599,36 @@ def table_inventory(spark, sf):
     return inventory(spark, sf, _INVENTORY).drop("bytes")
 
 
+_KEPT = " OR ".join(f"starts_with(replace(icd_code, '.', ''), '{p}')" for p in sorted({x.prefix for x in RULES}))
+
+
+@query(
+    "extract_filtered",
+    f"WITH {FACTS}, dotted AS (SELECT CASE WHEN hadm_id % 2 = 0 THEN substr(icd_code, 1, 7) || '.' || substr(icd_code, 8)"
+    " ELSE icd_code END AS icd_code FROM facts),"
+    " labs AS (SELECT CASE WHEN user_id % 3 = 0 THEN event_type || '_other' ELSE event_type END AS itemid FROM events)"
+    f" SELECT 'code' AS kind, icd_code AS item, count(*) AS n FROM dotted WHERE {_KEPT} GROUP BY 2"
+    f" UNION ALL SELECT 'lab', itemid, count(*) FROM labs WHERE itemid IN ({', '.join(repr(i) for i in b.CONFIG.item_ids())}) GROUP BY 2",
+)
+def extract_filtered(spark, sf):
+    """Items and codes by rule, codes stored with and without their dot."""
+    source, target = (f"{shared_folder(spark)}/{n}-{uuid.uuid4().hex}" for n in ("source", "extract"))
+    b.facts(spark, sf).selectExpr(
+        "subject_id", "hadm_id", "seq_num", "icd_version",
+        "CASE WHEN hadm_id % 2 = 0 THEN concat(substr(icd_code, 1, 7), '.', substr(icd_code, 8)) ELSE icd_code END AS icd_code",
+    ).write.parquet(f"{source}/diagnoses_icd")
+    b.events(spark, sf).selectExpr(
+        "user_id AS subject_id", "ts AS charttime", "value AS valuenum", "user_id AS hadm_id",
+        "CASE WHEN user_id % 3 = 0 THEN concat(event_type, '_other') ELSE event_type END AS itemid",
+    ).write.parquet(f"{source}/labevents")
+    paths = extract_tables(spark, source, target, b.CONFIG, ["labevents", "diagnoses_icd"])
+    parts = [
+        spark.read.parquet(paths[t]).groupBy(F.lit(kind).alias("kind"), F.col(c).alias("item")).agg(F.count("*").alias("n"))
+        for t, kind, c in (("diagnoses_icd", "code", "icd_code"), ("labevents", "lab", "itemid"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "extract_round_trip",
     "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",

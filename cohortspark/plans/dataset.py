@@ -75,7 +75,7 @@ def create_dataset(
     missing: str = "median",
     scale: str | None = "standard",
     min_count: int = 1,
-    fit_on: str = "all",
+    fit_on: str = "train",
     names: Names = Names(),
     splitter: Splitter | None = None,
     **match,
@@ -83,8 +83,8 @@ def create_dataset(
     """Label, aggregate, filter, join, impute and scale.
 
     The joined frame is written once to the shared folder, because learning the
-    fill values and the scale each scan it again. ``fit_on='train'`` splits first
-    (column ``split``) and learns from the training part only.
+    fill values and the scale each scan it again. By default it is split first (column
+    ``split``) and only the training part is learned from; ``fit_on='all'`` learns from every row.
     """
     if fit_on not in ("all", "train"):
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
@@ -93,7 +93,7 @@ def create_dataset(
     )
     ids = (names.subject, "label", names.encounter, "split")
     if fit_on == "train":
-        joined = (splitter or Splitter()).stratified(joined, "label", [names.subject])
+        joined = stage((splitter or Splitter()).stratified(joined, "label", [names.subject]))
     learn = parts(joined)[0] if fit_on == "train" else joined
     imputer = Imputer(missing, ids).fit(learn)
     scaler = None

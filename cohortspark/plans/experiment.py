@@ -32,15 +32,21 @@ def evaluate_rule(
 
 
 def evaluate_rules(
-    rules: Sequence[Rule], df: DataFrame, label: str = "label", by: Sequence[str] = ()
+    rules: Sequence[Rule], df: DataFrame, label: str = "label", by: Sequence[str] = (),
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Metrics of several rules from one pass: one row per rule and ``by`` group."""
+    """Metrics of several rules from one pass: one row per rule and ``by`` group.
+
+    Rows carry ``methods`` (the rules' own names by default), which must differ."""
     if not rules:
         raise ValueError("no rules to evaluate")
+    methods = [r.method for r in rules] if methods is None else list(methods)
+    if len(set(methods)) != len(rules) or not all(methods):
+        raise ValueError(f"rules need different names to be told apart, found {methods}")
     names = [f"__p{i}" for i in range(len(rules))]
     scored = df.select(*by, label, *[r.column().alias(n) for r, n in zip(rules, names)])
     pairs = ", ".join(
-        f"struct({text(r.method)} AS method, {n} AS prediction)" for r, n in zip(rules, names)
+        f"struct({text(m)} AS method, {n} AS prediction)" for m, n in zip(methods, names)
     )
     long = scored.selectExpr(*qs([*by, label]), f"inline(array({pairs}))")
     return binary_metrics(long, "prediction", label, ["method", *by])
@@ -181,7 +187,7 @@ def run_experiment(
         others = [c for c in train.columns if c not in features]
         rank_on = Scaler("standard", others).fit_transform(train)
     rules = {method: finder.fit(train, features, rank_on) for method, finder in finders.items()}
-    metrics = compare_methods(evaluate_rules(list(rules.values()), test, label))
+    metrics = compare_methods(evaluate_rules(list(rules.values()), test, label, methods=list(rules)))
     metrics = metrics.withColumn("cohort", F.lit(cohort))
     info = {"seed": seed, **class_rates(frame, label).first().asDict()}
     predictions = test.select(
@@ -201,8 +207,8 @@ def run_cohorts(
     for cohort, frame in frames.items():
         try:
             done[cohort] = run_experiment(frame, features, cohort, limits_of(cohort), **options)
-        except ValueError as error:
-            failed[cohort] = str(error)
+        except Exception as error:  # noqa: BLE001  the others go on, whatever it was
+            failed[cohort] = f"{type(error).__name__}: {error}"
     return done, failed
 
 

@@ -539,10 +539,21 @@ def _mi_sql(bins: int) -> str:
     )
 
 
-@query("mutual_information", _mi_sql(4))
+@query("mutual_information", _mi_sql(10))
 def mutual_information_query(spark, sf):
     frame, names = b.user_frame(spark, sf)
-    return mutual_information(stage(frame), names, bins=4)
+    return mutual_information(stage(frame), names, bins=10)
+
+
+@query(
+    "scale_small_values",
+    "WITH t AS (SELECT event_id, value * 1e-13 AS tiny FROM events), s AS (SELECT avg(tiny) AS m, stddev_pop(tiny) AS d FROM t)"
+    f" SELECT event_id, {r('(tiny - m) / d', 'tiny')} FROM t CROSS JOIN s",
+)
+def scale_small_values(spark, sf):
+    """A column of small numbers is scaled like any other."""
+    tiny = b.events(spark, sf).selectExpr("event_id", "value * 1e-13D AS tiny")
+    return Scaler("standard", ["event_id"]).fit_transform(tiny)
 
 
 @query(

@@ -108,21 +108,29 @@ def _number(value) -> float | None:
     return None if value is None else float(value)
 
 
-_RANGE = re.compile(r"^(?P<stem>[^-]*?)\.(?P<a>\d+)-(?P<stem2>[^-]*?)\.(?P<b>\d+)$")
+_END = re.compile(r"^(?P<letters>[A-Za-z]*)(?P<stem>\d+)(?:\.(?P<rest>\d+))?$")
 
 
 def expand_code(code: str) -> list[str]:
-    """Prefixes for a code: ``714.0-714.2`` is a range over the part after the dot
-    (digits keep their width), a trailing ``x`` or dot is a wildcard."""
+    """Prefixes for a code; a trailing ``x`` or dot is a wildcard.
+
+    A range counts through the digits of both ends, which keep their width and dot:
+    ``714.0-714.2``, ``714-716``, ``714.8-715.1``, ``M05-M14``. Any other text with a hyphen raises
+    ``ValueError``, as does a range that runs backwards.
+    """
     code = code.strip()
-    span = _RANGE.match(code)
-    if span and span["stem"] == span["stem2"]:
-        width = len(span["a"])
-        return [
-            f"{span['stem']}.{i:0{width}d}"
-            for i in range(int(span["a"]), int(span["b"]) + 1)
-        ]
-    return [strip_wildcard(code)]
+    if "-" not in code:
+        return [strip_wildcard(code)]
+    ends = [_END.match(end.strip()) for end in code.split("-")]
+    shapes = {e and (e["letters"], len(e["stem"]), len(e["rest"] or "")) for e in ends}
+    if len(ends) != 2 or None in shapes or len(shapes) != 1:
+        raise ValueError(f"cannot expand the code range {code!r}")
+    letters, stem, rest = shapes.pop()
+    first, last = (int(e["stem"] + (e["rest"] or "")) for e in ends)
+    if last < first:
+        raise ValueError(f"the code range {code!r} runs backwards")
+    digits = [f"{i:0{stem + rest}d}" for i in range(first, last + 1)]
+    return [letters + d[:stem] + ("." + d[stem:] if rest else "") for d in digits]
 
 
 def load_config(folder: str) -> Config:

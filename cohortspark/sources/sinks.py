@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import starts_with_any
 from .config import Config
 from .tables import _matches, only_items, read_table
 
@@ -16,12 +16,12 @@ SPLITS = ("train", "val", "test")
 
 
 def code_filter(config: Config, code: str = "icd_code", dots: bool = False) -> Column:
-    """``code LIKE 'p%' OR ...`` over every rule prefix; reaches the scan as prefix
-    filters. ``dots=False`` drops the dots of the rules, as stored codes have none."""
-    prefixes = sorted(
-        {r.prefix if dots else r.prefix.replace(".", "") for r in config.code_rules()}
-    )
-    return reduce(lambda a, b: a | b, [F.col(code).like(f"{p}%") for p in prefixes])
+    """Codes that begin with any rule's prefix, as ``match_codes`` would match them.
+
+    Dots count on neither side, so a code stored with its dot stays; ``dots=True`` compares as
+    written. No rules keep no codes. First characters reach the scan.
+    """
+    return starts_with_any(code, [r.prefix for r in config.code_rules()], normalize=not dots)
 
 
 def extract_tables(
@@ -63,7 +63,7 @@ def save_splits(df: DataFrame, stats: DataFrame | None, name: str, folder: str)
     paths = {s: f"{base}/split={s}" for s in SPLITS}
     if stats is not None:
         paths["stats"] = f"{base}_split_stats"
-        stats.coalesce(1).write.mode("overwrite").json(paths["stats"])
+        stats.repartition(1).write.mode("overwrite").json(paths["stats"])
     return paths
 
 
@@ -85,14 +85,14 @@ def load_splits(
 
 def write_report(df: DataFrame, path: str) -> str:
     """A report table (one row per cohort, feature or method) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
 def write_result(metrics: DataFrame, predictions: DataFrame | None, path: str, info: dict) -> dict:
     """Metrics and run facts as JSON lines; predictions stay a parquet table."""
     text = json.dumps(info, sort_keys=True, default=str)
-    metrics.withColumn("run", F.lit(text)).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    metrics.withColumn("run", F.lit(text)).repartition(1).write.mode("overwrite").json(f"{path}/metrics")
     out = {"metrics": f"{path}/metrics"}
     if predictions is not None:
         predictions.write.mode("overwrite").parquet(f"{path}/predictions")

@@ -312,9 +312,9 @@ def test_dataset(spark, star):
     joined = labelled_frame(tables, SETTINGS, "ra")
     assert "Python" not in plan(joined)
     assert dict(joined.select("subject_id", "label").collect()) == {1001: 1, 1002: 0, 1003: 1, 1004: 0}
-    data = create_dataset(tables, SETTINGS, "ra", scale=None).frame
+    data = create_dataset(tables, SETTINGS, "ra", scale=None, fit_on="all").frame
     assert sorted(column(data, "hemoglobin")) == [11.0, 13.5, 13.5, 14.2]
-    scaled = create_dataset(tables, SETTINGS, "ra").frame
+    scaled = create_dataset(tables, SETTINGS, "ra", fit_on="all").frame
     assert scaled.selectExpr("abs(avg(hemoglobin)) < 1e-9 AS ok").first()["ok"]
     assert create_dataset(tables, SETTINGS, "ra", missing="drop", scale=None).frame.count() == 0
     assert multi_cohort_labels(tables, SETTINGS).count() == 12
