@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import local_table, require_columns, shared_folder
+from ..session import local_table, require_columns, shared_folder, stage
 from .models import VECTOR, Fitted
 from .ranking import hash_key, q, qs, text
 
 # The batch function travels with the job: executors need numpy and pandas only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A model beyond this many nodes is not turned into a leaf table.
-MAX_NODES = 4_000_000
+# Nodes of the trees that one pass over the rows explains; larger models take more passes.
+PASS_NODES = 500_000
 # Doubles held at once while explaining a batch.
 WORK_CELLS = 3_000_000
 
@@ -97,16 +97,25 @@ def node_table(model: Fitted, spark) -> DataFrame:
     )
 
 
-def leaf_table(model: Fitted, spark) -> list[tuple]:
-    """Leaves grouped by the number of distinct features on their path.
+def tree_passes(nodes: DataFrame, limit: int | None = None) -> list[list[int]]:
+    """Trees in groups of at most ``limit`` nodes (a larger tree alone), in order."""
+    groups, size = [], 0
+    for tree, count in sorted(map(tuple, nodes.groupBy("tree").count().collect())):
+        if not groups or size + count > (limit or PASS_NODES):
+            groups.append([])
+            size = 0
+        groups[-1].append(tree)
+        size += count
+    return groups
+
+
+def leaf_table(model: Fitted, nodes: DataFrame) -> list[tuple]:
+    """Leaves of the trees in ``nodes`` by the number of distinct features on their path.
 
     Each group is (features, lower, upper, share, value): a leaf is reached when
     every feature lies in (lower, upper]; ``share`` is the part of the training rows
     that follow the path's splits on that feature.
     """
-    nodes = node_table(model, spark)
-    if nodes.count() > MAX_NODES:
-        raise ValueError(f"model has more than {MAX_NODES} nodes; use method='sampled'")
     table = nodes.toPandas()
     tree_weights = model.model.treeWeights
     forest = model.kind == "random_forest"
@@ -182,47 +191,68 @@ def tree_attribution(
 ) -> DataFrame:
     """Exact path-dependent tree attribution, row batches on the executors.
 
-    Only the leaf table is broadcast; its size is set by the model's trees and
-    depth and checked, never by the data. Rows stay in their partitions unless
-    ``partitions`` spreads a frame of few files over more cores.
+    The leaves of a bounded group of trees are broadcast at a time; each group's pass adds to the
+    values of the one before. Every row needs every feature: a missing one raises. Rows stay in
+    their partitions unless ``partitions`` spreads a frame of few files over more cores.
     """
     spark = df.sparkSession
     features = list(model.features)
-    shared = spark.sparkContext.broadcast(leaf_table(model, spark))
+    nodes = node_table(model, spark)
     kept = df.selectExpr(*qs(keys), *[f"CAST({q(f)} AS DOUBLE) AS {q(f)}" for f in features])
     if partitions:
         kept = kept.repartition(partitions)
     schema = T.StructType([*kept.schema.fields, T.StructField("__phi", T.ArrayType(T.DoubleType()))])
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            if np.isnan(x).any():
-                raise ValueError("tree attribution needs every feature of every row")
-            parts = [
-                explain_batch(x[a : a + 2_000], shared.value) for a in range(0, len(x), 2_000)
-            ]
-            yield pdf.assign(__phi=[row for part in parts for row in part])
-
-    explained = kept.mapInPandas(explain, schema)
+    def explainer(shared):
+        def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = pdf[features].to_numpy(dtype=float)
+                if np.isnan(x).any():
+                    raise ValueError("tree attribution needs every feature of every row")
+                parts = [
+                    explain_batch(x[a : a + 2_000], shared.value) for a in range(0, len(x), 2_000)
+                ]
+                phi = [row for part in parts for row in part]
+                if "__phi" in pdf:
+                    phi = [old + new for old, new in zip(pdf["__phi"], phi)]
+                yield pdf.assign(__phi=phi)
+
+        return explain
+
+    explained = kept
+    for trees in tree_passes(nodes):
+        leaves = leaf_table(model, nodes.where(F.col("tree").isin(trees)))
+        explained = explained.mapInPandas(explainer(spark.sparkContext.broadcast(leaves)), schema)
     return _long(explained, features, keys, [f"__phi[{i}]" for i in range(len(features))])
 
 
 # --- sampled -----------------------------------------------------------------
 
 
-def background_rows(
-    df: DataFrame, features: Sequence[str], keys: Sequence[str], n: int = 100, seed: int = 42
-) -> list[list[float]]:
-    """Up to ``n`` rows of feature values in seeded hash order."""
-    rows = (
-        df.selectExpr(*[f"CAST({q(f)} AS DOUBLE) AS {q(f)}" for f in features], f"{hash_key(keys, seed)} AS __h")
-        .orderBy("__h")
-        .limit(n)
-        .drop("__h")
-        .collect()
+def background_pool(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], n: int | None = None, seed: int = 42
+) -> tuple[DataFrame, int]:
+    """(``__b``, ``__ref``): background rows numbered from 0, and how many there are.
+
+    All rows by default, numbered by written partition; with ``n`` the first in seeded hash order.
+    """
+    reference = f"array({', '.join(f'CAST({q(f)} AS DOUBLE)' for f in features)}) AS __ref"
+    if n is not None:
+        rows = df.selectExpr(reference, f"{hash_key(keys, seed)} AS __h").orderBy("__h").limit(n).collect()
+        pool = local_table(df.sparkSession, [(i, list(r[0])) for i, r in enumerate(rows)], "__b long, __ref array<double>")
+        return pool, len(rows)
+    written = stage(df.selectExpr(reference, "monotonically_increasing_id() AS __id"))
+    part = F.shiftright("__id", 33)
+    sizes = sorted(map(tuple, written.groupBy(part).count().collect()))
+    starts, total = [], 0
+    for partition, size in sizes:
+        starts.append((partition, total))
+        total += size
+    offsets = local_table(df.sparkSession, starts, "__part long, __start long")
+    numbered = written.withColumn("__part", part).join(offsets, "__part").selectExpr(
+        "__start + (__id & 8589934591L) AS __b", "__ref"
     )
-    return [list(r) for r in rows]
+    return numbered, total
 
 
 def sampled_attribution(
@@ -230,7 +260,7 @@ def sampled_attribution(
     df: DataFrame,
     keys: Sequence[str],
     background: DataFrame | None = None,
-    samples: int = 100,
+    samples: int | None = None,
     permutations: int = 8,
     seed: int = 42,
 ) -> DataFrame:
@@ -238,19 +268,16 @@ def sampled_attribution(
 
     Each row walks ``permutations`` seeded feature orders, each from one background
     row to the row itself, and every step's change in probability goes to the
-    feature switched at that step. Work is rows x permutations x (features + 1)
+    feature switched at that step. Background rows are drawn from all of ``background``
+    (``samples`` limits them). Work is rows x permutations x (features + 1)
     model evaluations; the values of a row always add up to its probability minus
     the mean probability of its background rows.
     """
-    spark = df.sparkSession
     features = list(model.features)
     k = len(features)
-    rows = background_rows(background if background is not None else df, features, keys, samples, seed)
-    if not rows:
+    pool, size = background_pool(background if background is not None else df, features, keys, samples, seed)
+    if not size:
         raise ValueError("background has no rows")
-    pool = local_table(
-        spark, [(i, r) for i, r in enumerate(rows)], "__b int, __ref array<double>"
-    )
     seeded = ", ".join([str(int(seed)), *qs(keys), "__p"])
     walks = (
         df.selectExpr(
@@ -260,7 +287,7 @@ def sampled_attribution(
         )
         .selectExpr(
             "*",
-            f"CAST(pmod(xxhash64({seeded}), {len(rows)}L) AS INT) AS __b",
+            f"pmod(xxhash64({seeded}), {size}L) AS __b",
             f"transform(array_sort(transform(sequence(0, {k - 1}),"
             f" j -> struct(xxhash64({seeded}, j) AS h, j AS j))), s -> s.j) AS __order",
         )
@@ -349,5 +376,8 @@ def model_info(model: Fitted, df: DataFrame) -> dict:
             w * means[f"m{i}"] for i, w in enumerate(model.weights.values())
         )
     else:
-        info["base_value"] = tree_base(leaf_table(model, df.sparkSession))
+        nodes = node_table(model, df.sparkSession)
+        info["base_value"] = sum(
+            tree_base(leaf_table(model, nodes.where(F.col("tree").isin(trees)))) for trees in tree_passes(nodes)
+        )
     return info

@@ -22,10 +22,12 @@ from ..operators.cohort import (
 )
 from ..operators.panel import Obs, anchored_features, feature_frame, min_tests, time_features
 from ..operators.prepare import Imputer, Scaler
+from ..operators.views import encounter_view, fact_view, observation_view, star_view
 from ..session import local_table, shared_folder, stage
 from ..sources.sinks import extract_tables
 from ..sources.tables import inventory, read_table
 from . import bindings as b
+from .dataset import cohort_frames
 from .registry import query, r
 
 RULES = b.CONFIG.code_rules()
@@ -433,17 +435,10 @@ def time_features_query(spark, sf):
 )
 def fact_title_join(spark, sf):
     """Facts with their titles and encounters, sorted by encounter and position."""
-    lines, parts = b.table(spark, sf, "lineitem"), b.table(spark, sf, "part")
-    orders = b.table(spark, sf, "orders")
-    return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
-        .join(orders, lines.l_orderkey == orders.o_orderkey, "left")
-        .selectExpr(
-            "l_orderkey AS hadm_id", "l_linenumber AS seq_num", "p_brand AS icd_code",
-            "p_name AS long_title", "o_orderdate AS admittime",
-        )
-        .orderBy("hadm_id", "seq_num")
-    )
+    lines = b.table(spark, sf, "lineitem").selectExpr("l_orderkey AS hadm_id", "l_linenumber AS seq_num", "l_partkey AS part")
+    titles = b.table(spark, sf, "part").selectExpr("p_partkey AS part", "p_brand AS icd_code", "p_name AS long_title")
+    stays = b.table(spark, sf, "orders").selectExpr("o_orderkey AS hadm_id", "o_orderdate AS admittime")
+    return fact_view(lines, titles, stays, ["part"], ordered=True).drop("part")
 
 
 @query(
@@ -452,14 +447,45 @@ def fact_title_join(spark, sf):
     " ON l_orderkey = o_orderkey AND l_linenumber = 1 LEFT JOIN part ON l_partkey = p_partkey",
 )
 def primary_fact_join(spark, sf):
-    primary = b.table(spark, sf, "lineitem").where("l_linenumber = 1")
-    parts = b.table(spark, sf, "part").select("p_partkey", "p_brand")
-    return (
-        b.admissions(spark, sf)
-        .join(primary.select("l_orderkey", "l_partkey"), F.col("hadm_id") == F.col("l_orderkey"), "left")
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .selectExpr("hadm_id", "subject_id", "p_brand AS icd_code")
-    )
+    facts = b.table(spark, sf, "lineitem").selectExpr("l_orderkey AS hadm_id", "l_linenumber AS seq_num", "l_partkey AS part")
+    titles = b.table(spark, sf, "part").selectExpr("p_partkey AS part", "p_brand AS icd_code")
+    stays = b.admissions(spark, sf).select("hadm_id", "subject_id")
+    return encounter_view(stays, None, facts, titles, title_keys=["part"]).select("hadm_id", "subject_id", "icd_code")
+
+
+@query(
+    "subject_observations",
+    "SELECT user_id AS subject_id, event_type AS itemid, upper(event_type) AS label, ts AS charttime, value AS valuenum"
+    " FROM events WHERE user_id = (SELECT min(user_id) FROM events)",
+)
+def subject_observations(spark, sf):
+    """All observations of one subject with their labels, in time order."""
+    events = b.events(spark, sf)
+    first = events.agg(F.min("user_id")).first()[0]
+    obs = events.selectExpr("user_id AS subject_id", "event_type AS itemid", "ts AS charttime", "value AS valuenum")
+    labels = events.selectExpr("event_type AS itemid", "upper(event_type) AS label").distinct()
+    return observation_view(obs, labels, first).select("subject_id", "itemid", "label", "charttime", "valuenum")
+
+
+@query(
+    "star_join_rows",
+    "SELECT l.l_orderkey AS hadm_id, l.l_linenumber AS line, l.l_quantity AS valuenum, p.p_type AS label, o_custkey AS subject_id,"
+    " c_mktsegment AS gender, f.l_partkey AS part, q.p_brand AS icd_code FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey"
+    " LEFT JOIN orders ON l.l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey"
+    " LEFT JOIN lineitem f ON f.l_orderkey = l.l_orderkey AND f.l_linenumber = 1 LEFT JOIN part q ON f.l_partkey = q.p_partkey",
+)
+def star_join_rows(spark, sf):
+    """Every observation with item, encounter, subject, and the encounter's primary code."""
+    lines, parts = b.table(spark, sf, "lineitem"), b.table(spark, sf, "part")
+    return star_view(
+        lines.selectExpr("l_orderkey AS hadm_id", "l_linenumber AS line", "l_quantity AS valuenum", "l_partkey AS itemid"),
+        parts.selectExpr("p_partkey AS itemid", "p_type AS label"),
+        b.table(spark, sf, "orders").selectExpr("o_orderkey AS hadm_id", "o_custkey AS subject_id"),
+        b.table(spark, sf, "customer").selectExpr("c_custkey AS subject_id", "c_mktsegment AS gender"),
+        lines.selectExpr("l_orderkey AS hadm_id", "l_linenumber AS seq_num", "l_partkey AS part"),
+        parts.selectExpr("p_partkey AS part", "p_brand AS icd_code"),
+        title_keys=["part"],
+    ).drop("itemid")
 
 
 @query(
@@ -569,6 +595,36 @@ def _dataset_sql() -> str:
     )
 
 
+def _cohort_datasets_sql() -> str:
+    cells = ", ".join(f"avg(valuenum) FILTER (WHERE icd_code = '{f}') AS \"{f}\"" for f in _DATASET_FEATURES)
+    names = [f'"{f}"' for f in _DATASET_FEATURES]
+    chosen = ", ".join(f"'{f}'" for f in _DATASET_FEATURES)
+    fills = ", ".join(f"median({n}) AS {n}" for n in names)
+    return (
+        f"WITH {MATCHED}, {COHORT_LIST}, known AS (SELECT * FROM facts WHERE icd_code IN ({chosen})),"
+        f" wide AS (SELECT subject_id, {cells} FROM known GROUP BY subject_id),"
+        " hits AS (SELECT DISTINCT cohort, subject_id FROM matched),"
+        " people AS (SELECT DISTINCT o_custkey AS subject_id FROM orders),"
+        f" f AS (SELECT {fills} FROM wide JOIN people USING (subject_id))"
+        " SELECT w.subject_id, c.cohort, CAST(h.subject_id IS NOT NULL AS INT) AS label, "
+        + ", ".join(r(f"coalesce(w.{n}, f.{n})", n) for n in names)
+        + " FROM wide w JOIN people USING (subject_id) CROSS JOIN cohorts c CROSS JOIN f"
+        " LEFT JOIN hits h ON h.subject_id = w.subject_id AND h.cohort = c.cohort"
+    )
+
+
+@query("cohort_datasets", _cohort_datasets_sql())
+def cohort_datasets(spark, sf):
+    """Labelled, imputed features for every cohort from one pass over the observations."""
+    facts = b.facts(spark, sf)
+    items = local_table(spark, [(x, x) for x in _DATASET_FEATURES], "itemid string, feature string")
+    wide = feature_frame(
+        facts.drop("feature"), items, _DATASET_FEATURES, None,
+        Obs("subject_id", "icd_code", "charttime", "valuenum"), ("mean",),
+    )
+    return cohort_frames(wide, all_labels(b.admissions(spark, sf), facts, RULES), fit_on="all", scale=None).frame
+
+
 @query("dataset_assembly", _dataset_sql())
 def dataset_assembly(spark, sf):
     facts = b.facts(spark, sf)

@@ -109,3 +109,57 @@ def multi_cohort_labels(tables: Tables, config: Config, names: Names = Names(),
         tables.admissions(), tables.diagnoses(), config.code_rules(), names.subject,
         code=names.code, system=names.system, **match,
     )
+
+
+def cohort_frames(
+    features: DataFrame,
+    labels: DataFrame,
+    missing: str = "median",
+    scale: str | None = "standard",
+    fit_on: str = "train",
+    subject: str = "subject_id",
+    splitter: Splitter | None = None,
+) -> Dataset:
+    """One frame (subject, cohort, label, features) for all cohorts of ``labels``.
+
+    Features do not depend on the cohort, so they are computed, written and fitted once, for the
+    subjects that ``labels`` know, and only the labels (subject, cohort, label) are joined per cohort.
+    ``fit_on='train'`` splits the subjects once (column ``split``), the same way for every cohort.
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
+    known = features.join(labels.select(subject).distinct(), subject, "left_semi")
+    once = stage(known)
+    if fit_on == "train":
+        once = stage((splitter or Splitter()).random(once, [subject]))
+    ids = (subject, "split")
+    learn = parts(once)[0] if fit_on == "train" else once
+    imputer = Imputer(missing, ids).fit(learn)
+    scaler = Scaler(scale, ids).fit(imputer.transform(learn)) if scale is not None else None
+    done = imputer.transform(once)
+    done = stage(scaler.transform(done) if scaler else done)
+    columns = [c for c in done.columns if c != subject]
+    return Dataset(labels.join(done, subject).select(subject, "cohort", "label", *columns), imputer, scaler)
+
+
+def create_datasets(
+    tables: Tables,
+    config: Config,
+    lookback_days: int | None = 30,
+    missing: str = "median",
+    scale: str | None = "standard",
+    min_count: int = 1,
+    fit_on: str = "train",
+    names: Names = Names(),
+    splitter: Splitter | None = None,
+    **match,
+) -> Dataset:
+    """``create_dataset`` for every configured cohort from one scan of the observations.
+
+    The frame is long, a row per subject and cohort; ``frame.where(cohort = ...)`` is one cohort's.
+    """
+    wide = feature_frame(
+        tables.lab_results(), config.item_map(tables.spark), config.feature_names(), lookback_days, names.obs
+    )
+    labels = multi_cohort_labels(tables, config, names, **match)
+    return cohort_frames(min_tests(wide, min_count), labels, missing, scale, fit_on, names.subject, splitter)

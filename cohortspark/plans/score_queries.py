@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import roc
-from ..operators.attribution import attribute, importance, linear_attribution
+from ..operators.attribution import attribute, importance, linear_attribution, model_info
 from ..operators.compare import cohort_summary, compare_methods, method_averages, winners
 from ..operators.confusion import binary_metrics, class_rates, cut_probability, precision_recall
 from ..operators.models import Baseline, fit_model
@@ -506,7 +506,7 @@ def logit_rule_youden(spark, sf):
 def attribution_rule_literature(spark, sf):
     frame, names = b.user_frame(spark, sf)
     frame = stage(frame)
-    finder = AttributionLiteratureRule(b.ranges(), keys=["user_id"], settings={"trees": 20, "depth": 5})
+    finder = AttributionLiteratureRule(b.ranges(), keys=["user_id"], settings={"trees": 100, "depth": 10})
     return evaluate_rule(finder.fit(frame, names), frame)
 
 
@@ -514,7 +514,7 @@ def attribution_rule_literature(spark, sf):
 def attribution_rule_youden(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
     frame = stage(frame)
-    finder = AttributionYoudenRule(keys=["vec_id"], settings={"trees": 20, "depth": 5})
+    finder = AttributionYoudenRule(keys=["vec_id"], settings={"trees": 100, "depth": 10})
     return evaluate_rule(finder.fit(frame, names), frame)
 
 
@@ -522,7 +522,7 @@ def attribution_rule_youden(spark, sf):
 def tree_attribution_forest(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
     frame = stage(frame)
-    model = fit_model(frame, names, kind="random_forest", settings={"trees": 50, "depth": 8})
+    model = fit_model(frame, names, kind="random_forest", settings={"trees": 100, "depth": 10})
     cores = spark.sparkContext.defaultParallelism
     return importance(attribute(model, frame, ["vec_id"], partitions=cores))
 
@@ -575,7 +575,7 @@ def model_metrics(spark, sf):
 @query("rule_cross_validation")
 def rule_cross_validation(spark, sf):
     frame, names = b.user_frame(spark, sf)
-    return cross_validate(lambda: YoudenRule(), stage(frame), names, ["user_id"], 3)
+    return cross_validate(lambda: YoudenRule(), stage(frame), names, ["user_id"], 5)
 
 
 @query("rule_experiment")
@@ -583,7 +583,7 @@ def rule_experiment(spark, sf):
     """Split, both coefficient rules, metrics on the test part."""
     frame, names = b.user_frame(spark, sf)
     return run_experiment(
-        stage(frame), names, "errors", b.ranges(), ["user_id"], n_folds=3
+        stage(frame), names, "errors", b.ranges(), ["user_id"], n_folds=5
     ).metrics
 
 
@@ -605,3 +605,46 @@ def cohort_experiments(spark, sf):
         frames, names, lambda _: {n: {"low": 0.0, "high": 0.0} for n in names}, keys=["vec_id"]
     )
     return summarise_cohorts(done)[0]
+
+
+# --- what fits and attributions must satisfy ---------------------------------
+
+
+def _gaps(phi, outputs, base: float, key: str):
+    """Per row: base value plus all attributions minus the model's output."""
+    sums = phi.groupBy(key).agg(F.sum("phi").alias("__sum"))
+    return sums.join(outputs, key).selectExpr(key, f"{base!r}D + __sum - __out AS gap")
+
+
+@query("tree_attribution_adds_up", "SELECT vec_id, 0.0 AS gap FROM embeddings")
+def tree_attribution_adds_up(spark, sf):
+    """Base value and attributions of a forest add up to its probability, row by row."""
+    frame, names = b.embedding_frame(spark, sf)
+    frame = stage(frame)
+    model = fit_model(frame, names, kind="random_forest", settings={"trees": 100, "depth": 10})
+    phi = attribute(model, frame, ["vec_id"], partitions=spark.sparkContext.defaultParallelism)
+    outputs = model.predict(frame, ["vec_id"]).selectExpr("vec_id", "probability AS __out")
+    return _gaps(phi, outputs, model_info(model, frame)["base_value"], "vec_id")
+
+
+@query("linear_attribution_adds_up", "SELECT vec_id, 0.0 AS gap FROM embeddings")
+def linear_attribution_adds_up(spark, sf):
+    """Base value and attributions of a logistic model add up to its log-odds."""
+    frame, names = b.embedding_frame(spark, sf)
+    frame = stage(frame)
+    model = fit_model(frame, names, kind="logistic_regression")
+    outputs = model.predict(frame, ["vec_id"]).selectExpr("vec_id", "ln(probability / (1 - probability)) AS __out")
+    return _gaps(attribute(model, frame, ["vec_id"]), outputs, model_info(model, frame)["base_value"], "vec_id")
+
+
+@query(
+    "experiment_part_sizes",
+    "SELECT CAST(sum(floor(c * 0.7 + 1e-9)) AS BIGINT) AS train, CAST(sum(c - floor(c * 0.7 + 1e-9)) AS BIGINT) AS test"
+    " FROM (SELECT label < 3 AS l, count(*) AS c FROM embeddings GROUP BY 1)",
+)
+def experiment_part_sizes(spark, sf):
+    """The stratified parts that an experiment fits and scores on."""
+    frame = b.table(spark, sf, "embeddings").selectExpr("vec_id", "CAST(label < 3 AS INT) AS label")
+    train, test = train_test(frame, ["vec_id"], 0.3, "label")
+    both = train.select(F.lit(1).alias("t")).unionByName(test.select(F.lit(0).alias("t")))
+    return both.agg(F.sum("t").alias("train"), F.sum(1 - F.col("t")).alias("test"))

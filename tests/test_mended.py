@@ -5,13 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions.codes import starts_with_any
-from cohortspark.operators.attribution import attribute
+from cohortspark.operators import attribution
+from cohortspark.operators.attribution import attribute, model_info
 from cohortspark.operators.cohort import full_coalesce_join, match_codes
 from cohortspark.operators.models import fit_model
 from cohortspark.operators.panel import Obs, lookback
 from cohortspark.operators.prepare import Scaler
 from cohortspark.operators.profile import demographics
 from cohortspark.operators.thresholds import Rule, apply_rules
+from cohortspark.plans.dataset import cohort_frames
 from cohortspark.plans.experiment import evaluate_rules, run_cohorts
 from cohortspark.sources.config import CodeRule, Config, expand_code
 from cohortspark.sources.sinks import code_filter
@@ -111,3 +113,35 @@ def test_any_failure_of_a_cohort_leaves_the_others(spark):
     broken = good.withColumn("x", F.expr("if(subject_id = 5, raise_error('bad row'), x)"))
     done, failed = run_cohorts({"good": good, "broken": broken}, ["x"], lambda _: {"x": {"high": 0.0}})
     assert list(done) == ["good"] and "bad row" in failed["broken"]
+
+
+def test_trees_in_several_passes_give_the_same_values(spark, monkeypatch):
+    pick = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), int(a + b > 0)) for i, (a, b) in enumerate(pick.normal(0, 1, (60, 2)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, label int")
+    model = fit_model(df, ["a", "b"], kind="random_forest", settings={"trees": 4, "depth": 3})
+    whole = {(r["k"], r["feature"]): r["phi"] for r in attribute(model, df, ["k"]).collect()}
+    base = model_info(model, df)["base_value"]
+    monkeypatch.setattr(attribution, "PASS_NODES", 5)
+    parts = {(r["k"], r["feature"]): r["phi"] for r in attribute(model, df, ["k"]).collect()}
+    assert parts == pytest.approx(whole) and model_info(model, df)["base_value"] == pytest.approx(base)
+
+
+def test_the_whole_background_is_drawn_from(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(500)], "k long, x double").repartition(7)
+    pool, size = attribution.background_pool(df, ["x"], ["k"])
+    rows = pool.collect()
+    assert size == 500 and sorted(r["__b"] for r in rows) == list(range(500))
+    assert sorted(r["__ref"][0] for r in rows) == [float(i) for i in range(500)]
+    assert attribution.background_pool(df, ["x"], ["k"], 20)[1] == 20
+
+
+def test_one_pass_datasets_match_single_ones(spark):
+    features = spark.createDataFrame([(i, float(i) if i % 4 else None) for i in range(40)], "subject_id long, x double")
+    labels = spark.createDataFrame([(i, c, int(i % n == 0)) for i in range(38) for c, n in (("a", 2), ("b", 3))], "subject_id long, cohort string, label int")
+    data = cohort_frames(features, labels)
+    assert data.frame.groupBy("subject_id").agg(F.countDistinct("x").alias("n")).where("n <> 1").count() == 0
+    assert data.frame.count() == 76 and {r[0] for r in data.frame.select("split").distinct().collect()} == {"train", "val", "test"}
+    everything = cohort_frames(features, labels, fit_on="all", scale=None).frame
+    middle = np.median([float(i) for i in range(38) if i % 4])
+    assert everything.where("subject_id = 4").first()["x"] == middle

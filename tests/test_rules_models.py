@@ -12,6 +12,7 @@ from cohortspark.operators.attribution import (
     explain_batch,
     importance,
     leaf_table,
+    node_table,
     linear_attribution,
     model_info,
     summarise,
@@ -208,7 +209,7 @@ def brute_shapley(leaves, x):
 @pytest.mark.parametrize("kind", ["random_forest", "boosted_trees"])
 def test_tree_attribution_is_exact_and_adds_up(spark, low, kind):
     model = fit_model(low, FEATURES, kind=kind, settings={"trees": 4, "depth": 5})
-    leaves = leaf_table(model, spark)
+    leaves = leaf_table(model, node_table(model, spark))
     sample = low.orderBy("subject_id").limit(12).collect()
     x = np.array([[r[f] for f in FEATURES] for r in sample])
     phi = explain_batch(x, leaves)
