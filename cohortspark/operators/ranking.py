@@ -19,12 +19,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import null_safe, settle
+from ..session import null_safe, settle, stage
 
 # Rows a single in-bucket sort may hold before another narrowing pass is made.
 BUCKET_ROWS = 2_000_000
 
 
+# Accuracy of the sketches that place bucket edges, and how many are merged at last.
+EDGE_ACCURACY = 10_000
+EDGE_GROUPS = 64
+
+
 def q(name: str) -> str:
     """Backquoted column name."""
     return f"`{name}`"
@@ -52,10 +57,12 @@ def _over(by: Sequence[str], order: str = "", frame: str = "") -> str:
 def range_edges(df: DataFrame, value: str, buckets: int) -> list[float]:
     """Edges that spread the rows of ``value`` over about ``buckets`` ranges."""
     probs = ", ".join(f"{i / buckets:.8f}D" for i in range(1, buckets))
-    accuracy = max(10_000, 20 * buckets)
-    found = df.selectExpr(
-        f"percentile_approx(CAST({q(value)} AS DOUBLE), array({probs}), {accuracy}) AS e"
-    ).first()["e"]
+    sketch = f"percentile_approx({{}}, array({probs}), {EDGE_ACCURACY})"
+    # Edges only spread the work: sketches of bounded size, merged in two levels.
+    groups = df.groupBy(F.expr(f"spark_partition_id() % {EDGE_GROUPS}")).agg(
+        F.expr(f"{sketch.format(f'CAST({q(value)} AS DOUBLE)')} AS e")
+    )
+    found = groups.selectExpr("explode(e) AS e").selectExpr(f"{sketch.format('e')} AS e").first()["e"]
     inner = sorted({float(e) for e in found or [] if math.isfinite(e)})
     return [-math.inf, *(inner or [0.0]), math.inf]
 
@@ -77,13 +84,14 @@ def running_sums(
 
     ``measures`` maps names to SQL expressions. Equal values are combined before
     any shuffle, so a value held by a third of the rows is one row by the time it
-    moves. The sums per bucket come from one narrow scan and are added to the sums
-    inside each bucket. Null and NaN values are left out.
+    moves. The combined rows are written once; edges, the sums per bucket and the sums
+    inside each bucket all come from them. Null and NaN values are left out.
     """
     by, names = list(by), list(measures)
     v = q(value)
     rows = df.where(f"{v} IS NOT NULL AND NOT isnan(CAST({v} AS DOUBLE))")
-    edges = range_edges(rows, value, buckets or default_buckets(df))
+    summed = stage(rows.groupBy(*by, value).agg(*[F.expr(f"sum({e}) AS {q(m)}") for m, e in measures.items()]))
+    edges = range_edges(summed, value, buckets or default_buckets(df))
     bucketizer = Bucketizer(splits=edges, inputCol="__v", outputCol="__b")
 
     def placed(df: DataFrame, *columns: str) -> DataFrame:
@@ -93,7 +101,7 @@ def running_sums(
     way = "DESC" if descending else "ASC"
     ahead = _over(by, f"__bucket {way}", "before")
     per_bucket = (
-        placed(rows, *qs(by), *[f"{e} AS {q('__' + m)}" for m, e in measures.items()])
+        placed(summed, *qs(by), *[f"{q(m)} AS {q('__' + m)}" for m in names])
         .groupBy(*by, "__bucket")
         .agg(*[F.expr(f"sum({q('__' + m)}) AS {q('__' + m)}") for m in names])
     )
@@ -105,9 +113,6 @@ def running_sums(
             *[f"sum(`__{m}`) {_over(by)} AS `{m}_total`" for m in names],
         )
     )
-    summed = rows.groupBy(*by, value).agg(
-        *[F.expr(f"sum({e}) AS {q(m)}") for m, e in measures.items()]
-    )
     inside = _over([*by, "__bucket"], f"{v} {way}", "before")
     ranked = placed(summed, *qs([*by, value, *names])).selectExpr(
         *qs([*by, value, "__bucket", *names]),

@@ -17,8 +17,17 @@ from ..operators.prepare import Scaler
 from ..operators.ranking import q, qs, text
 from ..operators.roc import auc, optimal_threshold, pr_area
 from ..operators.split import folds, train_test
-from ..operators.thresholds import Finder, LiteratureRule, RangeFlags, Rule, YoudenRule
+from ..operators.thresholds import (
+    AttributionLiteratureRule,
+    AttributionYoudenRule,
+    Finder,
+    LiteratureRule,
+    RangeFlags,
+    Rule,
+    YoudenRule,
+)
 from ..session import stage
+from ..sources.config import Config
 from ..sources.sinks import write_result
 
 
@@ -155,6 +164,20 @@ class Experiment:
         return write_result(self.metrics, self.predictions, path, info)
 
 
+def configured_finders(config: Config, cohort: str, keys: Sequence[str] = ("subject_id",), label: str = "label", kind: str | None = None) -> dict[str, Finder]:
+    """Literature and Youden finders on attributions of the configured model.
+
+    Model kind, size and seed, and the folds of the cut come from ``config.models``.
+    """
+    kind, settings = config.model(kind)
+    seed = int(settings.pop("seed", 42))
+    shared = {"model": kind, "settings": settings, "label": label, "seed": seed, "keys": keys}
+    return {
+        AttributionLiteratureRule.method: AttributionLiteratureRule(config.thresholds_for(cohort), **shared),
+        AttributionYoudenRule.method: AttributionYoudenRule(**config.validation(), **shared),
+    }
+
+
 def run_experiment(
     frame: DataFrame,
     features: Sequence[str],

@@ -30,7 +30,8 @@ class Config:
     ``features``   feature -> {"itemids": [...], "unit": text, "low": x, "high": y}
     ``groups``     group -> ordered feature list
     ``thresholds`` cohort -> feature -> number or {"low": x, "high": y}
-    ``models``     settings of the attribution models
+    ``models``     "default" kind, settings by model kind, "explainer", "cross_validation"
+    ``default_cohort`` the cohort to begin with, if one is named
     """
 
     cohorts: Mapping[str, Mapping] = field(default_factory=dict)
@@ -38,6 +39,7 @@ class Config:
     groups: Mapping[str, list] = field(default_factory=dict)
     thresholds: Mapping[str, Mapping] = field(default_factory=dict)
     models: Mapping[str, Mapping] = field(default_factory=dict)
+    default_cohort: str | None = None
 
     def cohort(self, key: str) -> Mapping:
         if key not in self.cohorts:
@@ -54,6 +56,20 @@ class Config:
             for prefix in expand_code(str(code))
         ]
 
+    def relevant_features(self, cohort: str) -> list[str]:
+        """The features configured for a cohort, else all."""
+        return list(self.cohort(cohort).get("relevant") or self.feature_names())
+
+    def model(self, kind: str | None = None) -> tuple[str, dict]:
+        """(kind, settings) of a configured model; the default kind without a name."""
+        kind = kind or self.models.get("default", "random_forest")
+        return kind, dict(self.models.get(kind) or {})
+
+    def validation(self) -> dict:
+        """``use_cv`` and ``n_folds`` as the Youden finders take them."""
+        own = self.models.get("cross_validation") or {}
+        return {"use_cv": bool(own.get("use_cv", True)), "n_folds": int(own.get("folds", 5))}
+
     def item_ids(self) -> list:
         return [i for f in self.features.values() for i in f.get("itemids", [])]
 
@@ -133,6 +149,59 @@ def expand_code(code: str) -> list[str]:
     return [letters + d[:stem] + ("." + d[stem:] if rest else "") for d in digits]
 
 
+# Names of model settings in configuration files, and here.
+_SETTINGS = {
+    "n_estimators": "trees",
+    "max_depth": "depth",
+    "min_samples_split": "min_rows",
+    "learning_rate": "rate",
+    "max_iter": "max_iter",
+    "random_state": "seed",
+    "c": "c",
+}
+_KINDS = {"randomforest": "random_forest", "xgboost": "boosted_trees", "logisticregression": "logistic_regression"}
+
+
+def _kind(name: str) -> str:
+    plain = str(name).replace("_", "").lower()
+    kind = _KINDS.get(plain, str(name))
+    if kind not in _KINDS.values():
+        raise ValueError(f"unknown model type {name!r}; known: {sorted(_KINDS.values())}")
+    return kind
+
+
+def _settings(body: Mapping, where: str) -> dict:
+    known = {**_SETTINGS, **{v: v for v in _SETTINGS.values()}}
+    unknown = [k for k in body if k != "model_type" and k.lower() not in known]
+    if unknown:
+        raise ValueError(f"unknown setting(s) {unknown} in {where}; known: {sorted(_SETTINGS)}")
+    return {known[k.lower()]: v for k, v in body.items() if k != "model_type"}
+
+
+def parse_models(body: Mapping) -> dict:
+    """The model section by kind; unknown keys raise ``ValueError``."""
+    unknown = set(body) - {"default_model", "models", "explainer", "cross_validation"}
+    if unknown:
+        raise ValueError(f"unknown model section(s) {sorted(unknown)}")
+    out: dict = {}
+    for name, own in (body.get("models") or {}).items():
+        out[_kind(own.get("model_type", name))] = _settings(own, f"models.{name}")
+    default = body.get("default_model") or {}
+    if default:
+        kind = _kind(default.get("model_type", "random_forest"))
+        out["default"] = kind
+        out[kind] = {**out.get(kind, {}), **_settings(default, "default_model")}
+    folds = dict(body.get("cross_validation") or {})
+    strange = set(folds) - {"use_cv", "cv_folds"}
+    if strange:
+        raise ValueError(f"unknown setting(s) {sorted(strange)} in cross_validation")
+    if folds:
+        out["cross_validation"] = {"use_cv": folds.get("use_cv", True), "folds": folds.get("cv_folds", 5)}
+    if body.get("explainer"):
+        out["explainer"] = dict(body["explainer"])
+    return out
+
+
 def load_config(folder: str) -> Config:
     """Merge the YAML files of ``folder``; a missing file or folder gives no rules.
 
@@ -158,6 +227,8 @@ def parse_config(raw: Mapping) -> Config:
             if match:
                 codes[match.group(1)] = values or []
         cohorts[key] = {"name": body.get("name", key), "codes": codes}
+        if body.get("relevant_biomarkers"):
+            cohorts[key]["relevant"] = list(body["relevant_biomarkers"])
     features, models = {}, {}
     for section, body in raw.items():
         if section.endswith("_features") or section == "features":
@@ -170,11 +241,12 @@ def parse_config(raw: Mapping) -> Config:
                     "high": span.get("high"),
                 }
         elif section.endswith("_config"):
-            models = body
+            models = parse_models(body)
     return Config(
         cohorts=cohorts,
         features=features,
         groups=raw.get("feature_groups") or {},
         thresholds=raw.get("literature_thresholds") or {},
         models=models,
+        default_cohort=raw.get("default_disease"),
     )

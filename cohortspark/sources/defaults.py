@@ -85,6 +85,7 @@ _LIMITS = {  # cohort: (feature, low, high), ...
     ],
 }
 _MODELS = {
+    "default": "random_forest",
     "random_forest": {"trees": 100, "depth": 10, "min_rows": 5, "seed": 42},
     "boosted_trees": {"trees": 100, "depth": 6, "rate": 0.1, "seed": 42},
     "logistic_regression": {"max_iter": 1000},

@@ -14,8 +14,8 @@ from cohortspark.operators.prepare import Scaler
 from cohortspark.operators.profile import demographics
 from cohortspark.operators.thresholds import Rule, apply_rules
 from cohortspark.plans.dataset import cohort_frames
-from cohortspark.plans.experiment import evaluate_rules, run_cohorts
-from cohortspark.sources.config import CodeRule, Config, expand_code
+from cohortspark.plans.experiment import configured_finders, evaluate_rules, run_cohorts
+from cohortspark.sources.config import CodeRule, Config, expand_code, load_config, parse_models
 from cohortspark.sources.sinks import code_filter
 
 
@@ -145,3 +145,37 @@ def test_one_pass_datasets_match_single_ones(spark):
     everything = cohort_frames(features, labels, fit_on="all", scale=None).frame
     middle = np.median([float(i) for i in range(38) if i % 4])
     assert everything.where("subject_id = 4").first()["x"] == middle
+
+
+YAML = """
+cohorts: {}
+default_disease: ra
+diseases:
+  ra: {name: RA, icd9_codes: ["714.0"], relevant_biomarkers: [wbc]}
+  t1: {name: T1, icd9_codes: ["250.01"]}
+cbc_features:
+  wbc: {itemids: [1], reference_range: {low: 4, high: 11}}
+  rdw: {itemids: [2]}
+shap_config:
+  default_model: {model_type: RandomForest, n_estimators: 7, max_depth: 3, random_state: 5}
+  models:
+    xgboost: {model_type: XGBoost, n_estimators: 9, learning_rate: 0.2}
+  cross_validation: {use_cv: false, cv_folds: 4}
+"""
+
+
+def test_model_settings_of_a_file_reach_the_finders(spark, tmp_path):
+    (tmp_path / "all.yaml").write_text(YAML)
+    config = load_config(str(tmp_path))
+    assert config.default_cohort == "ra" and config.relevant_features("ra") == ["wbc"] and config.relevant_features("t1") == ["wbc", "rdw"]
+    assert config.model() == ("random_forest", {"trees": 7, "depth": 3, "seed": 5})
+    assert config.model("boosted_trees") == ("boosted_trees", {"trees": 9, "rate": 0.2})
+    finders = configured_finders(config, "ra", ["k"])
+    cut = finders["attribution_youden"]
+    assert not cut.use_cv and cut.n_folds == 4 and cut.settings == {"trees": 7, "depth": 3} and cut.seed == 5
+    df = spark.createDataFrame([(i, float(i), i % 7 * 1.0, int(i > 20)) for i in range(40)], "k long, wbc double, rdw double, label int")
+    rule = cut.fit(df, ["wbc", "rdw"])
+    assert rule.feature == "wbc" and cut.model.model.getNumTrees == 7
+    for bad in ({"models": {"svm": {}}}, {"default_model": {"model_type": "RandomForest", "n_trees": 3}}, {"extra": {}}, {"cross_validation": {"k": 3}}):
+        with pytest.raises(ValueError):
+            parse_models(bad)
