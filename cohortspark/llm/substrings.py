@@ -137,11 +137,13 @@ def refine(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(have):
         key = key * 512 + padded[i : i + n]
-    order = np.argsort(key)
+    del padded
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
-    last = np.flatnonzero(np.concatenate([sorted_key[1:] != sorted_key[:-1], [True]]))
+    last = np.flatnonzero(np.concatenate([sorted_key[1:] != sorted_key[:-1], [True]])).astype(np.int32)
+    del key, sorted_key
     sizes = np.diff(np.concatenate([[-1], last]))
-    rank = np.full(n + depth + 8, -1, np.int64)
+    rank = np.full(n + depth + 8, -1, np.int32)
     rank[order] = np.repeat(last, sizes)
     open_ = order[np.repeat(sizes > 1, sizes)]
     while have < depth and len(open_):
@@ -159,7 +161,7 @@ def refine(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank[open_] = np.repeat(first[at] - behind, sizes)
         have += step
         open_ = open_[np.repeat(sizes > 1, sizes)]
-    return rank[:n]
+    return rank[:n].astype(np.int64)
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -263,7 +265,7 @@ OUT, BACK = ["shard", "block", "kind", "payload"], ["block", "shard", "kind", "p
 def remove_repeats(
     docs: DataFrame,
     least: int = 50,
-    block_bytes: int = 1 << 22,
+    block_bytes: int = 1 << 21,
     crowd: int = 1 << 14,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -276,7 +278,7 @@ def remove_repeats(
     """
     blocks = stage(pack_blocks(inputs(docs, "documents", doc_id=doc_id, text=text), block_bytes))
     total, count = blocks.agg(F.sum("bytes"), F.count("*")).first()
-    total, shards = total or 0, max(1, (count or 0) // 4)
+    total, shards = total or 0, max(1, count or 0)
     bits = min(64, int(total).bit_length() + 12)
     before, width = least - GRAM, 2 * least - GRAM
 
