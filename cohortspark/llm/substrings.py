@@ -284,7 +284,10 @@ def remove_repeats(
 
     def sorted_anchors(block):
         at, hashes = anchors(block, least)
-        keys = hashes >> np.uint64(64 - bits)
+        # Anchors are least hashes; mixed anew they fill the shards' ranges evenly.
+        mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        keys = mixed >> np.uint64(64 - bits)
         by = np.argsort(keys, kind="stable")
         return at[by], hashes[by], keys[by]
 
