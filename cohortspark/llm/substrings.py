@@ -353,7 +353,8 @@ def remove_repeats(
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
                 rows.append((s, number, STRINGS, packed(np.diff(strings[part], prepend=np.uint64(0)), lowest[part])))
-            rows.append((-1, number, MEMO, packed(np.diff(crowded, prepend=0))))
+            # The block's own note comes back with the answers.
+            rows.append((number % shards, number, MEMO, packed(np.diff(crowded, prepend=0))))
         return table_of(rows, OUT)
 
     def crowded_strings(block, crowded):
@@ -371,7 +372,7 @@ def remove_repeats(
     def judge(table):
         kinds = np.array(table.column("kind").to_pylist())
         messages, numbers, shard = table.column("payload"), table.column("block"), table.column("shard")[0].as_py()
-        rows = []
+        rows = [(numbers[i].as_py(), shard, MEMO, messages[i].as_py()) for i in np.flatnonzero(kinds == MEMO).tolist()]
         own = np.flatnonzero(kinds == CONTEXTS).tolist()
         if own:
             parts = [unpacked(messages[i].as_py(), np.uint16, np.int64, np.uint32) for i in own]
@@ -445,11 +446,10 @@ def remove_repeats(
 
     whole = blocks.select("block", "message")
     verdicts = whole.mapInArrow(ask, MESSAGE).groupBy("shard").applyInArrow(which_repeat, ANSWER)
-    sent = stage(whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(send, MESSAGE))
-    judged = sent.filter("shard >= 0").groupBy("shard").applyInArrow(judge, ANSWER)
-    notes = sent.filter("shard < 0").select("block", "shard", "kind", "payload")
+    sent = whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(send, MESSAGE)
+    judged = sent.groupBy("shard").applyInArrow(judge, ANSWER)
     return (
-        whole.groupBy("block").cogroup(judged.unionByName(notes).groupBy("block"))
+        whole.groupBy("block").cogroup(judged.groupBy("block"))
         .applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     )
 
