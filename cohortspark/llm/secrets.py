@@ -43,8 +43,8 @@ WEAK = (
 )
 # A strong match also plays a part: what it shows is a key or an identity.
 ROLE = {"assign": "key", "access": "identity", "hex": "key"}
-# Any weak pattern needs one of these; a text without them has no weak part to look for.
-HINT = re.compile(r"[:=]|ASIA|AIDA|AROA|AGPA", re.ASCII)
+# Any identity, weak or strong, has one of these; a text without them has no weak part that could be linked.
+HINT = re.compile(r"[:=]|AKIA|ASIA|AIDA|AROA|AGPA", re.ASCII)
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
     "n_weak long"
