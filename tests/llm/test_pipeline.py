@@ -34,6 +34,53 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
                 assert kept.count(5) == 1 and 70 not in kept and 6 in kept and kept.count(None) == 1
 
 
+def plain_jaccard(a, b):
+    sets = []
+    for words in (a.lower().split(), b.lower().split()):
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def planted(pick):
+    """Texts with near copies about the border, chains, a short text, and a group too large to pair off."""
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for n, edits in ((50, 1), (100, 1), (100, 2), (200, 3), (200, 4), (200, 5), (400, 8), (400, 7)):
+        first = [word() for _ in range(n)]
+        other = list(first)
+        for at in pick.sample(range(5, n - 5), edits):
+            other[at] = word()
+        texts += [" ".join(first), " ".join(other).title()]
+    many = [word() for _ in range(120)]
+    for copy in range(40):
+        edited = list(many)
+        for _ in range(copy % 4):
+            edited[pick.randrange(120)] = word()
+        texts.append(" ".join(edited))
+    chain = [word() for _ in range(100)]
+    for _ in range(6):
+        texts.append(" ".join(chain))
+        chain[pick.randrange(100)] = word()
+    return [*texts, "Just three words", "just  three WORDS", "three other words", ""]
+
+
+def test_near_copies_match_brute_force(spark):
+    texts = planted(random.Random(5))
+    root = list(range(len(texts)))
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            score = plain_jaccard(texts[i], texts[j])
+            near += 0.8 <= score < 0.95
+            if score >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert near > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_run_packs_what_the_stages_keep(spark):
     pieces = corpus_pipeline.run(spark, SMALL)
     ids = documents(spark, SMALL).select("doc_id")
