@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import WORD, inputs, spare, stage
 
 SEED = "mix"
@@ -103,6 +104,7 @@ def mix_sources(
     block: int = 64,
     shard_words: int = 1 << 22,
     seed: str = SEED,
+    own_shards: bool = False,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -110,8 +112,10 @@ def mix_sources(
     """(doc_id, size, source_size, source, target, taken) of every row of ``docs``.
 
     ``size`` counts words (0 for a null text) and ``taken`` the words the mix takes, repeats counted:
-    never more than ``most`` times the size, and per source within a block per shard
-    of the target. A null source is a source of its own. Rows without words take none. Repeated rows
+    never more than ``most`` times the size. A shard's last block counts as a whole one, so a source may
+    miss up to ``most`` blocks per shard of its target; with a ``block`` of one word it misses
+    none but by rounding. The number of shards follows the words of all sources as in ``mixing_sql``, or,
+    with ``own_shards``, those of the row's own source, so that other sources change nothing for it. A null source is a source of its own. Rows without words take none. Repeated rows
     are documents of their own; which of them takes more is open, as they are
     alike. An empty table gives no rows. The same rows give the same mix in any layout.
     """
@@ -121,7 +125,12 @@ def mix_sources(
         rows.select("doc_id", "source", word_count("text").alias("size"), key.alias("__key"))
     )
     total = measured.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+    if own_shards:
+        own, _ = settle(measured.groupBy(F.col("source").alias("__own")).agg(F.sum("size").alias("__words")))
+        measured = measured.join(own, measured.source.eqNullSafe(own["__own"]))
+        shards = F.greatest(F.lit(1), F.ceil(F.col("__words") / shard_words))
+    else:
+        shards = max(1, -(-total // shard_words))
     dealt = measured.select("doc_id", "source", "size", (digits(F.col("__key"), 1) % shards).alias("shard"), digits(F.col("__key"), 9).alias("at"), F.substring("__key", 17, 16).alias("tie"))
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most)

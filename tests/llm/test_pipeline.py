@@ -7,6 +7,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from cohortspark.llm import mixing
 from cohortspark.llm.common import documents
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,6 +82,30 @@ def test_near_copies_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
+def test_rows_of_one_id_keep_the_representative_of_each_group(spark):
+    copy, clean = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, clean), (2, clean), (3, clean + " c")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert sorted(map(tuple, kept.collect())) == [(1, copy), (2, clean)]
+
+
+def test_a_rare_source_reaches_its_target_beside_a_large_one(spark):
+    """200 documents of 10 words and a source of one word, whatever the number of shards of the others."""
+    pick = random.Random(2)
+    rare = [(i, " ".join(str(pick.randrange(99)) for _ in range(10)), "b") for i in range(200)]
+    large = [(1000 + i, "word " * 400, "a") for i in range(300)]
+    docs = spark.createDataFrame([*rare, *large, (5000, "word", "c")], "doc_id long, text string, source string")
+    options = {"block": 1, "own_shards": True, "shard_words": 4000}
+    found = mixing.mix_sources(docs, **options)
+    for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 1 + r["target"] / 1000, r
+    assert found.filter("taken > 3 * size").count() == 0
+    # One shard for each small source: at most one of its documents is cut.
+    assert found.filter("source = 'b' and taken % size <> 0").count() <= 1
+    mixed = corpus_pipeline.mix_to_weights(spark, docs, SMALL).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n"))
+    assert {r["source"]: r["n"] for r in mixed.collect()}["b"] == 6000
+
+
 def test_run_packs_what_the_stages_keep(spark):
     pieces = corpus_pipeline.run(spark, SMALL)
     ids = documents(spark, SMALL).select("doc_id")
