@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, in_fold
+from .filter_audit import audit_filters, audit_sql, document_failures
 from .fingerprints import fingerprint_documents
 from .langid import predict_languages, train_language_model
 from .lm import held_out_scores
@@ -94,3 +95,12 @@ def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return audit_filters(document_failures(documents(spark, sf_dir), labels), "ABCDE", ("good", "toxic"))
+
+
+ORACLES["op11_filter_audit"] = audit_sql()
