@@ -11,6 +11,7 @@ from .filter_audit import audit_filters, audit_sql, document_failures
 from .fingerprints import fingerprint_documents
 from .langid import predict_languages, train_language_model
 from .lm import held_out_scores
+from .merkle import audit_manifest, manifest_sql
 from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .secrets import find_secrets
@@ -104,3 +105,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = audit_sql()
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_manifest(documents(spark, sf_dir), in_fold("doc_id", 3, 0))
+
+
+ORACLES["op13_merkle_manifest"] = manifest_sql()
