@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_fold
+from ..session import shared_folder
+from .common import documents, in_fold, stage
 from .filter_audit import audit_filters, audit_sql, document_failures
 from .fingerprints import fingerprint_documents
 from .langid import predict_languages, train_language_model
@@ -19,6 +22,7 @@ from .simhash import near_duplicates
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .vptree import nearest_by_product
+from .warc import archive_sql, plan_records, read_archives, resolve_revisits, write_archives
 
 QUERIES = {}
 ORACLES = {}
@@ -107,6 +111,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_filter_audit"] = audit_sql()
 
 
+@query
+def op12_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(plan_records(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")), folder)
+    # One pass over the archives: resolving reads the found records three times.
+    return resolve_revisits(stage(read_archives(spark, folder, payloads=False)))
+
+
+ORACLES["op12_warc_salvage"] = archive_sql()
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_manifest(documents(spark, sf_dir), in_fold("doc_id", 3, 0))
