@@ -3,7 +3,7 @@
 Sizes, not texts, are moved. Documents get a seeded order inside (source, shard), which lays
 their words end to end; the line is cut into blocks of ``block`` words. The mix's blocks are
 dealt to sources, and each source's to its shards, by the highest quotients
-``target / (2 * blocks + 1)``. A shard takes each of its blocks as often as its quota allows for all, and
+``target / (2 * blocks + 1)``. A shard takes all its words as often as its quota allows, and
 the first of the order once more for the rest: in a seeded order that is a seeded choice,
 and it takes nearly all documents whole.
 
@@ -15,10 +15,10 @@ quotients between them, about two a party, are ranked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import null_safe
 from .common import WORD, inputs, spare, stage
 
 SEED = "mix"
@@ -97,103 +97,142 @@ def apportion(parties: DataFrame, groups: list[str], party: list[str], value: st
     )
 
 
+def measured(docs: DataFrame, seed: str, *kept: str) -> DataFrame:
+    """(source, size, key, *kept) of (doc_id, source, text): the key seeds a row's shard and place.
+
+    It is made of the id and the text, so only rows alike in both share one.
+    """
+    whole = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.select(*kept, "source", word_count("text").alias("size"), whole.alias("key"))
+
+
+def quota_cells(lines: DataFrame, weights, most: float, block: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """(lines with ``shard``, cells) for (doc_id, source, size, key, copies).
+
+    Cells (source, shard) say how often the mix takes all their words (``each``), how many words
+    more (``once_more``), and by ``cut`` and ``cut_start`` at which row of the cell's line these end.
+    """
+    own = stage(lines.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words")))
+    total = own.agg(F.sum("words")).first()[0] or 0
+    shards = own.select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(F.col("words") / shard_words)).alias("shards"))
+    placed = lines.join(shards, lines.source.eqNullSafe(shards["of"])).withColumn("shard", digits(F.col("key"), 1) % F.col("shards")).drop("of", "shards")
+    cells = placed.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("cell_size"))
+    sources = targets(own.withColumnRenamed("words", "source_size"), weights, most)
+    blocks = F.lit((2 * total + block) // (2 * block))
+    shares = apportion(
+        sources.withColumn("__all", F.lit(0)).withColumn("__seats", blocks), ["__all"], ["source"], "target", "__seats"
+    ).select(F.col("source").alias("of"), "source_size", "target", F.col("won").alias("__seats"))
+    dealt = apportion(cells.join(shares, cells.source.eqNullSafe(shares["of"])).drop("of"), ["source"], ["shard"], "cell_size", "__seats")
+    words = F.least(F.col("won") * block, F.floor(F.col("cell_size") * most))
+    quotas = stage(dealt.select(
+        F.col("source").alias("of"), F.col("shard").alias("of_shard"), "source_size", "target",
+        F.when(F.col("cell_size") > 0, F.floor(words / F.col("cell_size"))).otherwise(0).alias("each"),
+        F.when(F.col("cell_size") > 0, words % F.col("cell_size")).otherwise(0).cast("long").alias("once_more"),
+    ))
+    line = Window.partitionBy("source", "shard").orderBy(F.substring("key", 9, 24))
+    laid = placed.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.col("end") - F.col("size") * F.col("copies")
+    laid = stage(laid.select(*placed.columns, ends.alias("start")))
+    met = laid.join(quotas, laid.source.eqNullSafe(quotas["of"]) & (laid.shard == quotas["of_shard"]))
+    cut = met.filter("start <= once_more AND once_more < start + size * copies").select(
+        F.col("of").alias("cut_of"), F.col("of_shard").alias("cut_shard"), F.col("key").alias("cut"),
+        F.col("start").alias("cut_start"), F.col("copies").alias("cut_copies"),
+    )
+    return met, quotas.join(cut, F.col("of").eqNullSafe(F.col("cut_of")) & (F.col("of_shard") == F.col("cut_shard")), "left").drop("cut_of", "cut_shard")
+
+
+def taken_at(start: Column) -> Column:
+    """Words taken of a row whose words begin at ``start`` of its cell's line."""
+    extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("once_more") - start))
+    return (F.col("size") * F.col("each") + extra).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     most: float = 3.0,
-    block: int = 64,
+    block: int = 1,
     shard_words: int = 1 << 22,
     seed: str = SEED,
-    own_shards: bool = False,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(doc_id, size, source_size, source, target, taken) of every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs``.
 
     ``size`` counts words (0 for a null text) and ``taken`` the words the mix takes, repeats counted:
-    never more than ``most`` times the size. A shard's last block counts as a whole one, so a source may
-    miss up to ``most`` blocks per shard of its target; with a ``block`` of one word it misses
-    none but by rounding. The number of shards follows the words of all sources as in ``mixing_sql``, or,
-    with ``own_shards``, those of the row's own source, so that other sources change nothing for it. A null source is a source of its own. Rows without words take none. Repeated rows
-    are documents of their own; which of them takes more is open, as they are
+    never more than ``most`` times the size. With a ``block`` of one word a source's words are its rounded
+    target; longer blocks round it to whole blocks. A source has a shard for every ``shard_words`` of its own words, so other sources
+    change nothing for it. A null source is a source of its own. Rows without words take none. Rows alike in id, source and
+    text are laid one after the other, counted once; which of them takes more is open, as they are
     alike. An empty table gives no rows. The same rows give the same mix in any layout.
     """
     rows = inputs(docs, "documents", doc_id=doc_id, text=text, source=source)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    measured = stage(
-        rows.select("doc_id", "source", word_count("text").alias("size"), key.alias("__key"))
-    )
-    total = measured.agg(F.sum("size")).first()[0] or 0
-    if own_shards:
-        own, _ = settle(measured.groupBy(F.col("source").alias("__own")).agg(F.sum("size").alias("__words")))
-        measured = measured.join(own, measured.source.eqNullSafe(own["__own"]))
-        shards = F.greatest(F.lit(1), F.ceil(F.col("__words") / shard_words))
-    else:
-        shards = max(1, -(-total // shard_words))
-    dealt = measured.select("doc_id", "source", "size", (digits(F.col("__key"), 1) % shards).alias("shard"), digits(F.col("__key"), 9).alias("at"), F.substring("__key", 17, 16).alias("tie"))
-    cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
-    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most)
-    blocks = F.lit((2 * total + block) // (2 * block))
-    shares = apportion(
-        sources.withColumn("__all", F.lit(0)).withColumn("__seats", blocks), ["__all"], ["source"], "target", "__seats"
-    ).select("source", "source_size", "target", F.col("won").alias("__seats"))
-    quotas = (
-        apportion(
-            cells.join(shares, cells.source.eqNullSafe(shares.source)).drop(shares.source),
-            ["source"], ["shard"], "cell_size", "__seats",
-        )
-        .withColumn("__blocks", F.ceil(F.col("cell_size") / block))
-        .withColumn("won", F.least(F.col("won"), (F.col("__blocks") * int(most))))
-        .select(
-            F.col("source").alias("__source"), F.col("shard").alias("__shard"), "source_size", "target",
-            F.when(F.col("__blocks") > 0, F.floor(F.col("won") / F.col("__blocks"))).otherwise(0).alias("__each"),
-            F.when(F.col("__blocks") > 0, F.col("won") % F.col("__blocks") * block).otherwise(0).alias("__once_more"),
-        )
-    )
-    line = Window.partitionBy("source", "shard").orderBy("at", "tie", "doc_id", "size")
-    placed = dealt.withColumn("__end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = placed.join(quotas, placed.source.eqNullSafe(quotas["__source"]) & (placed.shard == quotas["__shard"]))
-    extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("__once_more") - (F.col("__end") - F.col("size"))))
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("__each") + extra).cast("long").alias("taken")
+    lines = stage(measured(rows, seed, "doc_id").groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")))
+    met, _ = quota_cells(lines, weights, most, block, shard_words)
+    copies = met.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return copies.select(
+        "doc_id", "source", "size", "source_size", "target", taken_at(F.col("start") + F.col("copy") * F.col("size")).alias("taken")
     )
 
 
-def take_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def numbered(rows: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """``rows`` numbered from 0 inside ``groups`` in any order, by counts per written part."""
+    part, before, n = spare(rows, "part", "before", "n")
+    rows = stage(rows.withColumn(part, F.spark_partition_id()))
+    line = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*groups, part).agg(F.count("*").alias(n)).withColumn(before, F.coalesce(F.sum(n).over(line), F.lit(0))).drop(n)
+    local = rows.withColumn(out, F.row_number().over(Window.partitionBy(*groups, part).orderBy(F.lit(0))) - 1)
+    return null_safe(local, offsets, [*groups, part]).withColumn(out, F.col(out) + F.col(before)).drop(part, before)
+
+
+def take_words(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    most: float = 3.0,
+    block: int = 1,
+    shard_words: int = 1 << 22,
+    seed: str = SEED,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as the mix takes it.
 
     A row taken ``k`` times whole comes ``k`` times; a remainder comes as one more row
     of the first words of its text, with ``n_chars`` (if there) following. Rows that the mix does not
-    take go. Rows alike in id, source and size share
-    the words that the mix takes of them.
+    take go. Texts stay where they are read: a row finds its words from its key and its cell's quota. Only rows alike in id and
+    text that a quota cuts among are written, to be numbered.
     """
     names = docs.columns
-    size, whole, rest, copy, id_, from_, words, taken, rows = spare(
-        docs, "size_", "whole_", "rest_", "copy_", "id_", "from_", "words_", "taken_", "rows_"
-    )
-    col = F.col
-    mixed = (
-        mix_sources(docs, doc_id=doc_id, text=text, source=source, **options).groupBy("doc_id", "source", "size")
-        .agg(F.sum("taken").alias(taken), F.count("*").alias(rows)).filter(col(taken) > 0)
-        .withColumnsRenamed({"doc_id": id_, "source": from_, "size": words})
-    )
-    sized = docs.withColumn(size, word_count(text)).filter(col(size) > 0)
-    met = sized.join(
-        mixed, sized[doc_id].eqNullSafe(mixed[id_]) & sized[source].eqNullSafe(mixed[from_]) & (sized[size] == mixed[words])
-    )
-    share = F.ceil(col(taken) / col(rows))
-    copies = met.withColumn(whole, F.floor(share / col(size)).cast("int")).withColumn(rest, (share % col(size)).cast("int"))
-    copies = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), col(whole) + (col(rest) > 0).cast("int"))))
-    part = col(copy) > col(whole)
-    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({SPACE}{WORD})"), F.lit(1)), F.lit(1), col(rest)), "")
-    out = copies.withColumn(text, F.when(part, begun).otherwise(col(text)))
+    rows = inputs(docs, "documents", doc_id=doc_id, text=text, source=source)
+    lines = stage(measured(rows, seed, "doc_id").groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")))
+    _, cells = quota_cells(lines, weights, most, block, shard_words)
+    # Number of shards by the sources' own words, as in quota_cells; empty cells have no row.
+    shards = lines.groupBy(F.col("source").alias("in_source")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") * F.col("copies")) / shard_words)).alias("shards"))
+    whole = docs.select(F.struct(*names).alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[source].alias("source"))
+    sized = measured(whole, seed, "row").filter("size > 0")
+    shards, cells = stage(shards), stage(cells)
+    at = sized.join(shards, sized.source.eqNullSafe(shards.in_source)).withColumn("shard", digits(F.col("key"), 1) % F.col("shards"))
+    met = at.join(cells, at.source.eqNullSafe(cells["of"]) & (at.shard == cells.of_shard))
+    place, cut = F.substring("key", 9, 24), F.substring("cut", 9, 24)
+    split = F.coalesce((F.col("key") == F.col("cut")) & (F.col("cut_copies") > 1), F.lit(False))
+    extra = F.when(place < cut, F.col("size")).when(place == cut, F.col("once_more") - F.col("cut_start")).otherwise(0)
+    plain = met.filter(~split).withColumn("taken", (F.col("size") * F.col("each") + extra).cast("long"))
+    alike = numbered(met.filter(split), ["source", "shard"], "number")
+    alike = alike.withColumn("taken", taken_at(F.col("cut_start") + F.col("number") * F.col("size")))
+    found = plain.select("row", "size", "taken").unionByName(alike.select("row", "size", "taken")).filter("taken > 0")
+    copies = found.withColumn("times", F.floor(F.col("taken") / F.col("size")).cast("int")).withColumn("rest", (F.col("taken") % F.col("size")).cast("int"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times") + (F.col("rest") > 0).cast("int"))))
+    part, words = F.col("copy") > F.col("times"), F.col("row")[text]
+    begun = F.array_join(F.slice(F.regexp_extract_all(words, F.lit(f"({SPACE}{WORD})"), F.lit(1)), F.lit(1), F.col("rest")), "")
+    new = {text: F.when(part, begun).otherwise(words)}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(part, F.length(text)).otherwise(col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        new["n_chars"] = F.when(part, F.length(begun)).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
 
 
-def mixing_sql(weights=(5.0, 2.0, 1.0), most=3.0, block=64, shard_words=1 << 22, seed=SEED) -> str:
+def mixing_sql(weights=(5.0, 2.0, 1.0), most=3.0, block=1, shard_words=1 << 22, seed=SEED) -> str:
     """The rows of ``mix_sources`` over a view ``documents``, as DuckDB SQL.
 
     Unlike the DataFrame form it lists every quotient that could win.
@@ -213,17 +252,15 @@ def mixing_sql(weights=(5.0, 2.0, 1.0), most=3.0, block=64, shard_words=1 << 22,
     weight = "list_value(" + ", ".join(f"{float(w)}::DOUBLE" for w in weights) + f")[CAST((place % {len(weights)}) + 1 AS BIGINT)]"
     return rf"""
 WITH measured AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS BIGINT) AS size,
-    md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
-everything AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS words FROM measured),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM measured GROUP BY source),
+everything AS (SELECT CAST(coalesce(sum(source_size), 0) AS BIGINT) AS words FROM sizes),
 dealt AS (
-  SELECT doc_id, source, size, CAST(('0x' || k[1:8]) AS BIGINT) % greatest(1, (words + {shard_words - 1}) // {shard_words}) AS shard,
-    CAST(('0x' || k[9:16]) AS BIGINT) AS place, k[17:32] AS tie
-  FROM measured, everything),
+  SELECT doc_id, m.source, size, CAST(('0x' || k[1:8]) AS BIGINT) % greatest(1, (source_size + {shard_words - 1}) // {shard_words}) AS shard, k[9:32] AS spot
+  FROM measured m JOIN sizes s ON m.source IS NOT DISTINCT FROM s.source),
 cells AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell_size FROM dealt GROUP BY ALL),
-sizes AS (SELECT source, CAST(sum(cell_size) AS BIGINT) AS source_size FROM cells GROUP BY ALL),
 placed_sources AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes),
 weighted AS (SELECT source, source_size, {weight} AS weight, source_size * {float(most)}::DOUBLE AS cap FROM placed_sources),
 levels AS (
@@ -237,10 +274,9 @@ goals AS (
 cell_goals AS (
   SELECT c.source, c.shard, c.cell_size, s.source_size, s.target, s.won AS seats, CAST(c.cell_size AS DOUBLE) AS v
   FROM cells c JOIN shares s ON c.source IS NOT DISTINCT FROM s.source),{apportioned("quotas", "cell_goals", "source", "shard", "v", "seats")},
-blocks AS (
-  SELECT *, (cell_size + {block - 1}) // {block} AS blocks, least(won, (cell_size + {block - 1}) // {block} * {int(most)}) AS quota FROM quotas),
+goal AS (SELECT *, least(won * {block}, CAST(floor(cell_size * {float(most)}) AS BIGINT)) AS quota FROM quotas),
 line AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY place, tie, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM dealt)
-SELECT l.doc_id, l.size, b.source_size, b.target,
-  CAST(CASE WHEN blocks = 0 THEN 0 ELSE l.size * (quota // blocks) + least(l.size, greatest(0, quota % blocks * {block} - start)) END AS BIGINT) AS taken
-FROM line l JOIN blocks b ON l.source IS NOT DISTINCT FROM b.source AND l.shard = b.shard"""
+  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY spot ROWS UNBOUNDED PRECEDING) - size AS start FROM dealt)
+SELECT l.doc_id, l.size, g.source_size, g.target,
+  CAST(CASE WHEN cell_size = 0 THEN 0 ELSE l.size * (quota // cell_size) + least(l.size, greatest(0, quota % cell_size - start)) END AS BIGINT) AS taken
+FROM line l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source AND l.shard = g.shard"""

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_value, inputs, spare, stage
 from .components import components
@@ -120,21 +121,20 @@ def hub_links(crowded: DataFrame) -> DataFrame:
 
 
 def near_links(points: DataFrame, pairs_up_to: int = 64) -> DataFrame:
-    """(x, y) links between distinct fingerprints; enough of them to connect all that link."""
+    """(x, y) links between distinct fingerprints; enough of them to connect all that link.
+
+    Keys are counted before any fingerprint moves; only members of shared keys are written.
+    """
     index = variants(points)
-    groups = stage(
-        index.groupBy("key").agg(F.count("*").alias("n"), F.min("bits").alias("x"), F.max("bits").alias("y"))
-        .filter("n > 1")
-    )
-    twos = groups.filter("n = 2").filter(VERIFIED).select("x", "y")
-    more = stage(index.join(groups.filter("n > 2").select("key", "n"), "key"))
-    few = more.filter(F.col("n") <= pairs_up_to)
+    shared = stage(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = stage(index.join(shared, "key"))
+    few = members.filter(F.col("n") <= pairs_up_to)
     paired = (
         few.select("key", F.col("bits").alias("x"))
         .join(few.select("key", F.col("bits").alias("y")), "key")
         .filter("x < y").filter(VERIFIED).select("x", "y")
     )
-    return twos.unionByName(paired).unionByName(hub_links(more.filter(F.col("n") > pairs_up_to)))
+    return paired.unionByName(hub_links(members.filter(F.col("n") > pairs_up_to)))
 
 
 def near_duplicates(
@@ -169,19 +169,41 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the least id.
+def keep_one_of_each(
+    docs: DataFrame, width: int = 3, seed: int = 42, pairs_up_to: int = 64, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: one of the least id.
 
-    Of rows repeated under that id the one of the least text hash stays. Rows without an id
-    belong to no row that could be named and stay all.
+    Of rows repeated under that id those in the group count, and of these the one of the least text hash stays; rows of
+    one id in different groups each stand for their own. Rows without an id belong to no row that
+    could be named and stay all. Only rows of repeated ids are fingerprinted again.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    kept_id, row = spare(docs, "kept_id", "row")
-    winners = found.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    named = docs.filter(docs[doc_id].isNotNull())
-    order = Window.partitionBy(kept_id).orderBy(F.xxhash64(text), text)
-    kept = (
-        named.join(winners, named[doc_id].cast("long") == winners[kept_id])
-        .withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*docs.columns)
+    found = near_duplicates(docs, width, seed, pairs_up_to, doc_id, text).filter("doc_id IS NOT NULL")
+    kept_id, own, many = spare(docs, "kept_id", "own", "many")
+    stands = F.col("doc_id") == F.col("component_id")
+    ids = stage(
+        found.groupBy(F.col("doc_id").alias(kept_id)).agg((F.count("*") > 1).alias(many), F.max(stands).alias("stands"))
+        .filter("stands").select(kept_id, many)
+    )
+    met = docs.join(ids, docs[doc_id].cast("long") == ids[kept_id])
+    single = met.filter(~F.col(many)).select(*docs.columns)
+    again = with_fingerprint(met.filter(F.col(many)).drop(many), text, width, seed, own)
+    winners = found.filter(stands).select(F.col("doc_id").alias(kept_id), F.col("bits").alias(own)).distinct()
+    again = again.join(winners, [kept_id, own], "left_semi")
+    row = F.struct(*[again[c] for c in docs.columns])
+    one = (
+        again.groupBy(kept_id, own).agg(F.min_by(row, F.struct(F.xxhash64(text), F.col(text))).alias(many)).select(f"{many}.*")
     )
-    return kept.unionByName(docs.filter(docs[doc_id].isNull()))
+    return single.unionByName(one).unionByName(docs.filter(docs[doc_id].isNull()))
+
+
+def with_fingerprint(docs: DataFrame, text: str, width: int, seed: int, out: str) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` as the last column, a signed 64-bit integer."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            bits = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
