@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortspark.llm.common import documents, in_fold, stage
 from cohortspark.llm.langid import keep_identified, train_language_model
 from cohortspark.llm.mixing import take_words
-from cohortspark.llm.near_copies import keep_one_near_copy
 from cohortspark.llm.packing import pack_documents
 from cohortspark.llm.secrets import redact_secrets
+from cohortspark.llm.simhash import keep_one_of_each
 
 # A text goes only if no language is likelier than this.
 LEAST_SCORE = 0.3
@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of the least id stays."""
-    return keep_one_near_copy(docs)
+    """Of each group of SimHash near-duplicates (three-word shingles, two bits) the document of the least id stays."""
+    return keep_one_of_each(docs, width=3)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their source's target takes their words."""
-    return take_words(docs, block=1, own_shards=True)
+    return take_words(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
