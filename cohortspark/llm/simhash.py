@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,11 +123,9 @@ def hub_links(crowded: DataFrame) -> DataFrame:
 def near_links(points: DataFrame, pairs_up_to: int = 64) -> DataFrame:
     """(x, y) links between distinct fingerprints; enough of them to connect all that link.
 
-    Keys are counted before any fingerprint moves; only members of shared keys are written.
+    The index moves once, to be counted by key; only members of shared keys are written.
     """
-    index = variants(points)
-    shared = stage(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = stage(index.join(shared, "key"))
+    members = stage(variants(points).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
     few = members.filter(F.col("n") <= pairs_up_to)
     paired = (
         few.select("key", F.col("bits").alias("x"))
@@ -181,12 +179,13 @@ def keep_one_of_each(
     found = near_duplicates(docs, width, seed, pairs_up_to, doc_id, text).filter("doc_id IS NOT NULL")
     kept_id, own, many = spare(docs, "kept_id", "own", "many")
     stands = F.col("doc_id") == F.col("component_id")
-    ids = stage(
-        found.groupBy(F.col("doc_id").alias(kept_id)).agg((F.count("*") > 1).alias(many), F.max(stands).alias("stands"))
-        .filter("stands").select(kept_id, many)
+    # Most documents stand alone under their id, so only the other ids are looked up.
+    others = stage(
+        found.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("rows"), F.max(stands).alias(many))
+        .filter((F.col("rows") > 1) | ~F.col(many)).select(kept_id, many)
     )
-    met = docs.join(ids, docs[doc_id].cast("long") == ids[kept_id])
-    single = met.filter(~F.col(many)).select(*docs.columns)
+    met = docs.join(others, docs[doc_id].cast("long") == others[kept_id], "left")
+    single = met.filter(F.col(kept_id).isNull()).select(*docs.columns)
     again = with_fingerprint(met.filter(F.col(many)).drop(many), text, width, seed, own)
     winners = found.filter(stands).select(F.col("doc_id").alias(kept_id), F.col("bits").alias(own)).distinct()
     again = again.join(winners, [kept_id, own], "left_semi")
@@ -194,7 +193,7 @@ def keep_one_of_each(
     one = (
         again.groupBy(kept_id, own).agg(F.min_by(row, F.struct(F.xxhash64(text), F.col(text))).alias(many)).select(f"{many}.*")
     )
-    return single.unionByName(one).unionByName(docs.filter(docs[doc_id].isNull()))
+    return single.unionByName(one)
 
 
 def with_fingerprint(docs: DataFrame, text: str, width: int, seed: int, out: str) -> DataFrame:
