@@ -192,22 +192,27 @@ class LiteratureRule(Finder):
     def fit(self, df, features, rank_on=None):
         check_training(df, features, self.label)
         model = fit_logistic(df if rank_on is None else rank_on, features, self.label, c=1.0, max_iter=self.max_iter)
+        self.rule = self.rule_from(model, features)
+        return self.rule
+
+    def rule_from(self, model, features: Sequence[str], limits: Mapping | None = None) -> Rule:
+        """The rule of a fitted logistic model; ``limits`` replace the finder's own."""
+        limits = self.limits if limits is None else limits
         allowed = list(features)
         if self.only_with_limit:
-            allowed = [f for f in features if resolve_threshold(self.limits, f, HIGH) is not None]
+            allowed = [f for f in features if resolve_threshold(limits, f, HIGH) is not None]
             if not allowed:
-                raise ValueError(f"no feature has a literature threshold; have {sorted(self.limits)}")
+                raise ValueError(f"no feature has a literature threshold; have {sorted(limits)}")
         feature = model.strongest(allowed)
         weight = model.weights[feature]
         direction = HIGH if weight > 0 else LOW
-        self.rule = Rule(
+        return Rule(
             feature,
-            _literature(feature, self.limits, direction),
+            _literature(feature, limits, direction),
             direction,
             self.method,
             metadata={"coefficient": weight, "weights": model.weights, "intercept": model.intercept},
         )
-        return self.rule
 
 
 class YoudenRule(Finder):
@@ -232,18 +237,24 @@ class YoudenRule(Finder):
     def fit(self, df, features, rank_on=None):
         check_training(df, features, self.label)
         model = fit_logistic(df if rank_on is None else rank_on, features, self.label, c=None, max_iter=self.max_iter)
+        feature, negate = self.choice(model, features)
+        cut = find_cut(df, feature, self.label, self.keys, self.n_folds, self.seed, negate)
+        self.rule = self.rule_from(model, features, cut)
+        return self.rule
+
+    def choice(self, model, features: Sequence[str]) -> tuple[str, bool]:
+        """The feature to cut, and whether low values mark positives."""
         feature = model.strongest(features)
+        return feature, self.direction_aware and not model.weights[feature] > 0
+
+    def rule_from(self, model, features: Sequence[str], cut: Mapping) -> Rule:
+        feature, _ = self.choice(model, features)
         weight = model.weights[feature]
-        direction = HIGH if weight > 0 else LOW
-        cut = find_cut(
-            df, feature, self.label, self.keys, self.n_folds, self.seed,
-            negate=self.direction_aware and direction == LOW,
+        facts = {k: v for k, v in cut.items() if k != "threshold"}
+        return Rule(
+            feature, cut["threshold"], HIGH if weight > 0 else LOW, self.method, 4,
+            {"coefficient": weight, "weights": model.weights, **facts},
         )
-        self.rule = Rule(
-            feature, cut.pop("threshold"), direction, self.method, 4,
-            {"coefficient": weight, "weights": model.weights, **cut},
-        )
-        return self.rule
 
 
 class _AttributionFinder(Finder):

@@ -29,6 +29,7 @@ from ..operators.thresholds import (
 from ..session import stage
 from ..sources.config import Config
 from ..sources.sinks import write_result
+from .grouped_experiments import GROUPED, cross_validate_grouped
 
 
 def evaluate_rule(
@@ -129,7 +130,11 @@ def cross_validate(
     make_finder, df: DataFrame, features: Sequence[str], keys: Sequence[str], k: int = 5,
     label: str = "label", seed: int = 42,
 ) -> DataFrame:
-    """Metrics row per fold of rules fitted on the other folds."""
+    """Metrics row per fold of rules fitted on the other folds.
+
+    Rules from logistic coefficients are found for all folds together; others fold by fold."""
+    if isinstance(make_finder(), GROUPED):
+        return cross_validate_grouped(make_finder(), df, features, keys, k, label, seed)
     placed = folds(df, k, keys, label, seed)
     rows = []
     for i in range(k):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from ..operators import roc
 from ..operators.attribution import attribute, importance, linear_attribution, model_info
 from ..operators.compare import cohort_summary, compare_methods, method_averages, winners
 from ..operators.confusion import binary_metrics, class_rates, cut_probability, precision_recall
-from ..operators.models import Baseline, fit_model
+from ..operators.grouped_fits import fit_logistic_groups, optimality
+from ..operators.models import Baseline, fit_logistic, fit_model
 from ..operators.selection import FeatureSelector, rank_agreement
 from ..operators.split import Splitter, class_distribution, folds, split_stats, train_test
 from ..operators.thresholds import (
@@ -31,10 +33,9 @@ from .experiment import (
     evaluate_model,
     evaluate_rule,
     evaluate_rules,
-    run_cohorts,
     run_experiment,
-    summarise_cohorts,
 )
+from .grouped_experiments import run_cohort_table
 from .panel_queries import METRICS_SQL, confusion_sql, metrics_select
 from .registry import query, r
 
@@ -587,24 +588,26 @@ def rule_experiment(spark, sf):
     ).metrics
 
 
+def _cohort_table(spark, sf) -> tuple[DataFrame, list[str]]:
+    """One row per vector and class definition."""
+    names = [f"e{i}" for i in range(b.DIMENSIONS)]
+    return b.table(spark, sf, "embeddings").selectExpr(
+        "vec_id", *[f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(b.DIMENSIONS)],
+        "inline(array(struct('below_3' AS cohort, CAST(label < 3 AS INT) AS label),"
+        " struct('below_6' AS cohort, CAST(label < 6 AS INT) AS label)))",
+    ), names
+
+
+def _cohort_runs(spark, sf):
+    frame, names = _cohort_table(spark, sf)
+    limits = {n: {"low": 0.0, "high": 0.0} for n in names}
+    return run_cohort_table(frame, names, lambda _: limits, keys=["vec_id"])
+
+
 @query("cohort_experiments")
 def cohort_experiments(spark, sf):
-    """The experiment for several class definitions, summarised side by side."""
-    embeddings = b.table(spark, sf, "embeddings")
-    names = [f"e{i}" for i in range(b.DIMENSIONS)]
-    frames = {
-        f"below_{k}": stage(
-            embeddings.selectExpr(
-                "vec_id", f"CAST(label < {k} AS INT) AS label",
-                *[f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(b.DIMENSIONS)],
-            )
-        )
-        for k in (3, 6)
-    }
-    done, _ = run_cohorts(
-        frames, names, lambda _: {n: {"low": 0.0, "high": 0.0} for n in names}, keys=["vec_id"]
-    )
-    return summarise_cohorts(done)[0]
+    """The experiment for several class definitions in shared jobs, summarised side by side."""
+    return cohort_summary(_cohort_runs(spark, sf).metrics, ["logistic_literature", "logistic_youden"])
 
 
 # --- what fits and attributions must satisfy ---------------------------------
@@ -616,7 +619,7 @@ def _gaps(phi, outputs, base: float, key: str):
     return sums.join(outputs, key).selectExpr(key, f"{base!r}D + __sum - __out AS gap")
 
 
-@query("tree_attribution_adds_up", "SELECT vec_id, 0.0 AS gap FROM embeddings")
+@query("tree_attribution_adds_up", "SELECT vec_id, CAST(0 AS DOUBLE) AS gap FROM embeddings")
 def tree_attribution_adds_up(spark, sf):
     """Base value and attributions of a forest add up to its probability, row by row."""
     frame, names = b.embedding_frame(spark, sf)
@@ -627,7 +630,7 @@ def tree_attribution_adds_up(spark, sf):
     return _gaps(phi, outputs, model_info(model, frame)["base_value"], "vec_id")
 
 
-@query("linear_attribution_adds_up", "SELECT vec_id, 0.0 AS gap FROM embeddings")
+@query("linear_attribution_adds_up", "SELECT vec_id, CAST(0 AS DOUBLE) AS gap FROM embeddings")
 def linear_attribution_adds_up(spark, sf):
     """Base value and attributions of a logistic model add up to its log-odds."""
     frame, names = b.embedding_frame(spark, sf)
@@ -639,12 +642,50 @@ def linear_attribution_adds_up(spark, sf):
 
 @query(
     "experiment_part_sizes",
-    "SELECT CAST(sum(floor(c * 0.7 + 1e-9)) AS BIGINT) AS train, CAST(sum(c - floor(c * 0.7 + 1e-9)) AS BIGINT) AS test"
-    " FROM (SELECT label < 3 AS l, count(*) AS c FROM embeddings GROUP BY 1)",
+    "WITH c AS (SELECT 'below_3' AS cohort, label < 3 AS l, count(*) AS c FROM embeddings GROUP BY ALL UNION ALL"
+    " SELECT 'below_6', label < 6, count(*) FROM embeddings GROUP BY ALL)"
+    " SELECT cohort, CAST(sum(floor(c * 0.7 + 1e-9)) AS BIGINT) AS train, CAST(sum(c - floor(c * 0.7 + 1e-9)) AS BIGINT) AS test"
+    " FROM c GROUP BY cohort",
 )
 def experiment_part_sizes(spark, sf):
-    """The stratified parts that an experiment fits and scores on."""
-    frame = b.table(spark, sf, "embeddings").selectExpr("vec_id", "CAST(label < 3 AS INT) AS label")
-    train, test = train_test(frame, ["vec_id"], 0.3, "label")
-    both = train.select(F.lit(1).alias("t")).unionByName(test.select(F.lit(0).alias("t")))
-    return both.agg(F.sum("t").alias("train"), F.sum(1 - F.col("t")).alias("test"))
+    """How many rows the experiment of each cohort learned from and was scored on."""
+    run = _cohort_runs(spark, sf)
+    learned = run.parts.where("split = 'train'").groupBy("cohort").agg(F.expr("count(1) AS train"))
+    scored = run.metrics.where("method = 'logistic_youden'").selectExpr("cohort", "CAST(tp + fp + tn + fn AS BIGINT) AS test")
+    return learned.join(scored, "cohort")
+
+
+# A fit is optimal if no gradient is off its penalty by more than this share of the mean feature size.
+OFF_OPTIMUM = 1e-5
+_FITS = [
+    ("literature", ["click", "purchase", "signup", "view"]), ("lasso", [f"e{i}" for i in range(b.DIMENSIONS)]),
+    ("baseline", [f"e{i}" for i in range(b.DIMENSIONS)]),
+    *[(f"fold {i}", ["click", "purchase", "signup", "view"]) for i in range(5)],
+]
+
+
+@query(
+    "logit_fit_certificates",
+    " UNION ALL ".join(
+        f"SELECT '{fit}' AS fit, unnest({['', *names]!r}) AS feature, true AS optimal" for fit, names in _FITS
+    ),
+)
+def logit_fit_certificates(spark, sf):
+    """Optimality of the fits behind the rule, lasso, model and cross-validation queries, feature by feature."""
+    users, names = b.user_frame(spark, sf)
+    users = stage(folds(users, 5, ["user_id"]))
+    vectors, dims = b.embedding_frame(spark, sf)
+    vectors = stage(vectors)
+    rule = LiteratureRule(b.ranges()).fit(users, names)
+    models = [("literature", users, names, rule.metadata["weights"], rule.metadata["intercept"], False)]
+    for name, l1 in (("lasso", True), ("baseline", False)):
+        model = fit_logistic(vectors, dims, c=1.0, l1=l1)
+        models.append((name, vectors, dims, model.weights, model.intercept, l1))
+    for fit in fit_logistic_groups(users, names, leave_out="fold")[0]:
+        kept = users.where(F.col("fold") != fit.left_out)
+        models.append((f"fold {fit.left_out}", kept, names, fit.weights, fit.intercept, False))
+    rows = [
+        optimality(df, features, weights, intercept, l1=l1).selectExpr(f"'{name}' AS fit", "feature", f"violation < {OFF_OPTIMUM!r}D AS optimal")
+        for name, df, features, weights, intercept, l1 in models
+    ]
+    return functools.reduce(DataFrame.unionByName, rows)
