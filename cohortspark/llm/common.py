@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import require_columns, stage
 
-__all__ = ["WORD", "by_value", "documents", "in_fold", "inputs", "spare", "stage"]
+__all__ = ["WORD", "by_value", "documents", "in_fold", "inputs", "spare", "stage", "tidy"]
 
 # A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +52,20 @@ def spare(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def tidy(run):
+    """``run`` for mapInArrow, after which the Python worker hands its freed memory back.
+
+    Workers live on between tasks and stages, and what a model or a cache took would stay with them.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from .common import by_value, inputs, spare
+from .common import by_value, inputs, spare, tidy
 
 by_value(__name__)
 
@@ -169,7 +169,7 @@ def document_frequencies(train: DataFrame, bits: int, longest: int, letters: byt
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "texts"])
 
     rows = (
-        train.select("text").mapInArrow(count, "bucket long, texts long")
+        train.select("text").mapInArrow(tidy(count), "bucket long, texts long")
         .groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()
     )
     total = np.zeros(size + 1, np.int64)
@@ -236,7 +236,7 @@ def train_language_model(
     # ``wanted`` has at most ``sample_rows`` rows (ten per language at least).
     rows = (
         train.join(F.broadcast(wanted), ["doc_id", "lang"]).select("place", "lang", "text")
-        .mapInArrow(features, "place long, lang string, used binary, counts binary")
+        .mapInArrow(tidy(features), "place long, lang string, used binary, counts binary")
         .groupBy("place", "lang").agg(F.max(F.struct("used", "counts")).alias("gram"))
         .select("place", "lang", "gram.used", "gram.counts").toArrow().to_pylist()
     )
@@ -295,7 +295,7 @@ def predict_languages(
                 [*columns, "lang_pred", "score"],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:

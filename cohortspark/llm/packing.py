@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import by_value, inputs
+from .common import by_value, inputs, tidy
 
 by_value(__name__)
 
@@ -206,4 +206,4 @@ def pack_documents(
         if held:
             yield flush()
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)

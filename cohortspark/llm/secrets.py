@@ -17,7 +17,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, inputs
+from .common import by_value, inputs, tidy
 
 by_value(__name__)
 
@@ -150,7 +150,7 @@ def find_secrets(docs: DataFrame, reach: int = 200, doc_id: str = "doc_id", text
                     [c.split()[0] for c in SCHEMA.split(", ")],
                 )
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, reach: int = 200, mask: str = "[secret]", text: str = "text") -> DataFrame:
@@ -182,5 +182,5 @@ def redact_secrets(docs: DataFrame, reach: int = 200, mask: str = "[secret]", te
 
     from pyspark.sql import functions as F
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, inputs, spare, stage
+from .common import by_value, inputs, spare, stage, tidy
 from .components import components
 
 by_value(__name__)
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str =
                 [batch.column(0), pa.array(np.array(bits, np.uint64).view(np.int64))], ["doc_id", "bits"]
             )
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bits long")
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, bits long")
 
 
 def variants(points: DataFrame) -> DataFrame:
@@ -205,4 +205,4 @@ def with_fingerprint(docs: DataFrame, text: str, width: int, seed: int, out: str
             bits = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
