@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import t_two_sided
 from ..session import local_table, null_safe, settle, stage
 from ..sources.config import CodeRule
 from .cohort import match_codes
@@ -505,7 +506,8 @@ def group_difference(
     df: DataFrame, columns: Sequence[str], label: str = "label"
 ) -> DataFrame:
     """Per feature, cohort (label 1) against control (label 0): sizes, means, sample
-    deviations, Welch's t and its degrees of freedom."""
+    deviations, Welch's t, its degrees of freedom and two-sided p value. Without two rows of
+    each class, or without any spread, the last three are null."""
     long = unpivot(df, columns, [label]).where("value IS NOT NULL AND NOT isnan(value)")
     y = q(label)
     stats = long.groupBy("feature").agg(
@@ -521,7 +523,7 @@ def group_difference(
         "try_divide(mean1 - mean0, sqrt(e1 + e0)) AS t",
         "try_divide(power(e1 + e0, 2),"
         " try_divide(power(e1, 2), n1 - 1) + try_divide(power(e0, 2), n0 - 1)) AS dof",
-    )
+    ).selectExpr("*", f"{t_two_sided('t', 'dof')} AS p")
 
 
 def report_where(report: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:

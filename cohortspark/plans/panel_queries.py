@@ -485,6 +485,15 @@ def value_counts_query(spark, sf):
     return value_counts(b.events(spark, sf), "event_type")
 
 
+# Two-sided p of t by the power series of the incomplete beta, summed from its other end.
+STUDENT_SERIES = (
+    "CASE WHEN t = 0 THEN 1 ELSE 1 - 2 * sqrt(t * t / (dof + t * t)) * exp(-dof / 2 * ln(1 + t * t / dof)"
+    " + lgamma(dof / 2 + 0.5) - lgamma(dof / 2)) / sqrt(pi()) * list_sum(list_transform("
+    "range(0, CAST(300 + 40 * t * t AS BIGINT)), lambda n: exp(lgamma(dof / 2 + 0.5 + n) - lgamma(dof / 2 + 0.5)"
+    " - lgamma(1.5 + n) + lgamma(1.5) + n * ln(t * t / (dof + t * t))))) END"
+)
+
+
 @query(
     "group_difference",
     f"WITH {panel_sql(None)}, {USER_SQL}, long AS ("
@@ -497,9 +506,11 @@ def value_counts_query(spark, sf):
     )
     + " FROM long GROUP BY feature) SELECT feature, n1, n0,"
     f" {r('mean1', 'mean1')}, {r('mean0', 'mean0')}, {r('std1', 'std1')}, {r('std0', 'std0')},"
-    f" {r('(mean1 - mean0) / sqrt(std1 * std1 / n1 + std0 * std0 / n0)', 't')},"
-    f" {r('pow(std1 * std1 / n1 + std0 * std0 / n0, 2) / (pow(std1 * std1 / n1, 2) / (n1 - 1) + pow(std0 * std0 / n0, 2) / (n0 - 1))', 'dof')}"
-    " FROM s",
+    f" {r('t', 't')}, {r('dof', 'dof')},"
+    # the power series of the incomplete beta from the other end
+    f" {r('p', 'p')} FROM (SELECT *, {STUDENT_SERIES} AS p"
+    " FROM (SELECT *, (mean1 - mean0) / sqrt(std1 * std1 / n1 + std0 * std0 / n0) AS t,"
+    " pow(std1 * std1 / n1 + std0 * std0 / n0, 2) / (pow(std1 * std1 / n1, 2) / (n1 - 1) + pow(std0 * std0 / n0, 2) / (n0 - 1)) AS dof FROM s))",
 )
 def group_difference_query(spark, sf):
     frame, names = b.user_frame(spark, sf)

@@ -1,7 +1,11 @@
 """Reports on hand-made tables."""
 
+import math
+
+import numpy as np
 import pytest
 
+from cohortspark.functions.numbers import t_two_sided
 from cohortspark.operators import profile
 from cohortspark.sources import CodeRule
 
@@ -89,4 +93,23 @@ def test_group_difference(spark):
     assert r["t"] == pytest.approx((2 - 7) / (1 / 3 + 8 / 2) ** 0.5)
     assert profile.report_where(df, {"x": (2, 9)}).count() == 3
     alone = profile.group_difference(df.where("label = 1"), ["x"]).first()
-    assert alone["t"] is None and alone["n0"] == 0
+    assert alone["t"] is None and alone["n0"] == 0 and alone["p"] is None
+
+
+def test_p_value_against_numerical_integration(spark):
+    cases = [(t, dof) for t in (1e-6, 0.3, -1.7, 1.74, 4.0, 30.0) for dof in (0.7, 1.0, 3.5, 40.0, 12345.6, 3e7)]
+    found = table(spark, cases, "t double, dof double").selectExpr("t", "dof", f"{t_two_sided('t', 'dof')} AS p").collect()
+    for r in found:
+        # with t = sqrt(dof) tan(w) the density is cos(w)^(dof - 1); w^2 near pi/2 is substituted away below dof 1
+        half, dof = math.atan(abs(r["t"]) / math.sqrt(r["dof"])), r["dof"]
+        nodes, weights = np.polynomial.legendre.leggauss(200)
+        wide = min(half, 14 / math.sqrt(dof))
+        inside = wide / 2 * float(weights @ np.cos(wide / 2 * (nodes + 1)) ** (dof - 1))
+        z = dof / 2
+        if z > 500:
+            ratio = math.sqrt(z) * (1 - 1 / (8 * z) + 1 / (128 * z * z))
+        else:
+            ratio = math.exp(math.lgamma(z + 0.5) - math.lgamma(z))
+        assert abs(r["p"] - (1 - 2 * inside * ratio / math.sqrt(math.pi))) < 1e-9
+    edge = table(spark, [(0.0, 3.0), (None, 3.0), (1.0, None)], "t double, dof double")
+    assert [r[0] for r in edge.selectExpr(t_two_sided("t", "dof")).collect()] == [1.0, None, None]
