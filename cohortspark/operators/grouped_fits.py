@@ -43,13 +43,15 @@ class GroupFit:
 
 
 class _Model:
-    """The state of one fit, in standardised units."""
+    """The state of one fit, in standardised units. Coefficients outside ``active`` stay 0."""
 
-    def __init__(self, key, left_out, count, mean, sd, penalty):
+    def __init__(self, key, left_out, count, mean, sd, penalty, active=None, start=None):
         self.key, self.left_out, self.count = key, left_out, count
         self.mean, self.sd, self.penalty = mean, sd, penalty
-        self.beta = self.tried = np.zeros(len(mean) + 1)
-        self.loss, self.step, self.size = np.inf, None, 1.0
+        self.active = np.arange(len(mean) + 1) if active is None else active
+        self.beta = np.zeros(len(mean) + 1)
+        self.tried = self.beta if start is None else start
+        self.loss, self.step, self.size, self.gram = np.inf, None, 1.0, None
         self.done, self.residual = False, np.inf
 
     def advance(self, sums: np.ndarray, tolerance: float) -> None:
@@ -64,16 +66,18 @@ class _Model:
             return
         better = self.loss - loss
         self.beta, self.loss, self.size = self.tried, loss, 1.0
-        gradient = sums[1 : m + 1] + weight * self.beta
-        self.residual = float(np.abs(gradient).max() / self.count)
-        if self.residual < tolerance or better <= 1e-14 * abs(loss):
-            self.done = True
-            return
+        gradient = (sums[1 : m + 1] + weight * self.beta)[self.active]
         gram = np.zeros((m, m))
         gram[np.triu_indices(m)] = sums[m + 1 :]
         gram = gram + np.triu(gram, 1).T + np.diag(weight)
         gram[np.diag_indices(m)] += 1e-12 * (1.0 + np.trace(gram) / m)
-        self.step = np.linalg.lstsq(gram, -gradient, rcond=None)[0]
+        self.gram = gram[np.ix_(self.active, self.active)]
+        self.residual = float(np.abs(gradient).max() / self.count)
+        if self.residual < tolerance or better <= 1e-14 * abs(loss):
+            self.done = True
+            return
+        self.step = np.zeros(m)
+        self.step[self.active] = np.linalg.lstsq(self.gram, -gradient, rcond=None)[0]
         self.tried = self.beta + self.step
 
     def fit(self, features, scaled: bool) -> GroupFit:
@@ -146,6 +150,26 @@ def _sums(rows: DataFrame, models: list[_Model], counted: np.ndarray) -> dict[in
     return out
 
 
+def _rows(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+    """Staged (keys, y, x) of the rows with a label."""
+    values = ", ".join(f"CAST({q(f)} AS DOUBLE)" for f in features)
+    complete = (
+        f"if(exists(array({values}), v -> v IS NULL OR isnan(v)),"
+        f" raise_error('a feature value is missing; impute first'), array({values})) AS x"
+    )
+    known = df.where(f"{q(label)} IS NOT NULL").selectExpr(*qs(keys), f"CAST({q(label)} AS DOUBLE) AS y", complete)
+    return stage(known)
+
+
+def _run(rows: DataFrame, models: list[_Model], counted: np.ndarray, max_steps: int, tolerance: float) -> None:
+    """Newton steps of all models together until each is done."""
+    for _ in range(max_steps):
+        if all(m.done for m in models):
+            break
+        for j, sums in _sums(rows, models, counted).items():
+            models[j].advance(sums, tolerance)
+
+
 def fit_logistic_groups(
     df: DataFrame,
     features: Sequence[str],
@@ -166,13 +190,7 @@ def fit_logistic_groups(
     """
     require_columns(df, [*features, label, *by, *([leave_out] if leave_out else [])], "training frame")
     keys = [*by, *([leave_out] if leave_out else [])]
-    values = ", ".join(f"CAST({q(f)} AS DOUBLE)" for f in features)
-    complete = (
-        f"if(exists(array({values}), v -> v IS NULL OR isnan(v)),"
-        f" raise_error('a feature value is missing; impute first'), array({values})) AS x"
-    )
-    known = df.where(f"{q(label)} IS NOT NULL").selectExpr(*qs(keys), f"CAST({q(label)} AS DOUBLE) AS y", complete)
-    rows = stage(known)
+    rows = _rows(df, features, label, keys)
     p = len(features)
     cells = [cell for cell in _cells(rows, features, keys) if cell["rows"]]
     models, failed = [], {}
@@ -206,14 +224,69 @@ def fit_logistic_groups(
         rows = stage(null_safe(rows, table, keys).select("cell", "x", "y"))
     else:
         rows = rows.selectExpr("0 AS cell", "x", "y")
-    for _ in range(max_steps):
-        if all(m.done for m in models):
-            break
-        for j, sums in _sums(rows, models, counted).items():
-            models[j].advance(sums, tolerance)
+    _run(rows, models, counted, max_steps, tolerance)
     return [m.fit(features, scaled) for m in models], failed
 
 
+def elimination_order(
+    df: DataFrame, features: Sequence[str], label: str = "label", keep: int = 1, c: float | None = 1.0,
+    max_steps: int = 60, tolerance: float = 1e-10,
+) -> list[str]:
+    """Features from strongest to first eliminated, where in each round the least absolute coefficient of a fit on the
+    remaining features leaves, the later one of equals; the last ``keep`` are ordered by their fit.
+
+    The result is that of one refit per round, without its jobs. The Gram matrix at a fit's optimum foretells all later
+    rounds (sweeping a feature out of its inverse gives the coefficients of the rest to second order). The
+    nested models foretold are then fitted in shared scans, from the foretold coefficients. Where a fit names another
+    feature than foretold, the models before it stand and its own Gram matrix foretells the rest anew. A pass takes as
+    many nested models as their sums may reach the driver.
+    """
+    require_columns(df, [*features, label], "training frame")
+    p, keep = len(features), max(1, keep)
+    if not features:
+        return []
+    rows = _rows(df, features, label, [])
+    cells = [cell for cell in _cells(rows, features, []) if cell["rows"]]
+    if not cells:
+        raise ValueError("no labelled rows to fit")
+    count, positives, mean, sd = _merged(cells, p)
+    if not 0 < positives < count:
+        raise ValueError("both classes are needed")
+    penalty = np.zeros(p) if c is None else (1.0 / c) / sd**2
+    rows = rows.selectExpr("0 AS cell", "x", "y")
+    at_once = max(1, int(MOST_SUMS / ((p + 2) * (p + 3) / 2)))
+
+    def weakest(active, beta):
+        return min(active[:-1], key=lambda j: (abs(beta[j] / sd[j]), -j))
+
+    def fitted(models):
+        _run(rows, models, np.ones((len(models), 1), bool), max_steps, tolerance)
+        return models
+
+    (at,) = fitted([_Model((), None, count, mean, sd, penalty)])
+    gone = []
+    while len(at.active) - 1 > keep:
+        active, beta, inverse = at.active, at.beta.copy(), np.linalg.inv(at.gram)
+        foretold, nested = [], []
+        while len(active) - 1 > keep and len(nested) < at_once:
+            out = weakest(active, beta)
+            i = int(np.flatnonzero(active == out)[0])
+            column = inverse[:, i] / inverse[i, i]
+            beta[active] -= column * beta[out]
+            beta[out] = 0.0
+            inverse = np.delete(np.delete(inverse - np.outer(column, inverse[i]), i, 0), i, 1)
+            active = np.delete(active, i)
+            foretold.append(out)
+            nested.append(_Model((), None, count, mean, sd, penalty, active, beta.copy()))
+        for model, out in zip(fitted(nested), foretold):
+            if weakest(at.active, at.beta) != out:
+                break
+            gone.append(out)
+            at = model
+    left = sorted(at.active[:-1].tolist(), key=lambda j: -abs(at.beta[j] / sd[j]))
+    return [features[j] for j in [*left, *gone[::-1]]]
+
+
 def optimality(
     df: DataFrame, features: Sequence[str], weights: Mapping[str, float], intercept: float,
     label: str = "label", c: float | None = 1.0, l1: bool = False,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import local_table, stage
+from .grouped_fits import elimination_order
 from .models import fit_logistic
 from .prepare import column_quantiles
 from .ranking import q, running_sums, text, unpivot
@@ -83,22 +84,6 @@ def lasso_scores(
     return {f: abs(w) for f, w in fit_logistic(df, features, label, c, l1=True).weights.items()}
 
 
-def eliminate(
-    df: DataFrame, features: Sequence[str], label: str = "label", keep: int = 1
-) -> list[str]:
-    """Features from last eliminated to first: the weakest coefficient leaves in
-    each round; one distributed fit per round."""
-    left, gone = list(features), []
-    while len(left) > max(1, keep):
-        weights = fit_logistic(df, left, label).weights
-        worst = min(left, key=lambda f: (abs(weights[f]), -left.index(f)))
-        left.remove(worst)
-        gone.append(worst)
-    weights = fit_logistic(df, left, label).weights
-    left.sort(key=lambda f: -abs(weights[f]))
-    return left + gone[::-1]
-
-
 class FeatureSelector:
     """Ranks features by one of ``METHODS`` and keeps the best ``k``."""
 
@@ -111,7 +96,7 @@ class FeatureSelector:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str = "label") -> "FeatureSelector":
         if self.method == "rfe":
-            order = eliminate(df, features, label, min(self.k, len(features)))
+            order = elimination_order(df, features, label, min(self.k, len(features)))
             self.scores = {f: float(len(order) - i) for i, f in enumerate(order)}
         elif self.method == "lasso":
             self.scores = lasso_scores(df, features, label)

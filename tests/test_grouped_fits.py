@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.operators import grouped_fits
 from cohortspark.operators.compare import compare_methods
 from cohortspark.operators.grouped_fits import fit_logistic_groups, optimality
 from cohortspark.operators.models import fit_logistic
@@ -13,6 +14,8 @@ from cohortspark.plans.experiment import cross_validate, evaluate_rule, run_expe
 from cohortspark.plans.grouped_experiments import grouped_rules, run_cohort_table
 from cohortspark.session import stage
 
+from helpers import table
+
 NAMES = ["a", "b", "c"]
 LIMITS = {"a": {"low": -0.2, "high": 0.3}, "b": {"low": 4.0, "high": 6.0}, "c": 1.0}
 
@@ -125,3 +128,63 @@ def test_other_finders_are_refused_and_limits_may_lack(long):
         grouped_rules(object(), long, NAMES)
     rules, failed = grouped_rules(LiteratureRule({}), long.where("cohort = 'first'"), NAMES, ["cohort"], limits_of=lambda _: {})
     assert not rules and "literature" in failed[(("first",), None)]
+
+
+def refitted_order(x, y, names, keep, c=1.0):
+    """Backward elimination by plain Newton fits on raw values, one per round."""
+
+    def weights(columns):
+        z = np.column_stack([x[:, columns], np.ones(len(y))])
+        beta, pull = np.zeros(z.shape[1]), np.append(np.full(len(columns), 1 / c), 0.0)
+        for _ in range(60):
+            chance = 1 / (1 + np.exp(-z @ beta))
+            beta = beta - np.linalg.solve((z * (chance * (1 - chance))[:, None]).T @ z + np.diag(pull), z.T @ (chance - y) + pull * beta)
+        return dict(zip(columns, beta))
+
+    left, gone = list(range(len(names))), []
+    while len(left) > keep:
+        found = weights(left)
+        worst = min(left, key=lambda j: (abs(found[j]), -j))
+        left.remove(worst)
+        gone.append(worst)
+    found = weights(left)
+    return [names[j] for j in [*sorted(left, key=lambda j: -abs(found[j])), *gone[::-1]]]
+
+
+@pytest.mark.parametrize("keep, sums", [(1, None), (3, None), (1, 200)])
+def test_elimination_order_equals_refits(spark, monkeypatch, keep, sums):
+    # correlated features of different scales: the Gram matrix alone does not foretell every round
+    draw = np.random.default_rng(7)
+    base = draw.normal(size=(300, 8))
+    x = base + 0.9 * base[:, [1, 0, 3, 2, 5, 4, 7, 6]]
+    x = x * np.array([1, 3, 1, 0.5, 2, 1, 1, 4])
+    y = (base @ np.array([2, -1.5, 1, 1, -0.4, 0.3, 0.2, 0.1]) + draw.normal(size=300) > 0).astype(float)
+    names = [f"f{i}" for i in range(8)]
+    frame = table(spark, [(*map(float, r), int(v)) for r, v in zip(x, y)], ", ".join(f"{n} double" for n in names) + ", label int")
+    if sums:
+        monkeypatch.setattr(grouped_fits, "MOST_SUMS", sums)
+    assert grouped_fits.elimination_order(frame, names, keep=keep) == refitted_order(x, y, names, keep)
+
+
+def test_elimination_shares_its_scans(spark, monkeypatch):
+    passes = []
+    plain = grouped_fits._sums
+    monkeypatch.setattr(grouped_fits, "_sums", lambda rows, models, counted: passes.append(len(models)) or plain(rows, models, counted))
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 12))
+    y = (x @ np.linspace(0.1, 2, 12) + draw.normal(size=400) > 0).astype(int)
+    names = [f"f{i}" for i in range(12)]
+    frame = table(spark, [(*map(float, r), int(v)) for r, v in zip(x, y)], ", ".join(f"{n} double" for n in names) + ", label int")
+    assert grouped_fits.elimination_order(frame, names) == refitted_order(x, y.astype(float), names, 1)
+    # eleven refits of about seven steps each would be some eighty passes
+    assert len(passes) < 40
+
+
+def test_elimination_of_little(spark):
+    frame = table(spark, [(1.0, 5.0, 0), (2.0, 5.0, 0), (3.0, 5.0, 1), (0.0, 5.0, None)], "a double, b double, label int")
+    assert grouped_fits.elimination_order(frame, ["b", "a"]) == ["a", "b"]
+    assert grouped_fits.elimination_order(frame, ["a"]) == ["a"] and grouped_fits.elimination_order(frame, []) == []
+    with pytest.raises(ValueError):
+        grouped_fits.elimination_order(frame.where("label = 1"), ["a"])
+    with pytest.raises(ValueError):
+        grouped_fits.elimination_order(frame.where("label IS NULL"), ["a"])
