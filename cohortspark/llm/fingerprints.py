@@ -21,63 +21,91 @@ from .common import inputs, stage
 
 NO_ID = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
+# A document: its place in descending order of ids (the id's bits turned over) and 128 bits of its text.
+KEY = ["o", "t1", "t2"]
+NEXT = ["no", "n1", "n2"]
+# Equal rows beyond this number are combined before the shuffle of texts, and written by several tasks.
+MANY = 1000
 
 
 def by_id(docs: DataFrame) -> DataFrame:
-    """(k, text): the id as a number, the smallest for null, and the text, empty for null."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    """(o, t1, t2, text): the document's key and its text, empty for null; a null id is the smallest."""
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    return text.select(F.bitwise_not("k").alias("o"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
 
 
 def next_in_order(ids: DataFrame) -> DataFrame:
-    """``ids`` (k unique, n) with ``next_k``: the next smaller k, after the last the first.
+    """``ids`` (unique KEY) with the key of the next one as NEXT, after the last the first.
 
-    Ranges of k are dealt to tasks and each looks along its own; the first k of a range is the
+    Ranges of keys are dealt to tasks and each looks along its own; the first key of a range is the
     next of the last one before it. Only one row per range meets in one place.
     """
-    ranged = stage(ids.repartitionByRange(F.col("k").desc()).withColumn("bucket", F.spark_partition_id()))
-    inside = Window.partitionBy("bucket").orderBy(F.desc("k"))
-    edges = ranged.groupBy("bucket").agg(F.max("k").alias("first_k"))
+    ranged = stage(ids.repartitionByRange(*KEY).withColumn("bucket", F.spark_partition_id()).withColumn("d", F.struct(*KEY)))
+    inside = Window.partitionBy("bucket").orderBy("d")
+    edges = ranged.groupBy("bucket").agg(F.min("d").alias("first_d"))
     across = Window.orderBy("bucket")
     edges = edges.select(
-        F.col("bucket").alias("edge"), F.coalesce(F.lead("first_k").over(across), F.max("first_k").over(Window.partitionBy())).alias("after_k")
+        F.col("bucket").alias("edge"), F.coalesce(F.lead("first_d").over(across), F.min("first_d").over(Window.partitionBy())).alias("after_d")
     )
     return (
-        ranged.withColumn("within", F.lead("k").over(inside)).join(edges, F.col("bucket") == F.col("edge"))
-        .select("k", "n", F.coalesce("within", "after_k").alias("next_k"))
+        ranged.withColumn("within", F.lead("d").over(inside)).join(edges, F.col("bucket") == F.col("edge"))
+        .withColumn("next", F.coalesce("within", "after_d"))
+        .select(*ids.columns, *[F.col("next")[c].alias(to) for c, to in zip(KEY, NEXT)])
     )
 
 
+def whole_texts(rows: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """(KEY, text), one row per document, dealt by KEY to ``parts`` partitions.
+
+    Documents of very many equal rows are combined inside the tasks that read them, so no task receives all of one.
+    Their keys are a written table, whose size tells the optimizer whether to broadcast them.
+    """
+    hot = stage(ids.where(F.col("copies") > MANY).select(*KEY))
+    if not hot.isEmpty():
+        few = rows.join(hot, KEY, "left_anti")
+        rows = few.unionByName(rows.join(hot, KEY, "left_semi").groupBy(*KEY).agg(F.max("text").alias("text")))
+    return rows.repartition(parts, *KEY).groupBy(*KEY).agg(F.max("text").alias("text"))
+
+
+def repeated(made: DataFrame, order: DataFrame, parts: int, finish) -> DataFrame:
+    """``finish(made and order joined)`` with a row for each equal row; long repeats are dealt to tasks in blocks."""
+    few = finish(made.join(order.where(F.col("copies") <= MANY), KEY)).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    many = finish(made.join(order.where(F.col("copies") > MANY), KEY)).withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {MANY})")))
+    many = many.repartition(parts).withColumn("copy", F.explode(F.expr(f"sequence(1L, least({MANY}L, copies - block * {MANY}))")))
+    return few.drop("copies", "copy").unionByName(many.drop("copies", "block", "copy"))
+
+
 def unit(bits: str, shift: int, width: int) -> str:
     """A number between 0 and 1 from ``width`` bits of a hash."""
     return f"((shiftrightunsigned({bits}, {shift}) & {(1 << width) - 1}L) + 0.5D) * {2.0 ** -width!r}D"
 
 
 def samples(texts: DataFrame, count: int) -> DataFrame:
-    """(k, i, code, edited_code) from (k, text, edited), partitioned by k as ``texts`` are.
+    """(KEY, i, code, edited_code) from (KEY, text, edited), partitioned by KEY as ``texts`` are.
 
     A code is a 32-bit hash of the sampled term and its t; null where there is no word.
     """
     words = lambda c: F.filter(F.split(c, SPACE), lambda w: w != "")
     terms = (
-        texts.select("k", words("text").alias("a"), words("edited").alias("b"))
-        .select("k", F.size("a").alias("own"), F.posexplode(F.concat("a", "b")).alias("at", "word"))
-        .select("k", F.xxhash64("word").alias("term"), (F.col("at") < F.col("own")).cast("int").alias("mine"))
-        .groupBy("k", "term").agg(F.sum("mine").alias("s"), F.sum(1 - F.col("mine")).alias("e"))
+        texts.select(*KEY, words("text").alias("a"), words("edited").alias("b"))
+        .select(*KEY, F.size("a").alias("own"), F.posexplode(F.concat("a", "b")).alias("at", "word"))
+        .select(*KEY, F.xxhash64("word").alias("term"), (F.col("at") < F.col("own")).cast("int").alias("mine"))
+        .groupBy(*KEY, "term").agg(F.sum("mine").alias("s"), F.sum(1 - F.col("mine")).alias("e"))
     )
     drawn = (
-        terms.select("k", "term", F.log("s").alias("ls"), F.log("e").alias("le"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
-        .selectExpr("k", "i", "term", "ls", "le", "xxhash64(term, i) AS h")
-        .selectExpr("k", "i", "term", "ls", "le", "h", "xxhash64(h, i) AS g")
+        terms.select(*KEY, "term", F.log("s").alias("ls"), F.log("e").alias("le"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
+        .selectExpr(*KEY, "i", "term", "ls", "le", "xxhash64(term, i) AS h")
+        .selectExpr(*KEY, "i", "term", "ls", "le", "h", "xxhash64(h, i) AS g")
         .selectExpr(
-            "k", "i", "term", "ls", "le",
+            *KEY, "i", "term", "ls", "le",
             f"-ln({unit('h', 40, 24)} * {unit('h', 16, 24)}) AS r",
             f"ln(-ln({unit('g', 40, 24)} * {unit('g', 16, 24)})) AS lc",
             f"{unit('(shiftleft(h, 16) | (g & 65535L))', 0, 32)} AS b",
         )
-        .selectExpr("k", "i", "term", "r", "lc", "b", "floor(ls / r + b) AS t", "floor(le / r + b) AS u")
-        .selectExpr("k", "i", "term", "t", "u", "lc - r * (t - b + 1) AS p", "lc - r * (u - b + 1) AS q")
+        .selectExpr(*KEY, "i", "term", "r", "lc", "b", "floor(ls / r + b) AS t", "floor(le / r + b) AS u")
+        .selectExpr(*KEY, "i", "term", "t", "u", "lc - r * (t - b + 1) AS p", "lc - r * (u - b + 1) AS q")
     )
-    return drawn.groupBy("k", "i").agg(
+    return drawn.groupBy(*KEY, "i").agg(
         F.expr("min_by(xxhash64(term, t), p)").alias("code"), F.expr("min_by(xxhash64(term, u), q)").alias("edited_code")
     )
 
@@ -104,45 +132,45 @@ def fingerprint_documents(
     of the next document by descending id; after the last comes the first. Returns doc_id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts are empty. Rows under one id are one document, of its longest text (the greater
-    of equally long ones); a null id is an id, below all others. A single document is its own
-    next. An empty table gives no rows.
+    Every row gets a row. Null texts are empty. In the order of documents, rows alike in id and text are one document;
+    documents of one id follow each other by their texts' hashes, and those without an id come last. A
+    single document is its own next. An empty table gives no rows. Texts under one id are told apart by 128 bits.
     """
     rows = by_id(inputs(docs, "documents", doc_id=doc_id, text=text))
-    ids = stage(rows.groupBy("k").agg(F.max(F.length("text")).alias("n")))
+    ids = stage(rows.groupBy(*KEY).agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies")))
     chars = ids.agg(F.sum("n")).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // partition_chars))
     order = stage(next_in_order(ids))
-    whole = (
-        rows.repartition(parts, "k").groupBy("k").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("d"))
-        .select("k", "d.text")
-    )
+    whole = whole_texts(rows, ids, parts)
     lent = (
-        whole.withColumnRenamed("k", "next_k").join(order.select(F.col("k").alias("owner"), "next_k", "n"), "next_k")
-        .select("owner", F.expr("substring(text, 1, n div 3)").alias("piece"))
+        whole.select(*[F.col(c).alias(to) for c, to in zip(KEY, NEXT)], "text").join(order, NEXT)
+        .select(*KEY, F.expr("substring(text, 1, n div 3)").alias("piece"))
     )
-    texts = (
-        whole.join(lent, whole.k == lent.owner)
-        .select("k", "text", F.expr("concat(substring(text, 1, length(text) - length(text) div 3), piece)").alias("edited"))
+    texts = whole.join(lent, KEY).select(
+        *KEY, "text", F.expr("concat(substring(text, 1, length(text) - length(text) div 3), piece)").alias("edited")
     )
-    digests = texts.select("k", F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    digests = texts.select(*KEY, F.length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     codes = (
-        samples(texts, count).groupBy("k")
+        samples(texts, count).groupBy(*KEY)
         .agg(F.sort_array(F.collect_list(F.struct("i", "code", "edited_code"))).alias("all"))
         .select(
-            F.col("k").alias("owner"),
+            *KEY,
             *[F.transform(F.filter("all", lambda x: x[c].isNotNull()), lambda x: x[c].bitwiseAND(0xFFFFFFFF)).alias(c) for c in ("code", "edited_code")],
         )
     )
     none = F.array().cast("array<bigint>")
     made = stage(
-        digests.join(codes, digests.k == codes.owner, "left")
-        .select("k", "n_chars", "edited_sha256", F.coalesce("code", none).alias("code"), F.coalesce("edited_code", none).alias("edited_code"))
-    )
-    following = made.select(F.col("k").alias("next_k"), F.col("code").alias("next_code"))
-    return made.join(order.select("k", "next_k"), "k").join(following, "next_k").select(
-        F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
-        F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-        as_text("code").alias("fingerprint"), as_text("edited_code").alias("edited_fingerprint"),
-        likeness("code", "edited_code").alias("near_edited"), likeness("code", "next_code").alias("near_next"),
+        digests.join(codes, KEY, "left")
+        .select(*KEY, "n_chars", "edited_sha256", F.coalesce("code", none).alias("code"), F.coalesce("edited_code", none).alias("edited_code"))
     )
+    following = made.select(*[F.col(c).alias(to) for c, to in zip(KEY, NEXT)], F.col("code").alias("next_code"))
+    k = F.bitwise_not("o")
+
+    def finish(joined: DataFrame) -> DataFrame:
+        return joined.join(following, NEXT).select(
+            F.when(k != NO_ID, k).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+            as_text("code").alias("fingerprint"), as_text("edited_code").alias("edited_fingerprint"),
+            likeness("code", "edited_code").alias("near_edited"), likeness("code", "next_code").alias("near_next"), "copies",
+        )
+
+    return repeated(made, order.drop("n"), parts, finish)

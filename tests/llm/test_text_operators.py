@@ -137,13 +137,41 @@ def test_fingerprints_follow_generalised_jaccard(spark):
 
 def test_fingerprints_of_awkward_rows(docs, empty):
     found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
-    assert set(found) == {i for i, _ in texts_of(docs)} and fingerprints.fingerprint_documents(docs).count() == len(found)
+    assert set(found) == {i for i, _ in texts_of(docs)} and fingerprints.fingerprint_documents(docs).count() == docs.count()
     assert found[5]["fingerprint"] == found[7]["fingerprint"] == "" and found[5]["n_chars"] == 0
     assert found[7]["near_edited"] in (0.0, 1.0) and found[1]["fingerprint"] == found[2]["fingerprint"]
     assert found[2]["near_next"] == 1.0
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("many", [1000, 3])
+def test_every_row_has_its_fingerprint(spark, monkeypatch, many):
+    monkeypatch.setattr(fingerprints, "MANY", many)
+    # a third without an id: distinct texts and copies; one id with different texts and a repeated row
+    rows = [(i, prose(i, 30)) for i in range(12)] + [(None, prose(50 + i % 5, 30)) for i in range(9)] + [(None, None)] * 4
+    rows += [(4, prose(90, 20)), (4, prose(90, 20)), (4, "")]
+    found = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    by_text = {}
+    for r in found:
+        by_text.setdefault(r["fingerprint"], Counter())[r["doc_id"]] += 1
+    # equal texts have one fingerprint and different ones their own
+    want = {}
+    for i, t in rows:
+        want.setdefault(t or "", Counter())[i] += 1
+    assert sorted(map(str, by_text.values())) == sorted(map(str, want.values()))
+    # ids descend to their next; without further texts of an id the edited text is known
+    for r in found:
+        if r["doc_id"] is not None and r["doc_id"] > 5:
+            own, following = prose(r["doc_id"], 30), prose((r["doc_id"] - 1), 30)
+            edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    alike = {}
+    for r in found:
+        alike.setdefault((r["doc_id"], r["fingerprint"]), set()).add(r["edited_sha256"])
+    assert all(len(v) == 1 for v in alike.values())
+
+
 def test_a_single_document_is_its_own_next(docs):
     (row,) = fingerprints.fingerprint_documents(docs.filter("doc_id = 1")).collect()
     text = prose(1, 60)
