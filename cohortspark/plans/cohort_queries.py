@@ -560,7 +560,7 @@ def prefix_counts(spark, sf):
 # --- whole chain -------------------------------------------------------------
 
 
-# the configured items of this data set
+# the items whose counts the assembled data set requires; with all, few subjects would have enough of each
 _DATASET_FEATURES = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6"]
 
 
@@ -596,9 +596,9 @@ def _dataset_sql() -> str:
 
 
 def _cohort_datasets_sql() -> str:
-    cells = ", ".join(f"avg(valuenum) FILTER (WHERE icd_code = '{f}') AS \"{f}\"" for f in _DATASET_FEATURES)
-    names = [f'"{f}"' for f in _DATASET_FEATURES]
-    chosen = ", ".join(f"'{f}'" for f in _DATASET_FEATURES)
+    cells = ", ".join(f"avg(valuenum) FILTER (WHERE icd_code = '{f}') AS \"{f}\"" for f in b.BRANDS)
+    names = [f'"{f}"' for f in b.BRANDS]
+    chosen = ", ".join(f"'{f}'" for f in b.BRANDS)
     fills = ", ".join(f"median({n}) AS {n}" for n in names)
     return (
         f"WITH {MATCHED}, {COHORT_LIST}, known AS (SELECT * FROM facts WHERE icd_code IN ({chosen})),"
@@ -617,9 +617,9 @@ def _cohort_datasets_sql() -> str:
 def cohort_datasets(spark, sf):
     """Labelled, imputed features for every cohort from one pass over the observations."""
     facts = b.facts(spark, sf)
-    items = local_table(spark, [(x, x) for x in _DATASET_FEATURES], "itemid string, feature string")
+    items = local_table(spark, [(x, x) for x in b.BRANDS], "itemid string, feature string")
     wide = feature_frame(
-        facts.drop("feature"), items, _DATASET_FEATURES, None,
+        facts.drop("feature"), items, b.BRANDS, None,
         Obs("subject_id", "icd_code", "charttime", "valuenum"), ("mean",),
     )
     return cohort_frames(wide, all_labels(b.admissions(spark, sf), facts, RULES), fit_on="all", scale=None).frame

@@ -532,7 +532,7 @@ def tree_attribution_forest(spark, sf):
 def tree_attribution_boosted(spark, sf):
     frame, names = b.embedding_frame(spark, sf)
     frame = stage(frame)
-    model = fit_model(frame, names, kind="boosted_trees", settings={"trees": 10, "depth": 4})
+    model = fit_model(frame, names, kind="boosted_trees", settings={"trees": 100, "depth": 6})
     cores = spark.sparkContext.defaultParallelism
     return importance(attribute(model, frame, ["vec_id"], partitions=cores))
 

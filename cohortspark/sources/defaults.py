@@ -6,24 +6,32 @@ from .config import Config
 
 # Code lists, laboratory item ids, units, reference ranges and
 # literature limits. They are data, not logic, and must not be changed.
-_COHORTS = {
+_COHORTS = {  # cohort: (name, ninth revision codes, tenth revision codes)
     "rheumatoid_arthritis": (
         "Rheumatoid Arthritis",
-        "714.0 714.1 714.2 714.3 714.4 714.8 714.9",
-        "M05 M06",
+        ["714.0", "714.1", "714.2", "714.3", "714.4", "714.8", "714.9"],
+        ["M05", "M06"],
     ),
     "diabetes_type1": (
         "Diabetes Mellitus Type 1",
-        "250.01 250.03 250.11 250.13 250.31 250.33",
-        "E10",
+        ["250.01", "250.03", "250.11", "250.13", "250.31", "250.33"],
+        ["E10"],
     ),
     "diabetes_type2": (
         "Diabetes Mellitus Type 2",
-        "250.00 250.02 250.10 250.12 250.30 250.32",
-        "E11",
+        ["250.00", "250.02", "250.10", "250.12", "250.30", "250.32"],
+        ["E11"],
+    ),
+    "crohns_disease": (
+        "Crohn's Disease",
+        ["555.0", "555.1", "555.2", "555.9"],
+        ["K50"],
+    ),
+    "psoriasis": (
+        "Psoriasis",
+        ["696.1"],
+        ["L40"],
     ),
-    "crohns_disease": ("Crohn's Disease", "555.0 555.1 555.2 555.9", "K50"),
-    "psoriasis": ("Psoriasis", "696.1", "L40"),
 }
 _FEATURES = [  # feature, item ids, unit, low, high
     ("hemoglobin", [51222, 50811], "g/dL", 12.0, 17.5),
@@ -43,10 +51,10 @@ _FEATURES = [  # feature, item ids, unit, low, high
     ("mpv", [51264], "fL", 7.5, 11.5),
 ]
 _GROUPS = {
-    "rbc_indices": "hemoglobin hematocrit rbc mcv mch mchc rdw",
-    "wbc_differential": "wbc neutrophils lymphocytes monocytes eosinophils basophils",
-    "platelet_indices": "platelets mpv",
-    "core_cbc": "hemoglobin hematocrit wbc platelets",
+    "rbc_indices": ["hemoglobin", "hematocrit", "rbc", "mcv", "mch", "mchc", "rdw"],
+    "wbc_differential": ["wbc", "neutrophils", "lymphocytes", "monocytes", "eosinophils", "basophils"],
+    "platelet_indices": ["platelets", "mpv"],
+    "core_cbc": ["hemoglobin", "hematocrit", "wbc", "platelets"],
 }
 _LIMITS = {  # cohort: (feature, low, high), ...
     "rheumatoid_arthritis": [
@@ -97,14 +105,14 @@ _MODELS = {
 def default_config() -> Config:
     return Config(
         cohorts={
-            key: {"name": name, "codes": {"9": nine.split(), "10": ten.split()}}
+            key: {"name": name, "codes": {"9": nine, "10": ten}}
             for key, (name, nine, ten) in _COHORTS.items()
         },
         features={
             name: {"itemids": ids, "unit": unit, "low": low, "high": high}
             for name, ids, unit, low, high in _FEATURES
         },
-        groups={key: names.split() for key, names in _GROUPS.items()},
+        groups={key: list(names) for key, names in _GROUPS.items()},
         thresholds={
             key: {name: {"low": low, "high": high} for name, low, high in rows}
             for key, rows in _LIMITS.items()
