@@ -9,7 +9,8 @@ predicted vector, whose products with all output vectors are normalised at once.
 
 What covers the corpus is counted by Spark over every training text: the words, and the triples of
 outputs, of which there are at most ``outputs^3``. Training draws from the triples, in
-their proportions, in numpy on the driver; its cost does not depend on the corpus.
+their proportions, in numpy on the driver. The number of steps follows the square root of the training tokens:
+the parameters are of a fixed number, and the noise of their estimate falls with the root of the draws.
 
 The vocabulary grows with the corpus and is never broadcast. Documents are dealt to blocks
 of bounded size; each block asks for the counts of the words it holds (an equality join on the words'
@@ -18,6 +19,7 @@ of bounded size; each block asks for the counts of the words it holds (an equali
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,7 @@ by_value(__name__)
 
 END = 0
 KNOWN_WORDS = 300_000
+LEAST_STEPS = 4000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -169,13 +172,18 @@ class LogBilinear:
         return (scores / np.log(10)).astype(np.float32)
 
 
+def steps_for(tokens: int) -> int:
+    """Gradient steps for so many training tokens: half their square root, and at least ``LEAST_STEPS``."""
+    return max(LEAST_STEPS, math.isqrt(tokens) // 2)
+
+
 def train_bilinear(
-    counts: np.ndarray, count: int, size: int = 32, steps: int = 4000, batch: int = 1024, noise: int = 32, rate: float = 0.1, seed: int = 7
+    counts: np.ndarray, count: int, size: int = 32, steps: int | None = None, batch: int = 1024, noise: int = 32, rate: float = 0.1, seed: int = 7
 ) -> LogBilinear:
     """Noise-contrastive estimation over triples drawn in proportion to their counts.
 
     A batch shares its noise words, drawn from the unigram distribution, so that all scores are
-    matrix products; steps are AdaGrad. Biases begin at the unigram log probabilities. Without any
+    matrix products; steps (``steps_for`` all triples by default) are AdaGrad. Biases begin at the unigram log probabilities. Without any
     triple the model is uniform.
     """
     random = np.random.default_rng(seed)
@@ -197,7 +205,7 @@ def train_bilinear(
         squares[index] += gradient**2
         parameter -= rate * gradient / np.sqrt(squares[index])
 
-    for _ in range(steps):
+    for _ in range(steps_for(int(counts.sum())) if steps is None else steps):
         code = used[np.minimum(np.searchsorted(ladder, random.random(batch), side="right"), len(used) - 1)]
         word, last = code % count, code // count % (count + 1)
         before = code // (count * (count + 1))

@@ -201,6 +201,20 @@ def test_base_scores_match_a_plain_count(docs):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in found)
 
 
+def test_training_steps_follow_the_tokens(monkeypatch):
+    assert lm.steps_for(0) == lm.steps_for(64_000_000) == 4000
+    assert [lm.steps_for(n) for n in (10**8, 4 * 10**8, 5 * 10**9)] == [5000, 10000, 35355]
+    monkeypatch.setattr(lm, "LEAST_STEPS", 0)
+    draw = np.random.default_rng(5)
+    truth = draw.dirichlet(np.full(6, 0.5), size=49)
+    gains = []
+    for tokens in (10_000, 1_000_000):
+        counts = np.concatenate([draw.multinomial(tokens // 49, p) for p in truth]).astype(np.int64)
+        table = lm.train_bilinear(counts, 6).log10()
+        gains.append(float((truth * table).sum()))
+    assert gains[1] > gains[0]
+
+
 def test_model_is_normalised_and_beats_unigrams_on_held_out_text(spark):
     pick = random.Random(5)
     line = lambda: " ".join(w for _ in range(20) for w in (lambda a: (f"a{a}", f"b{a}"))(pick.randint(0, 9)))
