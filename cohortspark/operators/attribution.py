@@ -263,62 +263,97 @@ def sampled_attribution(
     samples: int | None = None,
     permutations: int = 8,
     seed: int = 42,
+    output: str = "probability",
 ) -> DataFrame:
-    """Attribution of any classifier by permutation sampling.
-
-    Each row walks ``permutations`` seeded feature orders, each from one background
-    row to the row itself, and every step's change in probability goes to the
-    feature switched at that step. Background rows are drawn from all of ``background``
-    (``samples`` limits them). Work is rows x permutations x (features + 1)
-    model evaluations; the values of a row always add up to its probability minus
-    the mean probability of its background rows.
+    """Attribution of any classifier by antithetic permutation sampling, with its standard error.
+
+    A pair is one background row and one seeded feature order: the row is walked to from the
+    background row in that order and in its reverse, and every step's change in the model's output
+    goes to the feature switched at that step. ``permutations`` counts walks, rounded up to whole
+    pairs. ``phi`` is the mean over the pairs, ``se`` the standard error of that mean (null for
+    one pair). Background rows are drawn from all of ``background`` (``samples`` limits them).
+
+    Walks are dealt by row key before they are expanded into steps, so the steps are scored and
+    summed inside the task that made them; only pairs move. Work is rows x permutations x
+    (features + 1) model evaluations. The values of a row always add up to its output minus the
+    mean output of its background rows. ``output='log_odds'`` explains the log-odds instead.
+    ``keys`` must tell rows apart.
     """
+    outputs = {
+        "probability": "__p[1]",
+        "log_odds": "ln(__p[1]) - ln(__p[0])",
+    }
+    if output not in outputs:
+        raise ValueError(f"output must be one of {sorted(outputs)}, not {output!r}")
+    if permutations < 1:
+        raise ValueError(f"permutations must be at least 1, not {permutations}")
     features = list(model.features)
     k = len(features)
+    pairs = (int(permutations) + 1) // 2
     pool, size = background_pool(background if background is not None else df, features, keys, samples, seed)
     if not size:
         raise ValueError("background has no rows")
-    seeded = ", ".join([str(int(seed)), *qs(keys), "__p"])
-    walks = (
+    seeded = ", ".join([str(int(seed)), *qs(keys), "__pair"])
+    drawn = (
         df.selectExpr(
             *qs(keys),
             f"array({', '.join(f'CAST({q(f)} AS DOUBLE)' for f in features)}) AS __x",
-            f"explode(sequence(0, {int(permutations) - 1})) AS __p",
+            f"explode(sequence(0, {pairs - 1})) AS __pair",
         )
-        .selectExpr(
+        .selectExpr("*", f"pmod(xxhash64({seeded}), {size}L) AS __b")
+        .join(pool, "__b")
+        .repartition(*keys)
+    )
+    steps = (
+        drawn.selectExpr(
             "*",
-            f"pmod(xxhash64({seeded}), {size}L) AS __b",
             f"transform(array_sort(transform(sequence(0, {k - 1}),"
             f" j -> struct(xxhash64({seeded}, j) AS h, j AS j))), s -> s.j) AS __order",
         )
-        .join(pool, "__b")
+        .selectExpr(*qs(keys), "__pair", "__x", "__ref", "explode(array(__order, reverse(__order))) AS __order")
         .selectExpr("*", f"explode(sequence(0, {k})) AS __t")
         .selectExpr(
             *qs(keys),
-            "__x",
-            "__order",
-            "__t",
+            "__pair",
+            "CASE WHEN __t > 0 THEN __order[__t - 1] END AS __into",
+            f"CASE WHEN __t < {k} THEN __order[__t] END AS __from",
             f"transform(sequence(0, {k - 1}), j -> CASE WHEN array_position(__order, j) <= __t"
             " THEN __x[j] ELSE __ref[j] END) AS __mixed",
         )
     )
-    scored = model.model.transform(walks.withColumn(VECTOR, array_to_vector("__mixed")))
-    output = scored.select(
-        *keys, "__x", "__order", "__t", vector_to_array("__probability")[1].alias("__f")
+    scored = (
+        model.model.transform(steps.withColumn(VECTOR, array_to_vector("__mixed")))
+        .select(*keys, "__pair", "__into", "__from", "__mixed", vector_to_array("__probability").alias("__p"))
+        .selectExpr(*qs(keys), "__pair", "__into", "__from", "__mixed", f"{outputs[output]} AS __f")
     )
-    # the step into position t gains f, the step out of it loses f
-    moves = output.selectExpr(
-        *qs(keys),
-        "__x",
-        f"inline(filter(array(struct(CASE WHEN __t > 0 THEN __order[__t - 1] END AS __j, __f AS __d),"
-        f" struct(CASE WHEN __t < {k} THEN __order[__t] END AS __j, -__f AS __d)), s -> s.__j IS NOT NULL))",
+    # the step that switches a feature on gains f, the step before lost it; where all are on, the vector is the row
+    per_pair = scored.groupBy(*keys, "__pair").agg(
+        F.expr("max(CASE WHEN __from IS NULL THEN __mixed END) AS __x"),
+        *[
+            F.expr(f"sum(CASE {j} WHEN __into THEN __f WHEN __from THEN -__f ELSE 0D END) / 2 AS __d{j}")
+            for j in range(k)
+        ],
     )
-    names = ", ".join(text(f) for f in features)
-    return (
-        moves.selectExpr(*qs(keys), "__j", "__x[__j] AS value", "__d")
-        .groupBy(*keys, "__j")
-        .agg(F.expr("first(value) AS value"), F.expr(f"sum(__d) / {int(permutations)} AS phi"))
-        .selectExpr(*qs(keys), f"array({names})[__j] AS feature", "value", "phi")
+    per_row = per_pair.groupBy(*keys).agg(
+        F.expr("max(__x) AS __x"),
+        *[F.expr(f"avg(__d{j}) AS __m{j}") for j in range(k)],
+        *[F.expr(f"stddev_samp(__d{j}) / sqrt({pairs}D) AS __s{j}") for j in range(k)],
+    )
+    cells = ", ".join(
+        f"struct({text(f)} AS feature, __x[{j}] AS value, __m{j} AS phi, __s{j} AS se)" for j, f in enumerate(features)
+    )
+    return per_row.selectExpr(*qs(keys), f"inline(array({cells}))")
+
+
+def mean_with_error(phi: DataFrame) -> DataFrame:
+    """Per feature: mean attribution and its standard error, from sampled values.
+
+    Rows draw their background independently, so the squared errors add up.
+    """
+    return phi.groupBy("feature").agg(
+        F.expr("avg(phi) AS mean_phi"),
+        F.expr("sqrt(sum(se * se)) / count(1) AS se"),
+        F.expr("count(1) AS n"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import roc
-from ..operators.attribution import attribute, importance, linear_attribution, model_info
+from ..operators.attribution import attribute, importance, linear_attribution, mean_with_error, model_info
 from ..operators.compare import cohort_summary, compare_methods, method_averages, winners
 from ..operators.confusion import binary_metrics, class_rates, cut_probability, precision_recall
 from ..operators.grouped_fits import fit_logistic_groups, optimality
@@ -640,6 +640,21 @@ def linear_attribution_adds_up(spark, sf):
     return _gaps(attribute(model, frame, ["vec_id"]), outputs, model_info(model, frame)["base_value"], "vec_id")
 
 
+@query(
+    "sampled_attribution_error",
+    "SELECT DISTINCT event_type AS feature, (SELECT count(DISTINCT user_id) FROM events) AS n, true AS within"
+    " FROM events WHERE event_type <> 'error'",
+)
+def sampled_attribution_error(spark, sf):
+    """Mean sampled attributions of a logistic model lie within three standard errors of the closed form."""
+    frame, names = b.user_frame(spark, sf)
+    frame = stage(frame)
+    model = fit_model(frame, names, kind="logistic_regression")
+    sampled = mean_with_error(attribute(model, frame, ["user_id"], "sampled", output="log_odds"))
+    exact = importance(attribute(model, frame, ["user_id"])).selectExpr("feature", "mean_phi AS exact")
+    return sampled.join(exact, "feature").selectExpr("feature", "n", "abs(mean_phi - exact) <= 3 * se + 1e-9 AS within")
+
+
 @query(
     "experiment_part_sizes",
     "WITH c AS (SELECT 'below_3' AS cohort, label < 3 AS l, count(*) AS c FROM embeddings GROUP BY ALL UNION ALL"

@@ -14,6 +14,7 @@ from cohortspark.operators.attribution import (
     leaf_table,
     node_table,
     linear_attribution,
+    mean_with_error,
     model_info,
     summarise,
     top_features,
@@ -48,7 +49,9 @@ from cohortspark.plans.experiment import (
     summarise_cohorts,
 )
 
-from helpers import column, lcg, table
+from cohortspark.session import stage
+
+from helpers import column, lcg, plan, table
 
 FEATURES = ["hemoglobin", "wbc", "platelets"]
 SCHEMA = "subject_id bigint, hemoglobin double, wbc double, platelets double, label int"
@@ -265,6 +268,29 @@ def test_sampled_attribution_adds_up(low):
     assert values == {r["subject_id"]: r["wbc"] for r in low.collect()}
 
 
+def test_sampled_attribution_error(low):
+    model = fit_model(low, FEATURES, kind="logistic_regression")
+    phi = stage(attribute(model, low, ["subject_id"], "sampled", permutations=16, output="log_odds"))
+    exact = {(r["subject_id"], r["feature"]): r["phi"] for r in attribute(model, low, ["subject_id"]).collect()}
+    rows = phi.collect()
+    assert len(rows) == 200 * len(FEATURES) and all(r["se"] >= 0 for r in rows)
+    inside = [abs(r["phi"] - exact[r["subject_id"], r["feature"]]) <= 3 * r["se"] + 1e-9 for r in rows]
+    assert sum(inside) / len(inside) > 0.95
+    for r in mean_with_error(phi).collect():
+        mean = sum(v for (_, f), v in exact.items() if f == r["feature"]) / 200
+        assert r["n"] == 200 and abs(r["mean_phi"] - mean) <= 3 * r["se"] + 1e-9
+    assert attribute(model, low, ["subject_id"], "sampled", permutations=1).where("se IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="output"):
+        attribute(model, low, ["subject_id"], "sampled", output="margin")
+
+
+def test_sampled_walks_are_summed_before_they_move(low):
+    model = fit_model(low, FEATURES, kind="logistic_regression")
+    text = plan(attribute(model, low, ["subject_id"], "sampled"))
+    arguments = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning(subject_id")]
+    assert len(arguments) == 1  # neither grouping shuffles again
+
+
 def test_attribution_rules(low):
     options = {"settings": {"trees": 10, "depth": 4}}
     lit = AttributionLiteratureRule(LIMITS, **options).fit(low, FEATURES)
