@@ -359,51 +359,48 @@ def timeline(
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum.
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum, from two scans.
 
-    Scans ``df`` four times; ``stage`` an input that is costly to compute.
+    Without groups an empty table has one row of nulls and the count 0.
     """
-    by = list(by)
-    rows = df.where(_known(value))
-    v = q(value)
-    moments = rows.groupBy(*by).agg(
-        F.expr(f"count({v}) AS n"),
-        F.expr(f"avg({v}) AS mean"),
-        F.expr(f"stddev_samp({v}) AS std"),
-        F.expr(f"CAST(min({v}) AS DOUBLE) AS min"),
-        F.expr(f"CAST(max({v}) AS DOUBLE) AS max"),
+    by, v = list(by), q(value)
+    out = quantiles(
+        df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by,
+        measures={
+            "mean": f"avg({v})",
+            "std": f"stddev_samp({v})",
+            "min": f"CAST(min({v}) AS DOUBLE)",
+            "max": f"CAST(max({v}) AS DOUBLE)",
+        },
     )
-    cuts = quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by).drop("n")
+    shown = [f"{c} AS {c}" for c in ("mean", "std", "min", "max", "q1", "median", "q3")]
     if by:
-        return null_safe(moments, cuts, by)
-    row = cuts.first()
-    return moments.withColumns(
-        {c: F.lit(row[c] if row else None).cast("double") for c in ("q1", "median", "q3")}
-    )
+        return out.selectExpr(*qs(by), "n", *shown)
+    # the quantiles are grouped by nothing, so even no rows give one row
+    return out.selectExpr("coalesce(n, 0) AS n", *shown)
 
 
 def range_check(
     df: DataFrame, ref_ranges: DataFrame, value: str, feature: str = "feature"
 ) -> DataFrame:
     """Observed minimum, maximum, mean, exact median and the shares below and above
-    the reference range, per feature."""
+    the reference range, per feature, from two scans."""
     named = ref_ranges.selectExpr(f"feature AS {q(feature)}", "low AS ref_low", "high AS ref_high")
     v = q(value)
-    rows = df.where(_known(value))
-    found = (
-        rows.join(named, feature, "left")
-        .groupBy(feature, "ref_low", "ref_high")
-        .agg(
-            F.expr("count(1) AS n"),
-            F.expr(f"min({v}) AS observed_min"),
-            F.expr(f"max({v}) AS observed_max"),
-            F.expr(f"avg({v}) AS mean"),
-            F.expr(f"100D * count_if({v} < ref_low) / count(1) AS pct_below"),
-            F.expr(f"100D * count_if({v} > ref_high) / count(1) AS pct_above"),
-        )
+    keys = [feature, "ref_low", "ref_high"]
+    out = quantiles(
+        df.select(feature, value).join(named, feature, "left"), value, {"median": 0.5}, keys,
+        measures={
+            "observed_min": f"min({v})",
+            "observed_max": f"max({v})",
+            "mean": f"avg({v})",
+            "pct_below": f"100D * count_if({v} < ref_low) / count(1)",
+            "pct_above": f"100D * count_if({v} > ref_high) / count(1)",
+        },
+    )
+    return out.selectExpr(
+        *qs(keys), "n", "observed_min", "observed_max", "mean", "pct_below", "pct_above", "median"
     )
-    middle = quantiles(rows, value, {"median": 0.5}, [feature]).drop("n")
-    return null_safe(found, middle, [feature])
 
 
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -432,7 +429,7 @@ def outliers(
     """Per feature: n, mean, median, sample deviation, and count and percentage of
     values beyond ``sigmas`` deviations and beyond ``iqr_factor`` quartile distances.
 
-    The bounds of each feature are found first; the second pass only counts.
+    The bounds of each feature come from the two scans of ``describe``; a third one only counts.
     """
     stats, _ = settle(describe(df.select(feature, value), value, [feature]))
     s, k = f"{float(sigmas)!r}D", f"{float(iqr_factor)!r}D"

@@ -288,54 +288,77 @@ def cuts_passed(
 # --- quantiles ---------------------------------------------------------------
 
 
+# Groups of at most this many rows need no brackets: all their values are counted one by one.
+WHOLE_ROWS = 20_000
+
+
 def quantiles(
     df: DataFrame,
     value: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
     approx: bool = False,
+    measures: dict[str, str] | None = None,
 ) -> DataFrame:
     """Quantiles of ``value`` per group with linear interpolation, plus ``n``.
 
-    Exact by default. One sketch pass sets narrow brackets around each wanted
-    rank, one pass counts rows per bracket, and only the rows of brackets that
-    hold a wanted rank are shuffled and sorted. ``approx=True`` stops after the
-    sketch. Null and NaN values are left out.
+    Exact by default, from two scans. The first takes a sketch per group, and with it the
+    aggregates in ``measures`` (name to SQL over the columns of ``df``). The second counts rows
+    per bracket around the wanted ranks and, inside the narrow brackets, per value; these counts
+    are written once and the ranks are read from them. Only a bracket that still holds many
+    different values is cut again. ``approx=True`` stops after the sketch. Null and NaN
+    values are left out, also from ``measures``.
     """
     by, names = list(by), list(probs)
-    rows = df.selectExpr(*qs(by), f"CAST({q(value)} AS DOUBLE) AS __v").where(
-        "__v IS NOT NULL AND NOT isnan(__v)"
-    )
+    measures = measures or {}
+    known = df.where(f"{q(value)} IS NOT NULL AND NOT isnan(CAST({q(value)} AS DOUBLE))")
+    extra = [F.expr(f"{e} AS {q('__m_' + m)}") for m, e in measures.items()]
+    named = [f"{q('__m_' + m)} AS {q(m)}" for m in measures]
+    number = f"CAST({q(value)} AS DOUBLE)"
     if approx:
-        return rows.groupBy(*by).agg(
-            *[
-                F.expr(f"percentile_approx(__v, {float(probs[p])!r}D, 10000) AS {q(p)}")
-                for p in names
-            ],
+        return known.groupBy(*by).agg(
+            *[F.expr(f"percentile_approx({number}, {float(probs[p])!r}D, 10000) AS {q(p)}") for p in names],
             F.expr("count(1) AS n"),
-        )
+            *extra,
+        ).selectExpr(*qs([*by, *names, "n"]), *named)
 
     accuracy = 10_000
     margin = 2.0 / accuracy
-    around = sorted(
-        {min(1.0, max(0.0, p + s * margin)) for p in probs.values() for s in (-1, 1)}
-    )
-    at = ", ".join(f"{a:.10f}D" for a in around)
-    sketch = (
-        rows.groupBy(*by)
-        .agg(F.expr(f"percentile_approx(__v, array({at}), {accuracy}) AS __e"))
-        .selectExpr(*qs(by), *[f"__e[{i}] AS __e{i}" for i in range(len(around))])
+    around = [min(1.0, max(0.0, p + s * margin)) for p in probs.values() for s in (-1, 1)]
+    order = sorted(set(around))
+    at = ", ".join(f"{a:.10f}D" for a in order)
+    first, _ = settle(
+        known.groupBy(*by)
+        .agg(
+            F.expr(f"percentile_approx({number}, array({at}), {accuracy}) AS __e"),
+            F.expr("count(1) AS __n"),
+            *extra,
+        )
+        .selectExpr(
+            *qs(by), "__n", *[f"__e[{i}] AS __e{i}" for i in range(len(order))], *qs([f"__m_{m}" for m in measures])
+        )
     )
-    sketch, _ = settle(sketch)
+    edges = ["__n", *[f"__e{i}" for i in range(len(order))]]
+    rows = known.selectExpr(*qs(by), f"{number} AS __v")
     if by:
-        placed = null_safe(rows, sketch, by)
+        placed = null_safe(rows, first.select(*by, *edges), by)
     else:
-        found = sketch.first()
+        found = first.first()
         placed = rows.withColumns(
-            {f"__e{i}": F.lit(found[f"__e{i}"]).cast("double") for i in range(len(around))}
+            {e: F.lit(found[e] if found else None).cast(first.schema[e].dataType) for e in edges}
         )
-    slot = " + ".join(f"CAST(coalesce(__v >= __e{i}, false) AS INT)" for i in range(len(around)))
-    placed = placed.selectExpr(*qs(by), "__v", f"{slot} AS __slot")
+    slot = " + ".join(f"CAST(coalesce(__v >= __e{i}, false) AS INT)" for i in range(len(order)))
+    narrow = " OR ".join(
+        f"__v BETWEEN __e{order.index(lo)} AND __e{order.index(hi)}" for lo, hi in zip(around[::2], around[1::2])
+    )
+    cells = stage(
+        placed.selectExpr(
+            *qs(by), f"{slot} AS __slot", "__v", "__n",
+            f"__n <= {WHOLE_ROWS} OR coalesce({narrow}, false) AS __listed",
+        )
+        .groupBy(*by, "__n", "__slot", F.expr("CASE WHEN __listed THEN __v END AS __key"))
+        .agg(*_span())
+    )
 
     low = {p: f"floor((__n - 1) * {float(probs[p])!r}D)" for p in names}
     high = {p: f"ceil((__n - 1) * {float(probs[p])!r}D)" for p in names}
@@ -344,25 +367,38 @@ def quantiles(
         for p in names
         for x in (low[p], high[p])
     )
+    # Rows at a bracket's lower edge come before the unlisted rest of the slot.
+    open_rest = "CAST(__key IS NULL AS INT)"
     wanted, _ = settle(
-        placed.groupBy(*by, "__slot")
-        .agg(*_span())
+        cells.selectExpr("*", f"{open_rest} AS __rest")
+        .groupBy(*by, "__n", "__slot", "__rest")
+        .agg(
+            F.expr("count(1) AS __cells"),
+            F.expr("sum(__rows) AS __rows"),
+            F.expr("min(__lo) AS __lo"),
+            F.expr("max(__hi) AS __hi"),
+        )
         .selectExpr(
             "*",
-            f"sum(__rows) {_over(by)} AS __n",
-            f"coalesce(sum(__rows) {_over(by, '__slot', 'before')}, 0) AS __off",
+            f"coalesce(sum(__rows) {_over(by, '__slot, __rest', 'before')}, 0) AS __off",
         )
         .where(needed)
     )
-    most = wanted.selectExpr("max(__rows)").first()[0] or 0
-    if most <= BUCKET_ROWS:
-        members = null_safe(placed, wanted.select(*by, "__slot", "__off", "__n"), [*by, "__slot"])
+    top = wanted.selectExpr("max(__cells) AS cells", "coalesce(max(__rest), 0) AS rest", "max(__rows) AS n").first()
+    if not top["rest"] and (top["cells"] or 0) <= BUCKET_ROWS:
+        members = null_safe(
+            cells.where("__key IS NOT NULL").selectExpr(*qs(by), "__slot", "__key AS __v", "__rows"),
+            wanted.select(*by, "__slot", "__off", "__n"),
+            [*by, "__slot"],
+        )
     else:
-        wanted = _refine(rows, by, wanted.drop("__slot"), needed, most)
-        members = _inside(rows, by, wanted)
+        ranges = wanted.select(*by, "__n", "__lo", "__hi", "__rows", "__off")
+        if top["n"] > BUCKET_ROWS:
+            ranges = _refine(rows, by, ranges, needed, top["n"])
+        members = _inside(rows, by, ranges).withColumn("__rows", F.lit(1))
     distinct = (
         members.groupBy(*by, "__off", "__n", "__v")
-        .agg(F.expr("count(1) AS __rows"))
+        .agg(F.expr("sum(__rows) AS __rows"))
         .selectExpr("*", f"__off + sum(__rows) {_over([*by, '__off'], '__v', 'upto')} AS __upto")
     )
     picked = distinct.groupBy(*by).agg(
@@ -373,7 +409,7 @@ def quantiles(
             for side, x in (("lo", low[p]), ("hi", high[p]))
         ],
     )
-    return picked.selectExpr(
+    cut = picked.selectExpr(
         *qs(by),
         *[
             f"CASE WHEN `__lo_{p}` = `__hi_{p}` THEN `__lo_{p}`"
@@ -383,6 +419,14 @@ def quantiles(
         ],
         "__n AS n",
     )
+    if not measures:
+        return cut
+    taken = first.selectExpr(*qs(by), *named)
+    if by:
+        return null_safe(cut, taken, by)
+    kinds = {m: first.schema[f"__m_{m}"].dataType for m in measures}
+    row = taken.first()
+    return cut.withColumns({m: F.lit(row[m] if row else None).cast(kind) for m, kind in kinds.items()})
 
 
 def _span() -> list:

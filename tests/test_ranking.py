@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from cohortspark.operators import ranking
+from cohortspark.operators import profile, ranking
 from cohortspark.operators.ranking import cuts_passed, hash_order, quantiles, running_sums, unpivot
 
 from helpers import lcg, plan, table
@@ -51,6 +51,39 @@ def test_quantiles_refine_ranges(spark, monkeypatch, by):
         assert r["a"] == pytest.approx(np.quantile(values, 0.07), abs=1e-12)
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_by_narrow_brackets(spark, monkeypatch, by):
+    monkeypatch.setattr(ranking, "WHOLE_ROWS", 0)
+    rows = [("a", round(v, 3)) for v in lcg(9000, 5)] + [("b", 0.25)] * 4000 + [("b", v) for v in lcg(8000, 6)] + [(None, 1.0)] * 3
+    df = table(spark, rows, "g string, v double")
+    probs = {"lo": 0.0, "a": 0.07, "q": 0.25, "m": 0.5, "hi": 1.0}
+    for r in quantiles(df, "v", probs, by, measures={"big": "max(v)", "total": "sum(v)"}).collect():
+        values = [v for k, v in rows if not by or k == r["g"]]
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+        assert (r["n"], r["big"]) == (len(values), max(values)) and r["total"] == pytest.approx(sum(values))
+
+
+def test_describe_scans_its_input_twice(spark, monkeypatch, tmp_path):
+    path = f"{tmp_path}/described"
+    table(spark, [("a", v) for v in lcg(50, 3)], "g string, v double").write.parquet(path)
+    scans = []
+    for name in ("stage", "settle"):
+        real = getattr(ranking, name)
+
+        def counting(df, *args, real=real):
+            scans.append(plan(df).count("Location: InMemoryFileIndex") if path in plan(df) else 0)
+            return real(df, *args)
+
+        monkeypatch.setattr(ranking, name, counting)
+    out = profile.describe(spark.read.parquet(path), "v", ["g"])
+    assert sum(scans) == 2 and path not in plan(out)
+    limits = table(spark, [("a", 0.2, 0.8)], "feature string, low double, high double")
+    del scans[:]
+    checked = profile.range_check(spark.read.parquet(path), limits, "v", "g")
+    assert sum(scans) == 2 and path not in plan(checked)
+
+
 def test_quantiles_approx(spark):
     df = table(spark, [(float(i),) for i in range(101)], "v double")
     assert quantiles(df, "v", {"m": 0.5}, approx=True).first()["m"] == 50.0
