@@ -126,27 +126,25 @@ def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman and Kendall (tau-b) correlation of two columns, one row
     ``(n, spearman, kendall)``; rows with a missing value are left out.
 
-    Ranks come from ``running_sums``. Discordant pairs are counted without forming
-    pairs: two rows differ first at one bit of their dense rank in ``b``, so per
-    (bit, higher bits) group it suffices to sum, along ``a``, the ones seen before
-    each zero.
+    The ranks of both columns come from one ``running_sums`` over (column, value). Discordant
+    pairs are counted without forming pairs: two rows differ first at one bit of their dense rank
+    in ``b``, so per (bit, higher bits) group it suffices to sum, along ``a``, the ones seen
+    before each zero; a second ``running_sums`` takes all bits at once. Ties, moments and
+    discordant pairs are read in one action, so the number of jobs does not depend on the data.
     """
     rows = df.selectExpr(f"CAST({q(a)} AS DOUBLE) AS a", f"CAST({q(b)} AS DOUBLE) AS b").where(
         "a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)"
     )
     cells = stage(rows.groupBy("a", "b").agg(F.expr("count(1) AS n")))
-
-    ra = stage(
-        running_sums(cells, "a", {"n": "n"}).selectExpr(
-            "a", "n AS na", "n_before + (n + 1) / 2D AS ra"
-        )
-    )
-    per_b = cells.groupBy("b").agg(F.expr("sum(n) AS n"))
-    rb = stage(
-        running_sums(per_b, "b", {"n": "n", "d": "1L"}).selectExpr(
-            "b", "n AS nb", "n_before + (n + 1) / 2D AS rb", "d_before AS dense", "d_total"
-        )
+    sides = (
+        cells.selectExpr("inline(array(struct('a' AS side, a AS v, n AS n), struct('b' AS side, b AS v, n AS n)))")
+        .groupBy("side", "v")
+        .agg(F.expr("sum(n) AS n"))
     )
+    ranks = stage(running_sums(sides, "v", {"n": "n", "d": "1L"}, ["side"]))
+    rank = "n_before + (n + 1) / 2D"
+    ra = ranks.where("side = 'a'").selectExpr("v AS a", f"{rank} AS ra")
+    rb = ranks.where("side = 'b'").selectExpr("v AS b", f"{rank} AS rb", "d_before AS dense", "d_total")
     joined = stage(cells.join(ra, "a").join(rb, "b"))
     bits = "sequence(0, greatest(0, CAST(ceil(log2(greatest(d_total, 2))) AS INT) - 1))"
     levels = joined.selectExpr("a", "n", "dense", f"explode({bits}) AS lvl").selectExpr(
@@ -156,34 +154,30 @@ def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
         "CASE WHEN shiftright(dense, lvl) % 2 = 1 THEN n ELSE 0L END AS ones",
         "CASE WHEN shiftright(dense, lvl) % 2 = 0 THEN n ELSE 0L END AS zeros",
     )
-    discordant = (
-        running_sums(levels, "a", {"ones": "ones", "zeros": "zeros"}, ["lvl", "head"])
-        .selectExpr("sum(CAST(zeros AS DOUBLE) * ones_before) AS d")
-        .first()["d"]
-        or 0.0
-    )
-    pair = "CAST({0} AS DOUBLE) * ({0} - 1) / 2"
-    ties = {
-        "tx": ra.selectExpr(f"sum({pair.format('na')})").first()[0] or 0.0,
-        "ty": rb.selectExpr(f"sum({pair.format('nb')})").first()[0] or 0.0,
-        "txy": cells.selectExpr(f"sum({pair.format('n')})").first()[0] or 0.0,
-    }
-    base = joined.selectExpr(
-        "n", "ra", "rb"
-    ).selectExpr(
-        "sum(n) AS n", "sum(n * ra) AS sa", "sum(n * rb) AS sb", "sum(n * ra * ra) AS saa",
-        "sum(n * rb * rb) AS sbb", "sum(n * ra * rb) AS sab",
-    ).first()
-    n = base["n"] or 0
+    along = running_sums(levels, "a", {"ones": "ones", "zeros": "zeros"}, ["lvl", "head"])
+    pairs = "sum(CAST(n AS DOUBLE) * (n - 1) / 2)"
+    parts = [
+        along.selectExpr("'discordant' AS k", "sum(CAST(zeros AS DOUBLE) * ones_before) AS v"),
+        ranks.groupBy(F.expr("concat('ties_', side) AS k")).agg(F.expr(f"{pairs} AS v")),
+        joined.selectExpr(
+            "CAST(sum(n) AS DOUBLE) AS n", f"{pairs} AS both", "sum(n * ra) AS sa", "sum(n * rb) AS sb",
+            "sum(n * ra * ra) AS saa", "sum(n * rb * rb) AS sbb", "sum(n * ra * rb) AS sab",
+        ).selectExpr("stack(7, 'n', n, 'both', both, 'sa', sa, 'sb', sb, 'saa', saa, 'sbb', sbb, 'sab', sab) AS (k, v)"),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sums = {r["k"]: r["v"] or 0.0 for r in found.collect()}
+    n = int(sums["n"])
     spearman = kendall = None
     if n > 1:
-        cov = base["sab"] / n - base["sa"] / n * base["sb"] / n
-        va = base["saa"] / n - (base["sa"] / n) ** 2
-        vb = base["sbb"] / n - (base["sb"] / n) ** 2
+        cov = sums["sab"] / n - sums["sa"] / n * sums["sb"] / n
+        va = sums["saa"] / n - (sums["sa"] / n) ** 2
+        vb = sums["sbb"] / n - (sums["sb"] / n) ** 2
         spearman = cov / (va * vb) ** 0.5 if va > 0 and vb > 0 else None
         total = n * (n - 1) / 2
-        concordant = total - ties["tx"] - ties["ty"] + ties["txy"] - discordant
-        width = ((total - ties["tx"]) * (total - ties["ty"])) ** 0.5
+        apart_a, apart_b = total - sums["ties_a"], total - sums["ties_b"]
+        discordant = sums["discordant"]
+        concordant = apart_a - sums["ties_b"] + sums["both"] - discordant
+        width = (apart_a * apart_b) ** 0.5
         kendall = (concordant - discordant) / width if width else None
     return local_table(
         df.sparkSession, [(n, spearman, kendall)], "n bigint, spearman double, kendall double"

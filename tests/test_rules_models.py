@@ -416,3 +416,15 @@ def test_importance_is_one_row_per_feature(low):
     assert importance(phi).count() == 3
     experiment = run_experiment(low, FEATURES, "c", LIMITS, n_folds=3, rank_scaled=False)
     assert experiment.info["positives"] > 0
+
+
+def test_rank_agreement_takes_a_fixed_number_of_jobs(spark):
+    def jobs(n):
+        df = table(spark, list(zip(lcg(n, 3), lcg(n, 4))), "a double, b double")
+        spark.sparkContext.setJobGroup(f"agreement-{n}", "")
+        rank_agreement(df, "a", "b")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"agreement-{n}"))
+
+    small, large = jobs(20), jobs(2_000)
+    assert large <= small + 2
