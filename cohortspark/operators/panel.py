@@ -41,7 +41,11 @@ def map_items(obs: DataFrame, item_map: DataFrame, cols: Obs = Obs()) -> DataFra
 
 
 def lookback(
-    obs: DataFrame, days: int | None, cols: Obs = Obs(), anchor: DataFrame | None = None
+    obs: DataFrame,
+    days: int | None,
+    cols: Obs = Obs(),
+    anchor: DataFrame | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Observations at most ``days`` before the subject's latest one.
 
@@ -50,6 +54,8 @@ def lookback(
     keys keep its partitioning apart from the grouping that follows, so adaptive
     execution may split a subject that holds a large part of the rows; a window over
     the subject could not be split. Rows without a subject are left out.
+    ``colocated=True``, for tables bucketed by subject without hot ones, joins on the
+    subject itself, so nothing moves.
     """
     if days is None:
         return obs
@@ -63,7 +69,8 @@ def lookback(
             q(cols.subject), "anchor_time AS __end"
         )
     present = f"{q(cols.subject)} IS NOT NULL"
-    joined = null_safe(obs.where(present), end.where(present), [cols.subject])
+    sides = obs.where(present), end.where(present)
+    joined = sides[0].join(sides[1], cols.subject) if colocated else null_safe(*sides, [cols.subject])
     floor = f"__end - make_dt_interval({int(days)})"
     keep = f"{q(cols.time)} >= {floor}"
     if anchor is not None:
@@ -121,25 +128,31 @@ def feature_frame(
     cols: Obs = Obs(),
     stats: Sequence[str] = STATS,
     anchor: DataFrame | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Observations to one row per subject: map items, look back, aggregate, pivot."""
     require_columns(obs, [cols.subject, cols.item, cols.value], "observations")
     named = map_items(obs, item_map, cols)
-    recent = lookback(named, lookback_days, cols, anchor)
+    recent = lookback(named, lookback_days, cols, anchor, colocated)
     long = item_stats(recent, [cols.subject, "feature"], cols.value, stats)
     return pivot_stats(long, features, [cols.subject], stats)
 
 
 def add_hours(
-    obs: DataFrame, anchors: DataFrame, key: str | Sequence[str], time: str, anchor_time: str
+    obs: DataFrame,
+    anchors: DataFrame,
+    key: str | Sequence[str],
+    time: str,
+    anchor_time: str,
+    colocated: bool = False,
 ) -> DataFrame:
     """Left join the anchor time and add ``hours`` since it; an encounter with very
-    many rows may be split as in ``lookback``."""
+    many rows may be split, and bucketed tables need not move, as in ``lookback``."""
     keys = [key] if isinstance(key, str) else list(key)
     named = anchors.select(*keys, anchor_time).where(
         " AND ".join(f"{q(k)} IS NOT NULL" for k in keys)
     )
-    joined = null_safe(obs, named, keys, "left")
+    joined = obs.join(named, keys, "left") if colocated else null_safe(obs, named, keys, "left")
     joined = as_timestamp(as_timestamp(joined, time), anchor_time)
     return joined.withColumn("hours", hours_between(joined, anchor_time, time))
 
@@ -154,11 +167,12 @@ def anchored_features(
     hours: tuple[float, float] = (0.0, 24.0),
     cols: Obs = Obs(),
     stats: Sequence[str] = STATS,
+    colocated: bool = False,
 ) -> DataFrame:
     """Statistics of the observations in a band of hours around each encounter's
     anchor, one row per encounter, for all encounters in one job."""
     named = obs if item_map is None else map_items(obs, item_map, cols)
-    timed = add_hours(named, anchors, encounter, cols.time, anchor_time)
+    timed = add_hours(named, anchors, encounter, cols.time, anchor_time, colocated)
     inside = timed.where(within_hours(F.col("hours"), *hours))
     long = item_stats(inside, [encounter, "feature"], cols.value, stats)
     return pivot_stats(long, features, [encounter], stats)

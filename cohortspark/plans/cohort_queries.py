@@ -24,6 +24,7 @@ from ..operators.panel import Obs, anchored_features, feature_frame, min_tests,
 from ..operators.prepare import Imputer, Scaler
 from ..operators.views import encounter_view, fact_view, observation_view, star_view
 from ..session import local_table, shared_folder, stage
+from ..sources.bucketed import save_bucketed
 from ..sources.sinks import extract_tables
 from ..sources.tables import inventory, read_table
 from . import bindings as b
@@ -375,6 +376,22 @@ def anchor_window(spark, sf):
     )
 
 
+@query(
+    "bucketed_anchor_window",
+    f"WITH {TIMED} SELECT hadm_id, {_anchor_cells()} FROM timed WHERE hours BETWEEN 0 AND 1440 GROUP BY hadm_id",
+)
+def bucketed_anchor_window(spark, sf):
+    """The anchored features from observations and encounters that are stored by encounter."""
+    name = uuid.uuid4().hex
+    anchors = save_bucketed(b.admissions(spark, sf), f"stays_{name}", ["hadm_id"], split_hot=False).even
+    stored = save_bucketed(b.shipments(spark, sf), f"lines_{name}", ["hadm_id"])
+    return stored.apply(
+        lambda part, colocated: anchored_features(
+            part, anchors, None, _FLAGS, hours=(0.0, 1440.0), colocated=colocated
+        )
+    )
+
+
 TIMELINE = (
     f"WITH {MATCHED}, {TIMED}, line AS (SELECT m.cohort, t.hours FROM timed t JOIN"
     " (SELECT DISTINCT cohort, subject_id FROM matched) m ON m.subject_id = t.subject_id"

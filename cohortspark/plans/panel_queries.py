@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.times import as_timestamp
@@ -10,6 +12,7 @@ from ..operators.panel import (
     STATS,
     clean_observations,
     derived_features,
+    feature_frame,
     item_stats,
     lookback,
     map_items,
@@ -31,6 +34,7 @@ from ..operators.profile import (
 from ..operators.selection import f_scores, mutual_information
 from ..operators.thresholds import QuantileFlags, RangeFlags
 from ..session import stage
+from ..sources.bucketed import save_bucketed
 from ..sources.tables import only_items
 from . import bindings as b
 from .experiment import evaluate_flags
@@ -71,6 +75,16 @@ def panel_lookback_pivot(spark, sf):
     return b.panel(spark, sf, 2)
 
 
+@query("bucketed_lookback", f"WITH {panel_sql(2)} {_shown(COLUMNS, 'panel', False)}")
+def bucketed_lookback(spark, sf):
+    """The look-back panel from events that are stored by user."""
+    stored = save_bucketed(b.events(spark, sf), f"events_{uuid.uuid4().hex}", ["user_id"])
+    items = b.event_items(spark)
+    return stored.apply(
+        lambda part, colocated: feature_frame(part, items, b.EVENT_TYPES, 2, b.PANEL, colocated=colocated)
+    )
+
+
 @query("panel_all_time", f"WITH {panel_sql(None)} {_shown(COLUMNS, 'panel', False)}")
 def panel_all_time(spark, sf):
     return b.panel(spark, sf, None)
