@@ -65,8 +65,79 @@ def cohort_encounters(
     return match_codes(facts, rules, **match).select("cohort", subject, encounter).distinct()
 
 
-def _cohort_list(df: DataFrame, rules: Sequence[CodeRule]) -> DataFrame:
-    return local_table(df.sparkSession, [(c,) for c in sorted({r.cohort for r in rules})], "cohort string")
+def cohort_stays(
+    facts: DataFrame,
+    rules: Sequence[CodeRule],
+    subject: str = "subject_id",
+    encounter: str = "hadm_id",
+    **match,
+) -> DataFrame:
+    """(cohort, subject, encounter, facts), written once: what counts, availability and missingness need of
+    the matching facts."""
+    matched = match_codes(facts, rules, **match)
+    return stage(matched.groupBy("cohort", subject, encounter).agg(F.expr("count(1) AS facts")))
+
+
+# Bitmaps pay while the ids of a column spread over at most this many times their number.
+BITMAP_SPREAD = 128
+
+
+def distinct_counts(df: DataFrame, columns: Mapping[str, str], by: Sequence[str]) -> DataFrame:
+    """Exact numbers of distinct non-null values per group: one column of ``columns`` (result name to
+    column) each.
+
+    Integer ids that lie densely are set as bits of bitmaps of 32 768 ids, so a task sends at most 4 kB
+    for each of these ranges and group, whatever the rows. Sparse ids and other types are grouped. Neither way
+    multiplies the rows by the columns before they are combined. ``df`` is scanned once
+    for the spread and once for each way; ``stage`` it if it is costly.
+    """
+    by = list(by)
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    integral = [n for n, c in columns.items() if kinds[c] in whole]
+    dense = []
+    if integral:
+        span = df.selectExpr(
+            "count(1) AS rows",
+            *[f"CAST(max({q(columns[n])}) AS DOUBLE) - min({q(columns[n])}) AS s{i}" for i, n in enumerate(integral)],
+        ).first()
+        dense = [n for i, n in enumerate(integral) if (span[f"s{i}"] or 0) <= BITMAP_SPREAD * span["rows"]]
+    parts = []
+    if dense:
+        ids = ", ".join(f"struct({text(n)} AS name, CAST({q(columns[n])} AS BIGINT) AS id)" for n in dense)
+        parts.append(
+            df.selectExpr(*qs(by), f"inline(array({ids}))")
+            .where("id IS NOT NULL")
+            .groupBy(*by, "name", F.expr("bitmap_bucket_number(id) AS bucket"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(id)) AS bits"))
+            .groupBy(*by, "name")
+            .agg(F.expr("sum(bitmap_count(bits)) AS n"))
+        )
+    for n in columns:
+        if n not in dense:
+            known = df.where(f"{q(columns[n])} IS NOT NULL").groupBy(*by, columns[n]).agg(F.lit(1).alias("one"))
+            parts.append(known.groupBy(*by).agg(F.expr("count(1) AS n")).selectExpr(*qs(by), f"{text(n)} AS name", "n"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy(*by).agg(
+        *[F.expr(f"coalesce(max(CASE WHEN name = {text(n)} THEN n END), 0) AS {q(n)}") for n in columns]
+    )
+
+
+def stay_counts(
+    stays: DataFrame, cohorts: Sequence[str], subject: str = "subject_id", encounter: str = "hadm_id"
+) -> DataFrame:
+    """(cohort, subjects, encounters, facts) from ``cohort_stays``; cohorts without facts have zeros."""
+    every = local_table(stays.sparkSession, [(c,) for c in sorted(set(cohorts))], "cohort string")
+    sizes = stays.groupBy("cohort").agg(F.expr("sum(facts) AS facts"))
+    people = distinct_counts(stays, {"subjects": subject, "encounters": encounter}, ["cohort"])
+    return (
+        every.join(people, "cohort", "left")
+        .join(sizes, "cohort", "left")
+        .na.fill(0)
+        .select("cohort", "subjects", "encounters", "facts")
+    )
 
 
 def cohort_counts(
@@ -77,15 +148,17 @@ def cohort_counts(
     approx: bool = False,
     **match,
 ) -> DataFrame:
-    """(cohort, subjects, encounters, facts); cohorts without facts have zeros."""
-    matched = match_codes(facts, rules, **match)
-    count = "approx_count_distinct({})" if approx else "count(DISTINCT {})"
-    found = matched.groupBy("cohort").agg(
-        F.expr(f"{count.format(q(subject))} AS subjects"),
-        F.expr(f"{count.format(q(encounter))} AS encounters"),
+    """(cohort, subjects, encounters, facts); cohorts without facts have zeros. One pass over the facts."""
+    cohorts = sorted({r.cohort for r in rules})
+    if not approx:
+        return stay_counts(cohort_stays(facts, rules, subject, encounter, **match), cohorts, subject, encounter)
+    found = match_codes(facts, rules, **match).groupBy("cohort").agg(
+        F.expr(f"approx_count_distinct({q(subject)}) AS subjects"),
+        F.expr(f"approx_count_distinct({q(encounter)}) AS encounters"),
         F.expr("count(1) AS facts"),
     )
-    return _cohort_list(facts, rules).join(found, "cohort", "left").na.fill(0)
+    every = local_table(facts.sparkSession, [(c,) for c in cohorts], "cohort string")
+    return every.join(found, "cohort", "left").na.fill(0)
 
 
 def demographics(

@@ -257,13 +257,15 @@ MISSING = (
 )
 
 
-def _test_counts(spark, sf):
-    facts = b.facts(spark, sf)
-    return stage(profile.test_counts(facts, profile.cohort_encounters(facts, RULES)))
+def _stays_and_tests(spark, sf):
+    """Cohort stays and their test counts; the joined facts are built once."""
+    facts = stage(b.facts(spark, sf).select("subject_id", "hadm_id", "icd_code", "icd_version", "feature"))
+    stays = profile.cohort_stays(facts, RULES)
+    return stays, stage(profile.test_counts(facts, stays))
 
 
 def _missing(spark, sf):
-    return profile.missingness(_test_counts(spark, sf), b.COHORTS, b.BRANDS)
+    return profile.missingness(_stays_and_tests(spark, sf)[1], b.COHORTS, b.BRANDS)
 
 
 @query(
@@ -272,7 +274,8 @@ def _missing(spark, sf):
     f" {r('mean_tests', 'mean_tests')}, {r('median_tests', 'median_tests')} FROM availability",
 )
 def availability_query(spark, sf):
-    return profile.availability(_test_counts(spark, sf), cohort_counts_query(spark, sf))
+    stays, tests = _stays_and_tests(spark, sf)
+    return profile.availability(tests, profile.stay_counts(stays, b.COHORTS))
 
 
 @query(

@@ -9,7 +9,7 @@ from cohortspark.functions.numbers import t_two_sided
 from cohortspark.operators import profile
 from cohortspark.sources import CodeRule
 
-from helpers import column, table
+from helpers import column, plan, table
 
 RULES = [CodeRule("a", "9", "1"), CodeRule("b", "9", "2"), CodeRule("none", "9", "7")]
 FACTS = [(1, 10, "11", 9), (1, 11, "12", 9), (2, 20, "1", 9), (2, 20, "2", 9), (3, 30, "3", 9)]
@@ -113,3 +113,27 @@ def test_p_value_against_numerical_integration(spark):
         assert abs(r["p"] - (1 - 2 * inside * ratio / math.sqrt(math.pi))) < 1e-9
     edge = table(spark, [(0.0, 3.0), (None, 3.0), (1.0, None)], "t double, dof double")
     assert [r[0] for r in edge.selectExpr(t_two_sided("t", "dof")).collect()] == [1.0, None, None]
+
+
+@pytest.mark.parametrize("spread", [128, 0])
+def test_distinct_counts(spark, monkeypatch, spread):
+    monkeypatch.setattr(profile, "BITMAP_SPREAD", spread)
+    rows = [(i % 3, i * 7 % 400 - 50, f"s{i % 11}", i * 10**12) for i in range(900)]
+    rows += [(None, 70_000, None, 5), (5, None, None, None), (0, None, "s1", 3)]
+    df = table(spark, rows, "g int, id bigint, name string, wide bigint")
+    found = profile.distinct_counts(df, {"ids": "id", "names": "name", "far": "wide"}, ["g"])
+    got = {r["g"]: (r["ids"], r["names"], r["far"]) for r in found.collect()}
+    for g in {r[0] for r in rows} - {5}:
+        assert got[g] == tuple(len({r[i] for r in rows if r[0] == g and r[i] is not None}) for i in (1, 2, 3))
+    assert 5 not in got  # a group without any value
+    text = plan(found)
+    assert "Expand" not in text and ("bitmap_construct_agg" in text) == (spread > 0)
+
+
+def test_counts_build_the_facts_once(spark, tmp_path):
+    rows = [(1, 10, "M05", 10), (1, 11, "M05", 10), (2, 12, "M06", 10), (2, 12, "M05", 10), (3, 13, "Z", 10)]
+    table(spark, rows, "subject_id bigint, hadm_id bigint, icd_code string, icd_version int").write.parquet(f"{tmp_path}/f")
+    rules = [CodeRule("ra", "10", "M0"), CodeRule("none", "10", "Q")]
+    found = profile.cohort_counts(spark.read.parquet(f"{tmp_path}/f"), rules)
+    assert {tuple(r) for r in found.collect()} == {("ra", 2, 3, 4), ("none", 0, 0, 0)}
+    assert f"{tmp_path}/f" not in plan(found)
