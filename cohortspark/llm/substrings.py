@@ -1,16 +1,20 @@
 """Removal of repeated passages with suffix arrays per shard.
 
 A byte goes if it lies in a string of ``least`` bytes that also starts in a document of smaller id.
-Texts are packed once into compressed blocks of bounded size, one row each, in a written table.
-Blocks then talk to shards in compressed messages, twice:
+Texts are packed once into compressed blocks of bounded size, one row each, in a written table. Then:
 
 1. *Which strings can repeat?* Of every ``least`` bytes in a row, the piece of ``GRAM`` bytes with the least hash is
-   an anchor; equal strings have equal anchors. Blocks send the sorted hashes of their
-   anchors, by hash range, and learn which occur in two documents anywhere.
+   an anchor; equal strings have equal anchors. Each different anchor of a block is a row; a window over
+   the anchor's hash keeps those of two documents, and these go back to their blocks. The rows
+   are in proportion to the bytes, and a window of many rows may spill.
 2. *Which do?* For such an anchor a block sends the bytes around it, as far as strings with this
-   anchor reach, to the anchor's shard. The shard joins the distinct ones to one text and sorts its
-   suffixes by Larsson-Sadakane refinement, as deep as ``least`` bytes; common prefixes
-   of neighbours in that order give the runs of equal strings, and each run its smallest id.
+   anchor reach, in one compressed message for each shard of anchors. The shard combines equal ones byte by
+   byte. A string of ``least`` bytes reaches half of the rest or more to one side of its
+   anchor, so bytes that are like no others on either side repeat nothing else and need no order. The shard joins
+   what remains to one text and sorts its suffixes by Larsson-Sadakane refinement, as deep as ``least``
+   bytes; common prefixes of neighbours in that order give the runs of equal strings, and each
+   run its smallest id. A block meets at most ``FAN`` shards until there are ``FAN * REACH`` blocks, and
+   beyond that one for every ``REACH`` blocks, so messages stay large.
 
 An anchor met more than ``crowd`` times has no single shard. Its strings stay in their blocks, sorted;
 every block sends each different one once, with its smallest id in the block, and shards by ranges of
@@ -23,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, inputs, stage
@@ -32,6 +36,11 @@ by_value(__name__)
 
 GRAM = 16
 NO_ID = -(1 << 63)
+# Shards that any block may meet, and the blocks for each shard beyond that.
+FAN, REACH = 512, 16
+# Bytes whose hashes are made at once; arrays of this many stay in a processor's cache.
+PIECE = 1 << 15
+ANCHOR = "anchor long, block long, found int"
 MESSAGE = "shard long, block long, kind int, payload binary"
 ANSWER = "block long, shard long, kind int, payload binary"
 CONTEXTS, STRINGS, MEMO = 0, 1, 2
@@ -109,13 +118,26 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 def anchors(block: Block, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of all strings of ``least`` bytes."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    margin = least - GRAM
+    for begin in range(0, len(block.data), PIECE):
+        low, high = max(0, begin - margin), min(len(block.data), begin + PIECE + least - 1)
+        ends = block.ends[np.searchsorted(block.ends, low, side="right") : np.searchsorted(block.ends, high)]
+        at, hashes = anchors_of_piece(block.data[low:high], ends - low, least)
+        own = slice(*np.searchsorted(at, [begin - low, begin - low + PIECE]))
+        found.append((at[own] + low, hashes[own]))
+    return np.concatenate([at for at, _ in found]), np.concatenate([hashes for _, hashes in found])
+
+
+def anchors_of_piece(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the strings that lie in ``data``; ``ends`` are the ends of documents inside it."""
     width = least - GRAM + 1
-    hashes = rolling(block.data, GRAM)
+    hashes = rolling(data, GRAM)
     if len(hashes) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes |= np.uint64(1)
     lowest = sliding(hashes, width, True)
-    for end in block.ends[:-1].tolist():
+    for end in ends.tolist():
         # Strings over the end of a document are none.
         lowest[max(0, end - least + 1) : end] = 0
     edge = np.zeros(width - 1, np.uint64)
@@ -209,14 +231,46 @@ def smallest_of_equal(rows: np.ndarray, docs: np.ndarray, least: int) -> np.ndar
     return out
 
 
+def as_words(rows: np.ndarray) -> np.ndarray:
+    """Rows of 16-bit symbols as rows of 64-bit numbers, filled up with zeros."""
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 4)))).view(np.uint64)
+
+
 def row_hash(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for i in range(rows.shape[1]):
-        out = (out ^ rows[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    words = as_words(rows)
+    out = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        out = (out ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return out
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each different row, and for every row the number of its like.
+
+    Rows are grouped by a hash and compared in full; should two of one hash differ, all are sorted.
+    """
+    _, chosen, inverse = np.unique(row_hash(rows), return_index=True, return_inverse=True)
+    if not np.array_equal(rows[chosen][inverse], rows):
+        _, chosen, inverse = np.unique(as_words(rows), axis=0, return_index=True, return_inverse=True)
+    return chosen, inverse.reshape(-1)
+
+
+def with_rivals(contexts: np.ndarray, least: int) -> np.ndarray:
+    """Which of these different contexts may share a string of ``least`` bytes with another.
+
+    Such a string holds the anchor and, to its left or right, at least half of the bytes besides; so
+    the others are like no context in either half.
+    """
+    before = least - GRAM
+    half = -(-before // 2)
+    out = np.zeros(len(contexts), bool)
+    for part in (contexts[:, before - half : before + GRAM], contexts[:, before : before + GRAM + half]):
+        _, inverse, times = np.unique(row_hash(part), return_inverse=True, return_counts=True)
+        out |= times[inverse] > 1
+    return out
+
+
 def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """(block, message, bytes): documents in rows of about ``block_bytes``."""
 
@@ -247,9 +301,9 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, message binary, bytes long")
 
 
-def slices(values: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where each shard's range begins in sorted values of ``bits`` bits."""
-    edges = [(s << bits) // shards for s in range(1, shards)]
+def slices(values: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's range begins in sorted 64-bit values."""
+    edges = [(s << 64) // shards for s in range(1, shards)]
     return np.concatenate([[0], np.searchsorted(values, np.array(edges, np.uint64)), [len(values)]]).astype(np.int64)
 
 
@@ -277,63 +331,52 @@ def remove_repeats(
     An empty table gives no rows. ``least`` is more than the anchor's 16 bytes.
     """
     blocks = stage(pack_blocks(inputs(docs, "documents", doc_id=doc_id, text=text), block_bytes))
-    total, count = blocks.agg(F.sum("bytes"), F.count("*")).first()
-    total, shards = total or 0, max(1, count or 0)
-    bits = min(64, int(total).bit_length() + 12)
+    count = blocks.count()
+    shards = max(1, min(count, max(FAN, count // REACH)))
     before, width = least - GRAM, 2 * least - GRAM
 
     def sorted_anchors(block):
+        """Positions and hashes of anchors, by hash; mixed anew, as least hashes fill no range evenly."""
         at, hashes = anchors(block, least)
-        # Anchors are least hashes; mixed anew they fill the shards' ranges evenly.
         mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        keys = mixed >> np.uint64(64 - bits)
-        by = np.argsort(keys, kind="stable")
-        return at[by], hashes[by], keys[by]
+        by = np.argsort(mixed, kind="stable")
+        return at[by], mixed[by]
 
     def ask(batches):
         for batch in batches:
             for number, message in zip(batch.column(0), batch.column(1)):
                 block = Block(message.as_py())
-                at, _, keys = sorted_anchors(block)
+                at, keys = sorted_anchors(block)
                 if not len(keys):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 owner = block.ids[block.document_of(at)]
                 many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-                times = np.diff(np.concatenate([first, [len(keys)]])).astype(np.uint32)
-                keys = keys[first]
-                cut = slices(keys, bits, shards)
-                rows = []
-                for s in np.flatnonzero(np.diff(cut)).tolist():
-                    own = slice(cut[s], cut[s + 1])
-                    rows.append((s, number.as_py(), 0, packed(np.diff(keys[own], prepend=np.uint64(0)), many[own], times[own])))
-                yield from table_of(rows, OUT).to_batches()
-
-    def which_repeat(table):
-        parts = [unpacked(m.as_py(), np.uint64, bool, np.uint32) for m in table.column("payload")]
-        keys = np.concatenate([np.cumsum(p[0]) for p in parts])
-        values, inverse, seen = np.unique(keys, return_inverse=True, return_counts=True)
-        many = seen > 1
-        np.logical_or.at(many, inverse, np.concatenate([p[1] for p in parts]))
-        times = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(values))
-        verdict = (many * np.where(times > crowd, 2, 1)).astype(np.uint8)[inverse]
-        ends = np.cumsum([len(p[0]) for p in parts])
-        rows = [
-            (b.as_py(), s.as_py(), 0, packed(verdict[e - len(p[0]) : e]))
-            for b, s, e, p in zip(table.column("block"), table.column("shard"), ends, parts)
-        ]
-        return table_of(rows, BACK)
+                times = np.diff(np.concatenate([first, [len(keys)]]))
+                # Twice the times that it was met, one more if by several documents.
+                found = (2 * times + many).astype(np.int32)
+                yield from pa.table({
+                    "anchor": keys[first].view(np.int64), "block": np.full(len(first), number.as_py()), "found": found,
+                }).to_batches(1 << 14)
+
+    def repeated(asked):
+        """(block, anchor, crowded) of the anchors of two documents."""
+        alike = Window.partitionBy("anchor")
+        several = (F.count("*").over(alike) > 1) | (F.max(F.col("found") % 2).over(alike) == 1)
+        times = F.sum(F.shiftright("found", 1)).over(alike)
+        return asked.select("block", "anchor", several.alias("several"), (times > crowd).alias("crowded")).filter("several").drop("several")
 
     def send(own, verdicts):
         if not own.num_rows or not verdicts.num_rows:
             return table_of([], OUT)
         number, block = own.column("block")[0].as_py(), Block(own.column("message")[0].as_py())
-        at, hashes, keys = sorted_anchors(block)
-        by_shard = sorted(zip(verdicts.column("shard").to_pylist(), verdicts.column("payload").to_pylist()))
-        verdict = np.concatenate([unpacked(m, np.uint8)[0] for _, m in by_shard])
-        distinct = np.concatenate([[True], keys[1:] != keys[:-1]])
-        verdict = verdict[np.cumsum(distinct) - 1]
+        at, keys = sorted_anchors(block)
+        told = verdicts.column("anchor").to_numpy().view(np.uint64)
+        by = np.argsort(told)
+        told, crowds = told[by], verdicts.column("crowded").to_numpy(zero_copy_only=False)[by]
+        spot = np.minimum(np.searchsorted(told, keys), len(told) - 1)
+        verdict = np.where(told[spot] == keys, 1 + crowds[spot], 0)
         rows = []
         near = np.flatnonzero(verdict == 1)
         if len(near):
@@ -342,14 +385,14 @@ def remove_repeats(
             grid = place[:, None] - before + np.arange(width)[None, :]
             inside = (grid >= block.starts[document][:, None]) & (grid < block.ends[document][:, None])
             symbols = np.where(inside, block.data[np.clip(grid, 0, len(block.data) - 1)].astype(np.uint16) + 1, 0).astype(np.uint16)
-            cut = slices(key, bits, shards)
+            cut = slices(key, shards)
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
                 rows.append((s, number, CONTEXTS, packed(symbols[part], block.ids[document[part]], place[part].astype(np.uint32))))
         crowded = np.sort(at[verdict == 2])
         if len(crowded):
             strings, lowest, _ = crowded_strings(block, crowded)
-            cut = slices(strings, 64, shards)
+            cut = slices(strings, shards)
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
                 rows.append((s, number, STRINGS, packed(np.diff(strings[part], prepend=np.uint64(0)), lowest[part])))
@@ -378,17 +421,24 @@ def remove_repeats(
             parts = [unpacked(messages[i].as_py(), np.uint16, np.int64, np.uint32) for i in own]
             contexts = np.concatenate([p[0] for p in parts]).reshape(-1, width)
             ids, places = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-            _, chosen, inverse = np.unique(row_hash(contexts), return_index=True, return_inverse=True)
+            chosen, inverse = distinct_rows(contexts)
             lowest = np.full(len(chosen), np.iinfo(np.int64).max)
             np.minimum.at(lowest, inverse, ids)
-            smallest = smallest_of_equal(contexts[chosen], lowest, least)
+            texts = contexts[chosen]
+            filled = np.cumsum(np.pad(texts != 0, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+            whole_string = filled[:, least:] - filled[:, : width - least + 1] == least
+            smallest = np.where(whole_string, lowest[:, None], np.iinfo(np.int64).max)
+            rivals = np.flatnonzero(with_rivals(texts, least))
+            if len(rivals):
+                smallest[rivals] = smallest_of_equal(texts[rivals], lowest[rivals], least)
+            least_id = smallest.min(axis=1)
             ends = np.cumsum([len(p[1]) for p in parts])
             for i, end, p in zip(own, ends, parts):
                 mine = slice(end - len(p[1]), end)
-                gone = smallest[inverse[mine]] < ids[mine][:, None]
-                hit = np.flatnonzero(gone.any(axis=1))
+                hit = np.flatnonzero(least_id[inverse[mine]] < ids[mine])
                 if len(hit):
-                    gone, place = gone[hit], places[mine][hit].astype(np.int64) - before
+                    gone = smallest[inverse[mine][hit]] < ids[mine][hit][:, None]
+                    place = places[mine][hit].astype(np.int64) - before
                     begin = place + gone.argmax(axis=1)
                     end_ = place + gone.shape[1] - 1 - gone[:, ::-1].argmax(axis=1) + least
                     by = np.argsort(begin, kind="stable")
@@ -445,7 +495,7 @@ def remove_repeats(
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     whole = blocks.select("block", "message")
-    verdicts = whole.mapInArrow(ask, MESSAGE).groupBy("shard").applyInArrow(which_repeat, ANSWER)
+    verdicts = repeated(whole.mapInArrow(ask, ANCHOR))
     sent = whole.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(send, MESSAGE)
     judged = sent.groupBy("shard").applyInArrow(judge, ANSWER)
     return (
