@@ -46,13 +46,13 @@ ANSWER = "block long, shard long, kind int, payload binary"
 CONTEXTS, STRINGS, MEMO = 0, 1, 2
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed message; bytes of equal weight stand together."""
     import zstandard
 
     head = np.array([len(arrays)] + [x for a in arrays for x in (a.dtype.itemsize, a.size)], "<i8").tobytes()
     body = b"".join(np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + body)
+    return zstandard.ZstdCompressor(level=level).compress(head + body)
 
 
 def unpacked(message: bytes, *types) -> list[np.ndarray]:
@@ -280,7 +280,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def flush():
             lengths = np.array([len(t) for t in texts], np.int64)
-            message = packed(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8))
+            message = packed(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8), level=9)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([message], pa.binary()), pa.array([size], pa.int64())],
                 ["block", "message", "bytes"],
@@ -301,10 +301,15 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, message binary, bytes long")
 
 
-def slices(values: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range begins in sorted 64-bit values."""
-    edges = [(s << 64) // shards for s in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(values, np.array(edges, np.uint64)), [len(values)]]).astype(np.int64)
+def slices(values: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's range begins in sorted values of ``bits`` bits."""
+    edges = [(s << bits) // shards for s in range(1, shards)]
+    return np.concatenate([[0], np.searchsorted(values, np.array(edges, values.dtype)), [len(values)]]).astype(np.int64)
+
+
+def shard_count(blocks: int) -> int:
+    """Shards of anchors: as many as blocks, but so few that a block's messages stay large."""
+    return max(1, min(blocks, max(FAN, blocks // REACH)))
 
 
 def table_of(rows, names) -> pa.Table:
@@ -331,17 +336,20 @@ def remove_repeats(
     An empty table gives no rows. ``least`` is more than the anchor's 16 bytes.
     """
     blocks = stage(pack_blocks(inputs(docs, "documents", doc_id=doc_id, text=text), block_bytes))
-    count = blocks.count()
-    shards = max(1, min(count, max(FAN, count // REACH)))
+    total, count = blocks.agg(F.sum("bytes"), F.count("*")).first()
+    # So many bits that few anchors share a hash; each that does only costs a look at its surroundings.
+    bits = min(63, int(total or 0).bit_length() + 12)
+    shards = shard_count(count)
     before, width = least - GRAM, 2 * least - GRAM
 
     def sorted_anchors(block):
-        """Positions and hashes of anchors, by hash; mixed anew, as least hashes fill no range evenly."""
+        """Positions and shortened hashes of anchors, by hash; mixed anew, as least hashes fill no range evenly."""
         at, hashes = anchors(block, least)
         mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        by = np.argsort(mixed, kind="stable")
-        return at[by], mixed[by]
+        keys = (mixed >> np.uint64(64 - bits)).view(np.int64)
+        by = np.argsort(keys, kind="stable")
+        return at[by], keys[by]
 
     def ask(batches):
         for batch in batches:
@@ -357,7 +365,7 @@ def remove_repeats(
                 # Twice the times that it was met, one more if by several documents.
                 found = (2 * times + many).astype(np.int32)
                 yield from pa.table({
-                    "anchor": keys[first].view(np.int64), "block": np.full(len(first), number.as_py()), "found": found,
+                    "anchor": keys[first], "block": np.full(len(first), number.as_py()), "found": found,
                 }).to_batches(1 << 14)
 
     def repeated(asked):
@@ -372,7 +380,7 @@ def remove_repeats(
             return table_of([], OUT)
         number, block = own.column("block")[0].as_py(), Block(own.column("message")[0].as_py())
         at, keys = sorted_anchors(block)
-        told = verdicts.column("anchor").to_numpy().view(np.uint64)
+        told = verdicts.column("anchor").to_numpy()
         by = np.argsort(told)
         told, crowds = told[by], verdicts.column("crowded").to_numpy(zero_copy_only=False)[by]
         spot = np.minimum(np.searchsorted(told, keys), len(told) - 1)
@@ -385,14 +393,15 @@ def remove_repeats(
             grid = place[:, None] - before + np.arange(width)[None, :]
             inside = (grid >= block.starts[document][:, None]) & (grid < block.ends[document][:, None])
             symbols = np.where(inside, block.data[np.clip(grid, 0, len(block.data) - 1)].astype(np.uint16) + 1, 0).astype(np.uint16)
-            cut = slices(key, shards)
+            cut = slices(key, bits, shards)
             for s in np.flatnonzero(np.diff(cut)).tolist():
-                part = slice(cut[s], cut[s + 1])
-                rows.append((s, number, CONTEXTS, packed(symbols[part], block.ids[document[part]], place[part].astype(np.uint32))))
+                part = cut[s] + np.argsort(place[cut[s] : cut[s + 1]])
+                ids = np.diff(block.ids[document[part]], prepend=0)
+                rows.append((s, number, CONTEXTS, packed(symbols[part], ids, np.diff(place[part], prepend=0).astype(np.uint32))))
         crowded = np.sort(at[verdict == 2])
         if len(crowded):
             strings, lowest, _ = crowded_strings(block, crowded)
-            cut = slices(strings, shards)
+            cut = slices(strings, 64, shards)
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
                 rows.append((s, number, STRINGS, packed(np.diff(strings[part], prepend=np.uint64(0)), lowest[part])))
@@ -420,7 +429,7 @@ def remove_repeats(
         if own:
             parts = [unpacked(messages[i].as_py(), np.uint16, np.int64, np.uint32) for i in own]
             contexts = np.concatenate([p[0] for p in parts]).reshape(-1, width)
-            ids, places = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            ids, places = (np.concatenate([np.cumsum(p[n], dtype=np.int64) for p in parts]) for n in (1, 2))
             chosen, inverse = distinct_rows(contexts)
             lowest = np.full(len(chosen), np.iinfo(np.int64).max)
             np.minimum.at(lowest, inverse, ids)
@@ -438,7 +447,7 @@ def remove_repeats(
                 hit = np.flatnonzero(least_id[inverse[mine]] < ids[mine])
                 if len(hit):
                     gone = smallest[inverse[mine][hit]] < ids[mine][hit][:, None]
-                    place = places[mine][hit].astype(np.int64) - before
+                    place = places[mine][hit] - before
                     begin = place + gone.argmax(axis=1)
                     end_ = place + gone.shape[1] - 1 - gone[:, ::-1].argmax(axis=1) + least
                     by = np.argsort(begin, kind="stable")
