@@ -10,6 +10,10 @@ are leaves that are searched by one matrix product. A half is skipped if the tri
 inequality puts it ``1 / factor`` of the present bound away or more: with factor 1 only what
 cannot hold a nearer one is skipped and the search is exact; greater factors skip more.
 
+A matrix product rounds a pair's sum by the shape of the whole product, so it only picks the pairs that may be
+among the best, with a margin above any rounding. Their scores are summed anew, component after component;
+equal vectors thus have equal scores in every task, and ties go to the smaller id.
+
 Trees are built once and written as one binary row a shard. Queries form blocks; the blocks
 meet the shards by an equality join on the block's number, with which every tree is listed
 once for each block, so a task holds one tree and one block. Partial results, ``k`` a query and shard, are
@@ -63,6 +67,17 @@ def build_tree(points: np.ndarray, leaf: int, seed: int) -> tuple[np.ndarray, np
     return order, np.array(spans, np.int64), np.array(radii)
 
 
+def pair_scores(queries: np.ndarray, points: np.ndarray, row: np.ndarray, column: np.ndarray, pairs: int = 1 << 16) -> np.ndarray:
+    """Inner products of ``queries[row]`` and ``points[column]``, summed from the first component to the last."""
+    out = np.zeros(len(row))
+    for begin in range(0, len(row), pairs):
+        part = slice(begin, begin + pairs)
+        left, right = queries[row[part]], points[column[part]]
+        for i in range(left.shape[1]):
+            out[part] += left[:, i] * right[:, i]
+    return out
+
+
 class Search:
     """The ``k`` best of one tree for a block of queries, all descending together."""
 
@@ -70,6 +85,8 @@ class Search:
         self.ids, self.vectors, self.spans, self.radii = tree
         self.queries, self.query_ids, self.k, self.factor = queries, query_ids, k, factor
         self.base = (queries**2).sum(axis=1) + most
+        # Twice what two orders of summation may differ by.
+        self.margin = 8 * (queries.shape[1] + 1) * np.finfo(float).eps * np.sqrt((queries**2).sum(axis=1) * most)
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.visited = 0
@@ -80,11 +97,18 @@ class Search:
         self.visited += products.size
         ids = np.broadcast_to(self.ids[begin:end], products.shape)
         offered = np.where(ids == self.query_ids[active][:, None], -np.inf, products)
-        hopeful = (offered >= self.scores[active, -1:]).any(axis=1)
-        if hopeful.any():
-            rows = active[hopeful]
-            scores = np.concatenate([self.scores[rows], offered[hopeful]], axis=1)
-            names = np.concatenate([self.found[rows], np.where(np.isneginf(offered[hopeful]), np.iinfo(np.int64).max, ids[hopeful])], axis=1)
+        least = self.scores[active, -1] - self.margin[active]
+        hopeful = np.flatnonzero((offered >= least[:, None]).any(axis=1))
+        if len(hopeful):
+            rows, offered, least = active[hopeful], offered[hopeful], least[hopeful]
+            if offered.shape[1] > self.k:
+                own = np.partition(offered, -self.k, axis=1)[:, -self.k]
+                least = np.maximum(least, own - self.margin[rows])
+            row, column = np.nonzero((offered >= least[:, None]) & ~np.isneginf(offered))
+            exact = np.full(offered.shape, -np.inf)
+            exact[row, column] = pair_scores(self.queries, self.vectors, rows[row], begin + column)
+            scores = np.concatenate([self.scores[rows], exact], axis=1)
+            names = np.concatenate([self.found[rows], np.where(np.isneginf(exact), np.iinfo(np.int64).max, ids[hopeful])], axis=1)
             best = np.lexsort((names, -scores), axis=1)[:, : self.k]
             self.scores[rows] = np.take_along_axis(scores, best, axis=1)
             self.found[rows] = np.take_along_axis(names, best, axis=1)
@@ -110,7 +134,8 @@ class Search:
         close = distance < median
         self.visit(inner, active[close])
         self.visit(outer, active[~close])
-        slack = self.reach(active) / self.factor
+        # Rounded squares of distances may be off by so much near zero.
+        slack = self.reach(active) / self.factor + 1e-7 * np.sqrt(self.base[active])
         self.visit(outer, active[close & (np.maximum(median - distance, 0) <= slack)])
         self.visit(inner, active[~close & (distance - inner_end <= slack)])
         return self.after(outer)
