@@ -420,6 +420,45 @@ def test_repeats_of_an_empty_table(empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_long_texts_in_many_pieces(spark, monkeypatch):
+    texts = [prose(i, 900) + prose(9, 400) + prose(40 + i % 3, 300) for i in range(6)] + ["ab" * 3000]
+    message = substrings.packed(np.arange(7), np.array([len(t) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8))
+    block = substrings.Block(message)
+    whole = substrings.anchors_of_piece(block.data, block.ends[:-1], 50)
+    for piece in (1, 37, 1000, 1 << 20):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        found = substrings.anchors(block, 50)
+        assert all(np.array_equal(a, b) for a, b in zip(found, whole)), piece
+
+
+def test_rows_of_one_hash_are_compared(monkeypatch):
+    rows = np.random.default_rng(5).integers(0, 3, (200, 5)).astype(np.uint16)
+    for _ in range(2):
+        chosen, inverse = substrings.distinct_rows(rows)
+        assert np.array_equal(rows[chosen][inverse], rows)
+        assert len(chosen) == len({tuple(r) for r in rows.tolist()})
+        monkeypatch.setattr(substrings, "row_hash", lambda rows: np.zeros(len(rows), np.uint64))
+
+
+def test_only_contexts_with_rivals_are_sorted():
+    pick = np.random.default_rng(6)
+    rows = pick.integers(1, 257, (300, 84)).astype(np.uint16)
+    rows[:, 34:50] = 7
+    for i in range(0, 100, 2):
+        # Neighbours share a window of 50 symbols that holds the anchor.
+        at = int(pick.integers(0, 35))
+        rows[i + 1, at : at + 50] = rows[i, at : at + 50]
+    found = substrings.with_rivals(rows, 50)
+    assert found[:100].all() and not found[100:].any()
+
+
+def test_messages_follow_the_bytes():
+    """Anchors go as rows, one for each of a block; messages per block have a bound up to ``FAN * REACH`` blocks."""
+    assert [substrings.shard_count(n) for n in (0, 1, 64, 4096, 8192, 1 << 20)] == [1, 1, 64, 512, 512, 1 << 16]
+    cut = substrings.slices(np.sort(np.random.default_rng(7).integers(0, 1 << 64, 9999, np.uint64)), 64, 512)
+    assert cut[0] == 0 and cut[-1] == 9999 and np.diff(cut).max() < 60
+
+
 def test_refined_ranks_and_prefixes():
     pick = np.random.default_rng(4)
     text = np.concatenate([pick.integers(1, 3, 300), [0], pick.integers(1, 3, 50)]).astype(np.uint16)
@@ -498,6 +537,28 @@ def test_factor_one_is_exact(spark):
     assert found_nearest(df, k=7, factor=1.0, shard_rows=100, leaf=8, block_rows=9) == plain_nearest(rows, 7)
 
 
+def test_copies_are_ranked_by_id(spark):
+    """Copies of real-valued vectors score alike to the last bit, whatever shard and leaf they lie in."""
+    originals = vectors(spark, 120, 8, 64)
+    rows = [(i, originals[(i * i + i // 7) % 120][1]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def score(v, w):
+        total = 0.0
+        for a, b in zip(v, w):
+            total += a * b
+        return total
+
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            scored = sorted((-score(v, w), i) for i, w in rows if i != q)[:20]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
+    for options in ({"shard_rows": 130, "leaf": 16, "block_rows": 11}, {"leaf": 100, "block_rows": 40}):
+        found = vptree.nearest_by_product(df, F.col("vec_id") % 20 == 0, factor=1.0, **options).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+
+
 def test_relaxed_search_keeps_most(spark):
     rows = vectors(spark, 1500, 1, 24)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
