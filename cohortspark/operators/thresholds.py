@@ -274,7 +274,9 @@ class _AttributionFinder(Finder):
         self.model = fit_model(
             df, features, self.label, self.kind, {"seed": self.seed, **self.settings}
         )
-        return summarise(attribute(self.model, df, self.keys), features)
+        # a frame of few files would keep most cores idle while trees are attributed
+        spread = {} if self.model.kind == "logistic_regression" else {"partitions": df.sparkSession.sparkContext.defaultParallelism}
+        return summarise(attribute(self.model, df, self.keys, **spread), features)
 
 
 class AttributionLiteratureRule(_AttributionFinder):

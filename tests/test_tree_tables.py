@@ -6,6 +6,7 @@ import pytest
 from cohortspark.operators import attribution
 from cohortspark.operators.attribution import attribute, explain_batch, leaf_table, node_table, tree_base
 from cohortspark.operators.models import fit_model
+from cohortspark.operators.thresholds import AttributionLiteratureRule
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -77,3 +78,18 @@ def test_batches_are_explained_together(spark, frame, fitted, monkeypatch):
     assert len(phi) == 1_600
     for j, f in enumerate(NAMES):
         assert [phi[i, f] for i in range(400)] == pytest.approx(want[:, j], abs=1e-12)
+
+
+def test_rule_finders_spread_the_rows(frame, monkeypatch):
+    seen = []
+    tree_attribution = attribution.tree_attribution
+
+    def watched(model, df, keys, **options):
+        seen.append(options)
+        return tree_attribution(model, df, keys, **options)
+
+    monkeypatch.setattr(attribution, "tree_attribution", watched)
+    limits = {f: {"low": 0.0, "high": 0.0} for f in NAMES}
+    rule = AttributionLiteratureRule(limits, keys=["k"], settings={"trees": 4, "depth": 3}).fit(frame, NAMES)
+    assert rule.feature == "a" and seen == [{"partitions": frame.sparkSession.sparkContext.defaultParallelism}]
+    AttributionLiteratureRule(limits, model="logistic_regression", keys=["k"]).fit(frame, NAMES)
