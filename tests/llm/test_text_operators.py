@@ -459,6 +459,70 @@ def test_messages_follow_the_bytes():
     assert cut[0] == 0 and cut[-1] == 9999 and np.diff(cut).max() < 60
 
 
+def shuffled_bytes(plan):
+    """Bytes that the exchanges of an adaptive plan that has run have written; one that is used again counts once."""
+    kind, children = plan.getClass().getSimpleName(), plan.children()
+    if kind == "ReusedExchangeExec":
+        return 0
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_bytes(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_bytes(children.apply(i)) for i in range(children.size()))
+
+
+def test_short_pieces_that_recur_send_no_contexts(spark):
+    """Phrases of 24 bytes recur everywhere, pairs of them hardly ever: pieces of an anchor's length tell nothing."""
+    pick = random.Random(11)
+    phrases = ["".join(pick.choices("abcdefghijklmnopqrst", k=23)) + " " for _ in range(1500)]
+    rows = [(i, "".join(pick.choices(phrases, k=100)), None, None, None) for i in range(200)]
+    rows += [(1000, rows[3][1][:400] + "!", None, None, None)]
+    table = awkward(spark, rows).filter("doc_id between 0 and 199 or doc_id = 1000").filter("length(text) > 300")
+    found = substrings.remove_repeats(table, block_bytes=1 << 16)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect())
+    texts = [(i, t.encode()) for i, t in texts_of(table)]
+    assert got == plain_removal(texts, 50)
+    sent, size = shuffled_bytes(found._jdf.queryExecution().executedPlan()), sum(len(t) for _, t in texts)
+    assert 0 < sent < 1.6 * size, (sent, size)
+
+
+def test_every_string_belongs_to_one_anchor():
+    pick = np.random.default_rng(8)
+    texts = [prose(1, 60), "ab" * 90, "x" * 120, "", prose(2, 9), prose(1, 60), "".join(map(chr, pick.integers(97, 100, 400)))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    block = substrings.Block(substrings.packed(np.arange(len(texts)), np.array([len(t) for t in texts]), data))
+    for least in (17, 20, 50):
+        at, hashes = substrings.anchors(block, least)
+        first, last = substrings.starts_of(block, at, hashes, least)
+        pieces = substrings.rolling(data, substrings.GRAM) | np.uint64(1)
+        owner = {}
+        for p, f, l in zip(at.tolist(), first.tolist(), last.tolist()):
+            for start in range(f, l + 1):
+                assert start not in owner
+                owner[start] = p
+        starts = [s for b, e in zip(block.starts, block.ends) for s in range(b, e - least + 1)]
+        assert owner == {s: s + int(pieces[s : s + least - substrings.GRAM + 1].argmin()) for s in starts}
+
+
+def test_anchors_of_many_surroundings(spark, docs, monkeypatch):
+    """With more surroundings than a block tells apart, an anchor is looked at wherever it is."""
+    pick = random.Random(12)
+    same = "the sixteen bytes and a few more "
+    rows = [(100 + i, "".join(prose(pick.randint(0, 40), 2) + same for _ in range(6)), None, None, None) for i in range(25)]
+    table = docs.unionByName(awkward(spark, rows).filter("doc_id >= 100"))
+    expected = plain_removal([(i, t.encode()) for i, t in texts_of(table)], 50)
+    for sides in (1, 3):
+        monkeypatch.setattr(substrings, "SIDES", sides)
+        for crowd in (1 << 14, 20):
+            found = substrings.remove_repeats(table, block_bytes=2000, crowd=crowd).collect()
+            assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found) == expected
+
+
+def test_questions_have_shards_of_bounded_size():
+    assert [substrings.asking_count(n) for n in (0, 1, 64, 1024, 4850, 1 << 20)] == [1, 1, 64, 64, 303, 1 << 16]
+
+
 def test_refined_ranks_and_prefixes():
     pick = np.random.default_rng(4)
     text = np.concatenate([pick.integers(1, 3, 300), [0], pick.integers(1, 3, 50)]).astype(np.uint16)
